@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
+
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="lodestar-")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _own.setdefault("dir", "") or _own.__setitem__("dir", tempfile.mkdtemp(prefix="lodestar-")) or _own["dir"]
-    return path.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,3 +36,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+BITMAP_BITS = 24
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for every value of a long column by its low BITMAP_BITS bits, as 64-bit words.
+
+    It has 2 MB at any input size. Values that aren't there may seem to be; those that are never seem not to be.
+    """
+    place = F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1)
+    words = df.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    table = words.toArrow()  # at most 2^(BITMAP_BITS - 6) rows
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    out[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which unsigned 64-bit values may be in it."""
+    place = values & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, root): connected components of links (a, b) of long ids, root the least id. Ids without links are absent.
+
+    Alternating large and small stars: each round points the larger neighbours, then the smaller ones, of every id at the
+    least of them, until nothing changes. Minima are aggregated before they are joined, so that hot ids split.
+    """
+    edges = materialize(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "edges")
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    last = mark(edges)
+    while last[0]:
+        both = edges.select(F.col("v").alias("x"), F.col("u").alias("y")).unionByName(edges.select(F.col("u").alias("x"), F.col("v").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
+        large = materialize(large, "large")
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.*")
+        edges = materialize(small.where("u <> v").distinct(), "edges")
+        now = mark(edges)
+        if now == last:
+            break
+        last = now
+    roots = edges.select(F.col("v").alias("id"), F.col("u").alias("root"))
+    return roots.unionByName(edges.select(F.col("u").alias("id"), F.col("u").alias("root")).distinct())
