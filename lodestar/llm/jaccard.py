@@ -11,7 +11,8 @@ indexed as pairs within a class; the prefix is extended until, over all classes,
 to more than t, so that linked sets share a rare token or a pair. Sets below SMALL tokens, which may be too small for
 that, index single frequent tokens, as do those up to SMALL * 100 / percent, which they may link with.
 
-Of each group with a common signature every member is verified against one; links join them into components; then
+A signature's place tells how many tokens lack before it; with the sizes of two sets it decides whether it may be the first
+they share. Of each group with a common signature every member is verified against one, that of least place; links join them into components; then
 members of a group that lie in different components are verified against each other, so no link that matters to a
 component is left out.
 
@@ -23,25 +24,25 @@ are read whole. Nodes are told apart by 64-bit digests of their sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.shared import bitmap, components, in_bitmap, materialize
-from lodestar.llm.winnow import Hashes, grams
+from lodestar.llm.words import grams, word_hashes
 
 WIDTH, PERCENT = 4, 85
-SMALL, CLASSES, FREQUENT = 24, 16, 32
+SMALL, CLASSES, FREQUENT, ROUNDS = 24, 16, 32, 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def shingles(text: str | None, known: Hashes, width: int) -> np.ndarray:
+def shingles(text: str | None, width: int) -> np.ndarray:
     """The hashes of the distinct shingles, ascending."""
-    h = known.of((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
     if 0 < len(h) < width:
         return grams(h, len(h)) ^ np.uint64(len(h))
     return np.unique(grams(h, width))
@@ -52,29 +53,42 @@ def digest(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """What a set is indexed by; `frequent` says which tokens are."""
+def lacking(n: int, percent: int) -> int:
+    """How many of its n tokens a set may lack of any linked one, and one more."""
+    return n + percent * n // -100 + 1
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a set is indexed by, and the place of each: how many tokens of the set lack if it is the first that is shared, and one more.
+
+    `frequent` says which tokens are.
+    """
     n = len(tokens)
-    need = n + percent * n // -100 + 1  # one more than the tokens that a linked set may lack
-    rare = tokens[~frequent]
-    if len(rare) >= need:
-        return rare[:need]
+    need = lacking(n, percent)
+    rare = tokens[~frequent][:need]
+    places = [np.arange(1, len(rare) + 1)]
+    if len(rare) == need:
+        return rare, places[0]
     out, common = [rare], tokens[frequent]
     if SMALL > n or n * percent < SMALL * 100:
         out.append(common[: need - len(rare)] ^ np.uint64(0x5555555555555555))
+        places.append(np.arange(len(rare) + 1, len(rare) + 1 + len(out[-1])))
     if n >= SMALL:
         classes: dict[int, list[int]] = {}
-        count = len(rare)
+        count, pairs, at = len(rare), [], []
         for t in common.tolist():
             mine = classes.setdefault((t >> BITS_OF_CLASS) % CLASSES, [])
             count += bool(mine)
+            for other in mine:
+                pairs += (other, t)
+                at.append(count)
             mine.append(t)
             if count >= need:
                 break
-        pairs = [p for mine in classes.values() for p in combinations(mine, 2)]
         if pairs:
-            out.append(grams(np.array(pairs, np.uint64).ravel(), 2)[::2])
-    return np.concatenate(out)
+            out.append(grams(np.array(pairs, np.uint64), 2)[::2])
+            places.append(np.array(at))
+    return np.concatenate(out), np.concatenate(places)
 
 
 #: Classes are dealt by bits of a token that its place in the bitmap doesn't use.
@@ -82,9 +96,9 @@ BITS_OF_CLASS = 40
 
 
 def _per_text(docs: DataFrame, of_text, schema: str, flush: int = 200_000) -> DataFrame:  # noqa: ANN001
-    """mapInArrow over whole texts: of_text(text, Hashes) gives arrays of equal length, one for each column."""
+    """mapInArrow over whole texts: of_text(text, digests seen) gives arrays of equal length, one for each column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = Hashes(), [], 0
+        held, n = [], 0
         seen: set[int] = set()
 
         def out() -> pa.RecordBatch:
@@ -92,7 +106,7 @@ def _per_text(docs: DataFrame, of_text, schema: str, flush: int = 200_000) -> Da
 
         for batch in batches:
             for x in batch.column(0):
-                arrays = of_text(x.as_py(), known, seen)
+                arrays = of_text(x.as_py(), seen)
                 if arrays is not None:
                     held.append(arrays)
                     n += len(arrays[0])
@@ -113,7 +127,7 @@ def frequent_tokens(docs: DataFrame, width: int, at_least: int = FREQUENT) -> np
     chunk = 4_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n, seen = Hashes(), [], 0, set()
+        held, n, seen = [], 0, set()
 
         def out() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -122,7 +136,7 @@ def frequent_tokens(docs: DataFrame, width: int, at_least: int = FREQUENT) -> np
 
         for batch in batches:
             for x in batch.column(0):
-                tokens = shingles(x.as_py(), known, width)
+                tokens = shingles(x.as_py(), width)
                 if not len(tokens) or (d := digest(tokens)) in seen:
                     continue
                 seen.add(d)
@@ -138,20 +152,43 @@ def frequent_tokens(docs: DataFrame, width: int, at_least: int = FREQUENT) -> np
     return bitmap(counts.where(F.col("n") >= at_least), "token")
 
 
-def signature_rows(docs: DataFrame, frequent: object, width: int, percent: int, only: object = None) -> DataFrame:
-    """(sig, id) of every set; with `only`, a broadcast bitmap, those signatures that may be in it."""
+def signature_rows(docs: DataFrame, frequent: Broadcast, width: int, percent: int, only: Broadcast | None = None) -> DataFrame:
+    """(sig, id, place, n) of every set of n tokens; with `only`, a bitmap, those signatures that may be in it."""
 
-    def of_text(text: str | None, known: Hashes, seen: set[int]) -> tuple[np.ndarray, ...] | None:
-        tokens = shingles(text, known, width)
+    def of_text(text: str | None, seen: set[int]) -> tuple[np.ndarray, ...] | None:
+        tokens = shingles(text, width)
         if not len(tokens) or (d := digest(tokens)) in seen:
             return None
         seen.add(d)
-        sigs = signatures(tokens, in_bitmap(frequent.value, tokens), percent)
+        sigs, places = signatures(tokens, in_bitmap(frequent.value, tokens), percent)
         if only is not None:
-            sigs = sigs[in_bitmap(only.value, sigs)]
-        return sigs.view(np.int64), np.full(len(sigs), d, np.int64)
+            some = in_bitmap(only.value, sigs)
+            sigs, places = sigs[some], places[some]
+        return sigs.view(np.int64), np.full(len(sigs), d, np.int64), places.astype(np.int32), np.full(len(sigs), len(tokens), np.int32)
+
+    return _per_text(docs, of_text, "sig bigint, id bigint, place int, n int")
+
+
+def common_tokens(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS) -> Broadcast:
+    """The bitmap of frequent tokens. Those that tasks find are joined, round by round, by tokens that two sets have in their prefixes
+    of rare tokens: the next prefixes pass them over, so that what two texts quote alike doesn't make them candidates."""
+    context = docs.sparkSession.sparkContext
+    found = frequent_tokens(docs, width)
+    for _ in range(rounds):
+        known = context.broadcast(found)
+
+        def of_text(text: str | None, seen: set[int], known: Broadcast = known) -> tuple[np.ndarray, ...] | None:
+            tokens = shingles(text, width)
+            if not len(tokens) or (d := digest(tokens)) in seen:
+                return None
+            seen.add(d)
+            rare = tokens[~in_bitmap(known.value, tokens)][: lacking(len(tokens), percent)]
+            return rare.view(np.int64), np.full(len(rare), d, np.int64)
 
-    return _per_text(docs, of_text, "sig bigint, id bigint")
+        prefixes = _per_text(docs, of_text, "token bigint, id bigint")
+        twice = prefixes.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+        found = found | bitmap(twice, "token")
+    return context.broadcast(found)
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -159,10 +196,10 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     may = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids, sets, size, seen = Hashes(), [], [], 0, set()
+        ids, sets, size, seen = [], [], 0, set()
         for batch in batches:
             for x in batch.column(0):
-                tokens = shingles(x.as_py(), known, width)
+                tokens = shingles(x.as_py(), width)
                 d = digest(tokens)
                 if len(tokens) and d not in seen and in_bitmap(may.value, np.array([d], np.int64).view(np.uint64))[0]:
                     seen.add(d)
@@ -179,8 +216,16 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.groupBy("id").agg(F.first("tokens").alias("tokens"))  # equal ids have equal tokens
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def fitting(x: str, y: str, percent: int) -> Column:
+    """Whether sets may link whose first shared signature is this one: columns x.n, x.place, y.n, y.place."""
+    n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.place"), F.col(f"{y}.place")
+    shared = F.ceil(percent * (n + m) / (100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (i <= n - shared + 1) & (j <= m - shared + 1)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. pairs must be a written table; sets are cut again from the texts that occur in it."""
+
     @F.arrow_udf("boolean")
     def linked(xs: pa.Array, ys: pa.Array) -> pa.Array:
         out = []
@@ -190,34 +235,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    sized = F.length("tokens").alias("n")
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")).alias("fits")
-    first = pairs.join(sets.select(F.col("id").alias("a"), sized), "a").join(sets.select(F.col("id").alias("b"), sized.alias("m")), "b").where(fits).select("a", "b")
-    left = first.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").where(linked("x", "y")).select("a", "b")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(token_sets(docs, ids, width), "sets")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
+    return materialize(left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").where(linked("x", "y")).select("a", "b"), "links")
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id, root) of every set that links with another."""
     context = docs.sparkSession.sparkContext
-    frequent = context.broadcast(frequent_tokens(docs, width))
-    groups = signature_rows(docs, frequent, width, percent).groupBy("sig").agg(F.min("id").alias("pivot"), F.max("id").alias("other"))
-    groups = materialize(groups.where("pivot <> other").select("sig", "pivot"), "groups")
-    members = signature_rows(docs, frequent, width, percent, context.broadcast(bitmap(groups, "sig"))).join(groups, "sig").distinct()
-    members = materialize(members, "members")
-    stars = materialize(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    sets = materialize(token_sets(docs, members.select("id").distinct(), width), "sets")
-    links = materialize(verified(stars, sets, percent), "links")
+    frequent = common_tokens(docs, width, percent)
+    # The member with the least place has the fewest tokens of its own: in a group of copies, the most typical one.
+    rows = signature_rows(docs, frequent, width, percent)
+    groups = rows.groupBy("sig").agg(F.min_by("id", "place").alias("pivot"), F.min("id").alias("low"), F.max("id").alias("high"))
+    groups = materialize(groups.where("low <> high").select("sig", "pivot"), "groups")
+    members = signature_rows(docs, frequent, width, percent, context.broadcast(bitmap(groups, "sig"))).join(groups, "sig")
+    members = materialize(members.groupBy("sig", "id").agg(*[F.min(c).alias(c) for c in ("pivot", "place", "n")]), "members")
+    pivots = members.where("id = pivot").select("sig", "id", "place", "n")
+    stars = members.alias("x").join(pivots.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") != F.col("y.id"))).where(fitting("x", "y", percent))
+    stars = materialize(stars.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "stars")
+    links = verified(docs, stars, width, percent)
     roots = components(links)
-    placed = members.select("sig", "id").join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-    placed = materialize(placed, "placed")
+    placed = materialize(members.join(roots, "id", "left").select("sig", "id", "place", "n", F.coalesce("root", "id").alias("root")), "placed")
     apart = placed.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low <> _high AND _n > 2").select("sig")
     open_ = placed.join(apart, "sig")
-    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
+    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & fitting("x", "y", percent))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(verified(pairs, sets, percent), "more")
-    return components(links.unionByName(more)) if not more.isEmpty() else roots
+    # Pairs that were verified lie apart in either order.
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    return roots if pairs.isEmpty() else components(links.unionByName(verified(docs, pairs, width, percent)))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -226,9 +273,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     @F.arrow_udf("struct<n:bigint,id:bigint>")
     def measured(texts: pa.Array) -> pa.Array:
-        known, out = Hashes(), []
+        out = []
         for x in texts:
-            tokens = shingles(x.as_py(), known, width)
+            tokens = shingles(x.as_py(), width)
             out.append({"n": len(tokens), "id": digest(tokens)})
         return pa.array(out, kind)
 

@@ -38,13 +38,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BITMAP_BITS = 24
+BITMAP_BITS = 25
 
 
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
     """A bit for every value of a long column by its low BITMAP_BITS bits, as 64-bit words.
 
-    It has 2 MB at any input size. Values that aren't there may seem to be; those that are never seem not to be.
+    It has 4 MB at any input size. Values that aren't there may seem to be; those that are never seem not to be.
     """
     place = F.col(column).bitwiseAND((1 << BITMAP_BITS) - 1)
     words = df.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))

@@ -20,11 +20,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.words import grams, word_hashes
+
 SPAN, GRAM = 10, 5
 #: A-Z to a-z; all other ASCII but digits and letters to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -33,35 +34,8 @@ HITS_TYPE = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("
 HITS = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
-
-
-class Hashes(dict):
-    """Word to 64-bit hash; forgets all when it gets large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(f"place {i}") | 1 for i in range(SPAN)], np.uint64)
-
-
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The hash of every n consecutive words."""
-    m = len(hashes) - n + 1
-    if m <= 0:
-        return np.empty(0, np.uint64)
-    out = hashes[:m] * MULTIPLIERS[0]
-    for i in range(1, n):
-        out += hashes[i : i + m] * MULTIPLIERS[i]
-    return out ^ (out >> np.uint64(31))
+def folded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD)
 
 
 def fingerprints(hashes: np.ndarray) -> np.ndarray:
@@ -82,9 +56,9 @@ class Block:
     def __init__(self, items: list[tuple[str, str | None]]) -> None:
         self.windows: dict[bytes, list[str]] = defaultdict(list)
         marks: dict[int, list[np.ndarray]] = defaultdict(list)
-        known = Hashes()
         for item, text in items:
-            words = words_of(text)
+            data = folded(text)
+            words = data.split()
             n = min(len(words), SPAN)
             if not n:
                 continue
@@ -92,7 +66,7 @@ class Block:
                 owners = self.windows[b" ".join(words[i : i + n])]
                 if item not in owners:
                     owners.append(item)
-            h = known.of(words)
+            h = word_hashes(data)
             marks[n].append(fingerprints(h) if n == SPAN else grams(h, n))
         self.windows = dict(self.windows)
         self.marks = {n: np.unique(np.concatenate(x)) for n, x in marks.items()}
@@ -101,13 +75,16 @@ class Block:
             self.tables[n] = np.zeros(1 << BITS, bool)
             self.tables[n][(x & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
 
-    def hits(self, words: list[bytes], hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, data: bytes, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words in occurring windows (merged), and their items."""
-        found, items = [], set()
+        found, items, words = [], set(), None
         for n, marks in self.marks.items():
             mine = fingerprints(hashes) if n == SPAN else grams(hashes, n)
             at = np.flatnonzero(self.tables[n][(mine & np.uint64((1 << BITS) - 1)).astype(np.int64)])
-            for i in at[np.isin(mine[at], marks)].tolist():
+            at = at[np.isin(mine[at], marks)]
+            if len(at) and words is None:
+                words = data.split()
+            for i in at.tolist():
                 if owners := self.windows.get(b" ".join(words[i : i + n])):
                     found.append((i, i + n))
                     items.update(owners)
@@ -138,12 +115,12 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> list[Block]:
 def _finder(shared: Broadcast) -> Callable:
     @F.arrow_udf(HITS)
     def hits(texts: pa.Array) -> pa.Array:
-        known = Hashes()
         out = []
         for x in texts:
-            words = words_of(x.as_py())
-            spans, items = shared.value.hits(words, known.of(words))
-            out.append({"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
+            data = folded(x.as_py())
+            hashes = word_hashes(data)
+            spans, items = shared.value.hits(data, hashes)
+            out.append({"n_words": len(hashes), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
         return pa.array(out, HITS_TYPE)
 
     return hits
