@@ -12,7 +12,7 @@ to more than t, so that linked sets share a rare token or a pair. Sets below SMA
 that, index single frequent tokens, as do those up to SMALL * 100 / percent, which they may link with.
 
 A signature's place tells how many tokens lack before it; with the sizes of two sets it decides whether it may be the first
-they share. Of each group with a common signature every member is verified against one, that of least place; links join them into components; then
+they share. Of each group with a common signature every member is verified against one, that with the fewest rare tokens; links join them into components; then
 members of a group that lie in different components are verified against each other, so no link that matters to a
 component is left out.
 
@@ -36,7 +36,7 @@ from lodestar.llm.shared import bitmap, components, in_bitmap, materialize
 from lodestar.llm.words import grams, word_hashes
 
 WIDTH, PERCENT = 4, 85
-SMALL, CLASSES, FREQUENT, ROUNDS = 24, 16, 32, 2
+SMALL, CLASSES, FREQUENT, ROUNDS = 24, 16, 32, 1
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -91,6 +91,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     return np.concatenate(out), np.concatenate(places)
 
 
+#: Tokens that a task holds at once to find those met twice.
+CHUNK = 4_000_000
 #: Classes are dealt by bits of a token that its place in the bitmap doesn't use.
 BITS_OF_CLASS = 40
 
@@ -122,58 +124,76 @@ def _per_text(docs: DataFrame, of_text, schema: str, flush: int = 200_000) -> Da
     return docs.select("text").mapInArrow(run, schema)
 
 
-def frequent_tokens(docs: DataFrame, width: int, at_least: int = FREQUENT) -> np.ndarray:
-    """The bitmap of tokens that occur in at_least texts, counting those that a task meets twice in CHUNK tokens."""
-    chunk = 4_000_000
+def survey(docs: DataFrame, width: int) -> DataFrame:
+    """One pass: (doc_id, n, id) of every row, and (token, count) of tokens that a task meets in two sets among CHUNK tokens."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, seen = [], 0, set()
+        held, size, seen = [], 0, set()
 
         def out() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            twice = counts > 1
-            return pa.record_batch([pa.array(tokens[twice].view(np.int64)), pa.array(counts[twice])], names=["token", "n"])
+            tokens, counts = tokens[counts > 1].view(np.int64), counts[counts > 1]
+            none = pa.nulls(len(tokens), pa.int64())
+            return pa.record_batch([none, none, none, pa.array(tokens), pa.array(counts, pa.int64())], schema=schema)
 
         for batch in batches:
-            for x in batch.column(0):
+            ns, ids = [], []
+            for x in batch.column(1):
                 tokens = shingles(x.as_py(), width)
-                if not len(tokens) or (d := digest(tokens)) in seen:
-                    continue
-                seen.add(d)
-                held.append(tokens)
-                n += len(tokens)
-                if n >= chunk:
+                ns.append(len(tokens))
+                ids.append(digest(tokens))
+                if len(tokens) and ids[-1] not in seen:
+                    seen.add(ids[-1])
+                    held.append(tokens)
+                    size += len(tokens)
+                if size >= CHUNK:
                     yield out()
-                    held, n, seen = [], 0, set()
+                    held, size, seen = [], 0, set()
+            none = pa.nulls(len(ns), pa.int64())
+            yield pa.record_batch([batch.column(0), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), none, none], schema=schema)
         if held:
             yield out()
 
-    counts = docs.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    return bitmap(counts.where(F.col("n") >= at_least), "token")
+    found = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, id bigint, token bigint, count bigint")
+    return materialize(found, "survey")
 
 
 def signature_rows(docs: DataFrame, frequent: Broadcast, width: int, percent: int, only: Broadcast | None = None) -> DataFrame:
-    """(sig, id, place, n) of every set of n tokens; with `only`, a bitmap, those signatures that may be in it."""
+    """(sig, id, own) of every set, `own` of its tokens rare; with `only`, a bitmap, (sig, id, place, n, parities) of signatures that may be in it."""
 
     def of_text(text: str | None, seen: set[int]) -> tuple[np.ndarray, ...] | None:
         tokens = shingles(text, width)
         if not len(tokens) or (d := digest(tokens)) in seen:
             return None
         seen.add(d)
-        sigs, places = signatures(tokens, in_bitmap(frequent.value, tokens), percent)
+        common = in_bitmap(frequent.value, tokens)
+        sigs, places = signatures(tokens, common, percent)
         if only is not None:
             some = in_bitmap(only.value, sigs)
             sigs, places = sigs[some], places[some]
-        return sigs.view(np.int64), np.full(len(sigs), d, np.int64), places.astype(np.int32), np.full(len(sigs), len(tokens), np.int32)
+        whole = lambda value, kind: np.full(len(sigs), value, kind)
+        if only is None:
+            return sigs.view(np.int64), whole(d, np.int64), whole(len(tokens) - int(common.sum()), np.int32)
+        return sigs.view(np.int64), whole(d, np.int64), places.astype(np.int32), whole(len(tokens), np.int32), *(whole(x, np.int64) for x in parities(tokens))
+
+    return _per_text(docs, of_text, "sig bigint, id bigint, own int" if only is None else f"sig bigint, id bigint, place int, n int, {', '.join(f'{p} bigint' for p in PARITIES)}")
+
+
+PARITIES = ("p0", "p1", "p2", "p3")
 
-    return _per_text(docs, of_text, "sig bigint, id bigint, place int, n int")
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """256 bits: whether each class of tokens has an odd number. Two sets differ in as many tokens, at least, as in bits."""
+    odd = np.bincount((tokens >> np.uint64(32) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def common_tokens(docs: DataFrame, width: int, percent: int, rounds: int = ROUNDS) -> Broadcast:
+
+def common_tokens(docs: DataFrame, counts: DataFrame, width: int, percent: int, rounds: int = ROUNDS) -> Broadcast:
     """The bitmap of frequent tokens. Those that tasks find are joined, round by round, by tokens that two sets have in their prefixes
     of rare tokens: the next prefixes pass them over, so that what two texts quote alike doesn't make them candidates."""
     context = docs.sparkSession.sparkContext
-    found = frequent_tokens(docs, width)
+    found = bitmap(counts.groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT), "token")
     for _ in range(rounds):
         known = context.broadcast(found)
 
@@ -217,10 +237,11 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def fitting(x: str, y: str, percent: int) -> Column:
-    """Whether sets may link whose first shared signature is this one: columns x.n, x.place, y.n, y.place."""
+    """Whether sets may link whose first shared signature is this one, by sizes, places and parities."""
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.place"), F.col(f"{y}.place")
     shared = F.ceil(percent * (n + m) / (100 + percent))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (i <= n - shared + 1) & (j <= m - shared + 1)
+    apart = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (i <= n - shared + 1) & (j <= m - shared + 1) & (apart <= n + m - 2 * shared)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -235,28 +256,28 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
             out.append(100 * both >= percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     sets = materialize(token_sets(docs, ids, width), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
     return materialize(left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").where(linked("x", "y")).select("a", "b"), "links")
 
 
-def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, root) of every set that links with another."""
+def link_components(docs: DataFrame, counts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id, root) of every set that links with another. counts: (token, count) of tokens that are met twice."""
     context = docs.sparkSession.sparkContext
-    frequent = common_tokens(docs, width, percent)
-    # The member with the least place has the fewest tokens of its own: in a group of copies, the most typical one.
+    frequent = common_tokens(docs, counts, width, percent)
+    # The member with the fewest rare tokens is, in a group of copies, the most typical one.
     rows = signature_rows(docs, frequent, width, percent)
-    groups = rows.groupBy("sig").agg(F.min_by("id", "place").alias("pivot"), F.min("id").alias("low"), F.max("id").alias("high"))
+    groups = rows.groupBy("sig").agg(F.min_by("id", "own").alias("pivot"), F.min("id").alias("low"), F.max("id").alias("high"))
     groups = materialize(groups.where("low <> high").select("sig", "pivot"), "groups")
     members = signature_rows(docs, frequent, width, percent, context.broadcast(bitmap(groups, "sig"))).join(groups, "sig")
-    members = materialize(members.groupBy("sig", "id").agg(*[F.min(c).alias(c) for c in ("pivot", "place", "n")]), "members")
-    pivots = members.where("id = pivot").select("sig", "id", "place", "n")
+    members = materialize(members.groupBy("sig", "id").agg(*[F.min(c).alias(c) for c in ("pivot", "place", "n", *PARITIES)]), "members")
+    pivots = members.where("id = pivot").drop("pivot")
     stars = members.alias("x").join(pivots.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") != F.col("y.id"))).where(fitting("x", "y", percent))
     stars = materialize(stars.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "stars")
     links = verified(docs, stars, width, percent)
     roots = components(links)
-    placed = materialize(members.join(roots, "id", "left").select("sig", "id", "place", "n", F.coalesce("root", "id").alias("root")), "placed")
+    placed = materialize(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).drop("pivot"), "placed")
     apart = placed.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low <> _high AND _n > 2").select("sig")
     open_ = placed.join(apart, "sig")
     pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & fitting("x", "y", percent))
@@ -269,20 +290,11 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every row."""
-    kind = pa.struct([("n", pa.int64()), ("id", pa.int64())])
-
-    @F.arrow_udf("struct<n:bigint,id:bigint>")
-    def measured(texts: pa.Array) -> pa.Array:
-        out = []
-        for x in texts:
-            tokens = shingles(x.as_py(), width)
-            out.append({"n": len(tokens), "id": digest(tokens)})
-        return pa.array(out, kind)
-
-    nodes = docs.select(F.col("doc_id").cast("bigint"), measured("text").alias("s")).select("doc_id", F.col("s.n").alias("n_shingles"), F.col("s.id").alias("id"))
-    nodes = materialize(nodes, "nodes")
+    found = survey(docs, width)
+    nodes = found.where("token IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "id")
+    counts = found.where("token IS NOT NULL").select("token", "count")
     full = nodes.where("n_shingles > 0")
-    roots = link_components(docs, width, percent)
+    roots = link_components(docs, counts, width, percent)
     firsts = full.groupBy("id").agg(F.min("doc_id").alias("low")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lows = firsts.groupBy("root").agg(F.min("low").alias("component_id"))
     by_id = firsts.join(lows, "root").select("id", "component_id")
