@@ -16,7 +16,7 @@ from lodestar.llm.shared import materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
