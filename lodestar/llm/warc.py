@@ -80,10 +80,12 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
         F.lit(CRLF),
     )
     records.select("digest", F.when(F.col("revisit"), revisit).otherwise(response).alias("header")).write.parquet(f"{path}/headers")
-    # The payload of one record for each digest: whoever holds the hot digest, only one of its rows is left.
-    keys = kept.select("digest", F.col("first.page_id").alias("k_page"), F.col("first.url").alias("k_url"))
-    same = (keyed.digest == keys.digest) & keyed.page_id.eqNullSafe(keys.k_page) & keyed.url.eqNullSafe(keys.k_url)
-    keyed.join(keys, same, "left_semi").dropDuplicates(["digest", "page_id", "url"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    # The payload of one record for each digest: whoever holds the hot digest, only one of its rows is left. Rows are joined by one
+    # key, so that dropping fully repeated ones needs no further shuffle of payloads.
+    row_key = lambda page, url: F.md5(F.to_json(F.struct(F.hex("digest").alias("d"), F.col(page).alias("p"), F.col(url).alias("u"))))
+    keys = kept.select(row_key("first.page_id", "first.url").alias("row"))
+    stored = keyed.select("digest", "payload", row_key("page_id", "url").alias("row")).join(keys, "row", "left_semi").dropDuplicates(["row"])
+    stored.select("digest", "payload").write.parquet(f"{path}/payloads")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
