@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DecimalType
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "benchmark", "conversations", "pages")
 
@@ -181,7 +182,9 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str, params: dict | None = No
     sql = expand(sql, "spark")
     names = {t for t in BASE if f"{{{t}}}" in sql}
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
-    return spark.sql(sql, args=params or {}, **frames)
+    df = spark.sql(sql, args=params or {}, **frames)
+    decimals = {f.name: df[f.name].cast("double") for f in df.schema if isinstance(f.dataType, DecimalType)}
+    return df.withColumns(decimals) if decimals else df
 
 
 def oracle(sql: str, params: dict | None = None) -> str:

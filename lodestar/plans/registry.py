@@ -8,6 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.plans import analytics, stateful, workloads
 
+#: Sums of whole numbers, which DuckDB widens to 128 bits: by query, the columns to narrow to a long as Spark has them.
+WHOLE = {
+    "accounts_paid_over": "total",
+    "usage_by_feature": "total",
+    "running_payments": "total running",
+    "payments_in_window": "total",
+    "accounts_above_avg_paid": "total",
+    "top_accounts_paid": "total",
+    "top_users_usage": "total",
+    "reprice_total": "total missing",
+    "revenue_by_tier": "revenue",
+    "running_usage_for_user": "running",
+    "tickets_without_user": "without_user",
+    "success_vs_failed": "ok failed",
+    "payment_status_pivot": "ok failed returned",
+    "gateway_totals": "ok cost comparable counterfactual excluded",
+    "telemetry_by_route": "failed",
+    "tickets_open_closed_split": "open closed",
+    "leakage_counts": "leaked",
+    "paraphrase_clean_counts": "empty duplicate kept",
+    "paired_counts": "both_right only_a only_b both_wrong",
+    "risk_coverage": "covered errors",
+    "selective_evaluation": "served wrong wrong_deferred",
+    "deferral_windows": "defers",
+    "latency_histogram": "cumulative",
+    "reprice": "cost tokens",
+    "savings_by_day": "counterfactual actual",
+    "spend_by_kind": "spend",
+    "cap_breaches": "spent",
+    "active_reservations": "held",
+}
 MODULES = (analytics, workloads, stateful)
 
 
@@ -15,5 +46,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for m in MODULES for name, f in m.queries().items()}
 
 
+def narrowed(name: str, sql: str) -> str:
+    """The oracle SQL with the types that Spark gives."""
+    casts = [f"CAST({c} AS BIGINT) AS {c}" for c in WHOLE.get(name, "").split()]
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql}) AS whole" if casts else sql
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.oracle_sql().items()}
+    return {name: narrowed(name, sql) for m in MODULES for name, sql in m.oracle_sql().items()}
