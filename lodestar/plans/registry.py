@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import analytics, stateful, workloads
+from lodestar.plans import analytics, stateful, toolcalls, workloads
 
 #: Sums of whole numbers, which DuckDB widens to 128 bits: by query, the columns to narrow to a long as Spark has them.
 WHOLE = {
@@ -39,7 +39,7 @@ WHOLE = {
     "cap_breaches": "spent",
     "active_reservations": "held",
 }
-MODULES = (analytics, workloads, stateful)
+MODULES = (analytics, workloads, toolcalls, stateful)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
