@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import stats
-from lodestar.operators import routing
-from lodestar.streaming import drift
+from lodestar.functions import text as texts
+from lodestar.operators import replay, routing
+from lodestar.plans import toolcalls
+from lodestar.plans.analytics import run_sql
+from lodestar.streaming import drift, limits, simulate
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +43,82 @@ def risk_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(alpha, stats.certify(points, alpha, 0.05)) for alpha in (0.15, 0.25, 0.35)], "alpha double, threshold double")
 
 
+def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests of a user in six hours, five a day."""
+    requests = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
+    return limits.decide(requests, 3, 6 * 3_600_000_000, 5)
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 0).alias("deferred"), (F.col("toxic") == 0).alias("correct"))
+
+
+def calibrated_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simulate.calibrate(spark, simulate.flags_of(_flags(spark, sf_dir), "doc_id", "deferred")[:, 0], 20, 0.5, n_streams=100)
+    return spark.createDataFrame([tuple(found.values())], "tau_num int, tau_den int, rate double, validation_rate double, n_rows int")
+
+
+def burst_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The burst draws from rows that the teacher gets, or that are wrong."""
+    rows = simulate.flags_of(_flags(spark, sf_dir), "doc_id", "deferred", "correct")
+    odd = rows[(rows[:, 0] == 1) | (rows[:, 1] == 0)]
+    return simulate.burst(spark, rows, odd if len(odd) else rows, drift.Limits(tau_num=6), 100, 300, 200)
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state tables as (kind, id, fields)."""
+    parts = {
+        "account": (toolcalls.FREE, "CAST(account_id AS STRING)", ("plan", "seats", "status", "taken")),
+        "user": (toolcalls.USERS, "email", ("account_id", "role")),
+        "invoice": (toolcalls.INV, "CAST(invoice_id AS STRING)", ("status", "amount_cents")),
+        "ticket": (toolcalls.TIX, "CAST(ticket_id AS STRING)", ("status", "assignee")),
+    }
+    out = None
+    for kind, (source, key, fields) in parts.items():
+        rows = run_sql(spark, sf_dir, f"SELECT {key} AS id, {', '.join(fields)} FROM {source} s")
+        part = rows.select(F.lit(kind).alias("kind"), "id", F.to_json(F.struct(*fields)).alias("fields"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+CALL = "array<struct<args:string, tool:string>>"
+
+
+def task_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(task, template, step, tool, args) of the templates with fixed calls. task is a hash of template and key."""
+    out = None
+    for name in ("ms_assign_close", "ms_refund_suspend", "ms_upgrade_then_seats", "dc_onboard", "dc_ticket_pair", "la_user_by_owner"):
+        rows = run_sql(spark, sf_dir, toolcalls.T[name])
+        steps = rows.select(F.xxhash64(F.lit(name), "task_key").alias("task"), F.lit(name).alias("template"), F.posexplode(F.from_json("calls", CALL)).alias("step", "c"))
+        part = steps.select("task", "template", F.col("step").cast("long").alias("step"), "c.tool", "c.args")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.replay(task_calls(spark, sf_dir), entities(spark, sf_dir))
+
+
+def replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind of fault, how many wrong answers the comparison of states tells from the right one, and how many leave the state as it was."""
+    calls, state = task_calls(spark, sf_dir), entities(spark, sf_dir)
+    wrong = replay.corrupt(calls).withColumn("asked", F.xxhash64("fault", "task"))
+    gold = replay.replay(calls, state).select(F.col("task").alias("gold"), F.struct("ok", "changed").alias("want"))
+    got = replay.replay(wrong.select(F.col("asked").alias("task"), "step", "tool", "args"), state)
+    names = wrong.select("fault", F.col("task").alias("gold"), F.col("asked").alias("task")).distinct()
+    judged = names.join(got, "task").join(gold, "gold")
+    same = F.struct("ok", "changed").eqNullSafe(F.col("want"))
+    return judged.groupBy("fault").agg(F.count("*").alias("n"), F.count_if(~same).alias("told"), F.count_if(same).alias("same"))
+
+
+def extracted_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL in answers of the assistant, and the skeleton of each question; texts without SQL give null."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return rows.select("conv_id", "turn", texts.extract_sql(F.col("text")).alias("sql"), F.sha2(texts.skeleton(F.col("text")), 256).alias("skeleton_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (drift_replay, router_scores, risk_certificate)}
+    return {f.__name__: f for f in (drift_replay, router_scores, risk_certificate, rate_limit_decisions, calibrated_tau, burst_replay, replay_final_state, replay_faults, extracted_sql)}
 
 
 def oracle_sql() -> dict[str, str]:
