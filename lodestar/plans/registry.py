@@ -38,6 +38,9 @@ WHOLE = {
     "spend_by_kind": "spend",
     "cap_breaches": "spent",
     "active_reservations": "held",
+    "stream_slots": "peak",
+    "cost_by_model": "tokens cents",
+    "late_cost_updates": "nano",
 }
 MODULES = (analytics, workloads, toolcalls, stateful)
 

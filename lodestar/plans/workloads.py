@@ -38,6 +38,13 @@ w("yield_by_family", "SELECT d.source, count(*) AS generated, count(l.quality) A
 w("chat_last_assistant", "SELECT conv_id, turn, text FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) AS rn FROM {conversations} WHERE role = 'assistant') r WHERE rn = 1")
 w("seal_digest", "SELECT source, count(*) AS n, SHA(CAST(sum(doc_id) AS STRING)) AS seal FROM {documents} GROUP BY source")
 w("paraphrase_clean_counts", f"WITH p AS (SELECT conv_id, turn, {NORMAL} AS t FROM {{conversations}}), o AS (SELECT p.*, row_number() OVER (PARTITION BY conv_id, t ORDER BY turn) AS rn FROM p) SELECT count_if(t = '') AS empty, count_if(t <> '' AND rn > 1) AS duplicate, count_if(t <> '' AND rn = 1) AS kept FROM o")
+w("overlap_counts", f"WITH b AS (SELECT DISTINCT SHA({NORMAL}) AS h FROM {{benchmark}}), d AS (SELECT SHA({NORMAL}) AS h FROM {{documents}}) SELECT count(*) AS n, count(b.h) AS shared FROM d LEFT JOIN b ON b.h = d.h")
+w("router_split", """SELECT doc_id, CASE WHEN l.label IS NOT NULL THEN 'labelled' WHEN rn > 1 THEN 'duplicate' WHEN half % 2 = 0 THEN 'cal' ELSE 'test' END AS part
+    FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS rn, row_number() OVER (PARTITION BY source ORDER BY SHA(CAST(doc_id AS STRING))) AS half FROM (SELECT doc_id, source, SHA(text) AS h FROM {documents}) x) d
+    LEFT JOIN (SELECT doc_id AS label FROM {labels}) l ON l.label = d.doc_id""")
+w("template_caps", "SELECT user_id, event_type, count(*) AS made, least(count(*), :cap) AS kept FROM {events} GROUP BY user_id, event_type", cap=5)
+w("chat_training_rows", "SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer FROM {conversations} q JOIN {conversations} a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant'")
+w("targeted_filter", f"SELECT doc_id FROM {{documents}} d WHERE NOT EXISTS (SELECT 1 FROM {{labels}} l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AND NOT EXISTS (SELECT 1 FROM {{benchmark}} b WHERE SHA(b.text) = SHA(d.text))")
 # evaluation
 w("accuracy_by_family", "SELECT d.lang, count(*) AS n, round(avg(l.quality), 6) AS accuracy FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY d.lang")
 w("example_buckets", "SELECT bucket, doc_id FROM (SELECT doc_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS rn FROM (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'fixed' WHEN quality = 0 AND toxic = 1 THEN 'regressed' WHEN quality = 0 THEN 'still_wrong' ELSE 'still_right' END AS bucket FROM {labels}) b) r WHERE rn <= 20 AND bucket <> 'still_right'")
@@ -49,11 +56,18 @@ w("risk_coverage", "SELECT score, sum(n) OVER (ORDER BY score DESC) AS covered,
 w("coverage_grid", "WITH c AS (SELECT value, count(*) AS n FROM {events} WHERE event_type = 'view' GROUP BY value), r AS (SELECT value, sum(n) OVER (ORDER BY value DESC) AS upto, sum(n) OVER () AS m FROM c) SELECT CAST(g.level AS DOUBLE) AS level, max(value) AS threshold FROM r JOIN (SELECT 0.1 AS level UNION ALL SELECT 0.5 UNION ALL SELECT 0.9) g ON upto >= greatest(1, ceil(g.level * m - 1e-9)) GROUP BY g.level")
 w("selective_evaluation", "SELECT count_if(value >= :t) AS served, count_if(value >= :t AND event_type = 'error') AS wrong, count_if(value < :t AND event_type = 'error') AS wrong_deferred, count(*) AS n FROM {events}", t=10.0)
 w("nearest_rank_percentiles", "SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM {events} GROUP BY event_type")
+w("parity_table", "SELECT count(*) AS n, count_if(a.quality = b.quality) AS agree, count_if(a.quality = 1 AND b.quality = 0) AS only_first, count_if(a.quality = 0 AND b.quality = 1) AS only_second FROM {labels} a JOIN {labels} b ON b.doc_id = a.doc_id + 1")
+w("strongest_source", "SELECT source, accuracy FROM (SELECT d.source, round(avg(CAST(l.quality AS DOUBLE)), 6) AS accuracy FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY d.source) a ORDER BY accuracy DESC, source DESC LIMIT 1")
+w("best_round", "SELECT user_id, day, n FROM (SELECT user_id, day, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, day) AS rn FROM (SELECT user_id, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n FROM {events} GROUP BY user_id, CAST(CAST(ts AS DATE) AS STRING)) c) r WHERE rn = 1")
+w("weighted_loss", "SELECT lang, round(sum(CAST(n_chars AS DOUBLE) * quality) / sum(n_chars), 6) AS loss FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY lang")
 # vectors and routing
 w("nn_similarity", f"SELECT q.vec_id, round(max(DOT(q.v, c.v) / (q.norm * c.norm)), 5) AS nn_sim FROM {CORPUS} q JOIN {CORPUS} c ON c.label = q.label AND c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id")
 w("feature_standardise", "SELECT event_type, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END, 6) AS std FROM {events} GROUP BY event_type")
 w("route_decisions", "SELECT event_id, CASE WHEN score >= :l THEN 'student' ELSE 'teacher' END AS served_by, round(score, 6) AS score FROM (SELECT event_id, 1 / (1 + exp(-(0.5 + 0.02 * value - 0.1 * (user_id % 10)))) AS score FROM {events}) s", l=0.6)
 w("precheck_bound", "SELECT event_id, greatest(1 / (1 + exp(-(0.02 * value))), 1 / (1 + exp(-(0.02 * value + 1)))) >= :l AS may_serve FROM {events}", l=0.75)
+w("vector_normalise", f"SELECT vec_id, round(norm, 5) AS norm, round(DOT(v, v) / (norm * norm), 5) AS unit FROM {CORPUS} c WHERE norm > 0")
+w("decision_reasons", "SELECT event_id, CASE WHEN 0.5 + a + b >= :t THEN 'served' WHEN a <= b THEN 'low_value' ELSE 'user_bucket' END AS reason FROM (SELECT event_id, 0.02 * (value - 10) AS a, 0.1 * (5 - user_id % 10) AS b FROM {events}) s", t=0.6)
+w("blend_costs", "SELECT event_type, n, teacher, student, CASE WHEN teacher > student THEN CAST(ceil(1000000.0 / (teacher - student)) AS BIGINT) END AS break_even FROM (SELECT event_type, count(*) AS n, CAST(300 AS BIGINT) AS teacher, CAST(floor(avg(value)) AS BIGINT) + 20 AS student FROM {events} GROUP BY event_type) s")
 # monitoring
 w("deferral_windows", "SELECT user_id, event_id, defers, n FROM (SELECT user_id, event_id, sum(d) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS defers, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS d FROM {events}) e) s WHERE defers * 10 >= n * 4")
 w("audit_sample", "SELECT event_id FROM {events} WHERE substring(SHA(concat('drift-audit:', CAST(event_id AS STRING))), 1, 2) < :cut", cut="1a")
@@ -63,6 +77,10 @@ w("latency_histogram", f"SELECT bucket, sum(n) OVER (ORDER BY bucket) AS cumulat
 w("telemetry_by_route", f"SELECT route, count(*) AS n, count_if(NOT ok) AS failed, round(avg(latency_ms), 4) AS mean_ms, percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) AS p95_ms FROM {CALLS} c GROUP BY route")
 w("daily_cap", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS k FROM {events}) s WHERE k <= :cap", cap=1)
 w("health_classes", "SELECT event_id, CASE WHEN value > 60 THEN 'dead' WHEN value > 30 THEN 'stalled' WHEN value > 10 THEN 'slow' ELSE 'ok' END AS health FROM {events}")
+w("stage_snapshot_delta", "SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM (SELECT user_id, count(*) AS n FROM {events} WHERE ts < TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id) a FULL JOIN (SELECT user_id, count(*) AS n FROM {events} WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' GROUP BY user_id) b ON b.user_id = a.user_id WHERE coalesce(b.n, 0) <> coalesce(a.n, 0)")
+w("throughput_levels", "SELECT user_id % 8 AS level, count(*) AS n, count_if(event_type = 'error') AS errors, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM {events} GROUP BY user_id % 8")
+w("stream_slots", "SELECT user_id, max(open) AS peak FROM (SELECT user_id, sum(d) OVER (PARTITION BY user_id ORDER BY us, d ROWS UNBOUNDED PRECEDING) AS open FROM (SELECT user_id, MICROS(ts) AS us, 1 AS d FROM {events} UNION ALL SELECT user_id, MICROS(ts) + CAST(floor(value) AS BIGINT) * 3600000000, -1 FROM {events}) e) s GROUP BY user_id")
+w("heartbeat_counters", "SELECT user_id, count(*) AS beats, count_if(event_type = 'view') AS views, MICROS(max(ts)) AS last_us FROM {events} GROUP BY user_id")
 # ledgers
 w("served_by_counts", f"SELECT day, served_by, count(*) AS n FROM {CALLS} c WHERE ok GROUP BY day, served_by")
 w("gateway_totals", f"SELECT count(*) AS n, count_if(ok) AS ok, sum(cost_nano) AS cost, sum(CASE WHEN teacher_nano IS NOT NULL THEN cost_nano END) AS comparable, sum(teacher_nano) AS counterfactual, count_if(teacher_nano IS NULL) AS excluded FROM {CALLS} c")
@@ -78,6 +96,13 @@ w("duplicate_spend_rows", "SELECT event_type, count(*) - count(DISTINCT concat(C
 w("operations_by_hour", "SELECT substring(CAST(date_trunc('hour', ts) AS STRING), 1, 13) AS hour, count(*) AS n FROM {events} GROUP BY hour")
 w("json_path_counts", "SELECT FIELD_K(props) AS k, count(*) AS n FROM {events} GROUP BY k")
 
+w("cost_by_model", "SELECT l_returnflag AS model, count(*) AS calls, sum(CAST(l_quantity AS BIGINT)) AS tokens, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM {lineitem} GROUP BY l_returnflag")
+w("late_cost_updates", f"SELECT request_id, sum(nano) AS nano FROM (SELECT request_id, cost_nano AS nano FROM {CALLS} c UNION ALL SELECT request_id, CAST(500 AS BIGINT) FROM {CALLS} c WHERE served_by = 'teacher') u GROUP BY request_id")
+w("mean_output_tokens", "SELECT event_type AS purpose, count(*) AS n, round(avg(FIELD_K(props)), 4) AS mean_tokens, count_if(props IS NULL) AS excluded FROM {events} GROUP BY event_type")
+w("planned_steps", "SELECT lang, count(*) AS n, CAST(ceil(count(*) / 8.0) * 3 AS BIGINT) AS steps, CAST(ceil(sum(n_chars) / 4.0) * 3 AS BIGINT) AS tokens FROM {documents} GROUP BY lang")
+w("run_listing", "SELECT o_custkey AS run, count(*) AS n, max(CAST(CAST(o_orderdate AS DATE) AS STRING)) AS last_day, count(l.l_orderkey) AS reports FROM {orders} o LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem} WHERE l_returnflag = 'R') l ON l.l_orderkey = o.o_orderkey GROUP BY o_custkey")
+w("audit_counts", "SELECT user_id % 10 AS actor, event_type AS action, count(*) AS n FROM {events} GROUP BY user_id % 10, event_type")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: lambda spark, sf_dir, sql=sql, params=params: run_sql(spark, sf_dir, sql, params) for name, (sql, params) in W.items()}
