@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.plans import analytics, stateful, toolcalls, workloads
 
-#: Sums of whole numbers, which DuckDB widens to 128 bits: by query, the columns to narrow to a long as Spark has them.
+#: Columns whose type differs between the dialects, by query: made long as in Spark (DuckDB widens sums to 128 bits), or the type after a colon.
 WHOLE = {
     "accounts_paid_over": "total",
     "usage_by_feature": "total",
@@ -24,12 +24,12 @@ WHOLE = {
     "success_vs_failed": "ok failed",
     "payment_status_pivot": "ok failed returned",
     "gateway_totals": "ok cost comparable counterfactual excluded",
-    "telemetry_by_route": "failed",
+    "telemetry_by_route": "failed p95_ms:DOUBLE",
     "tickets_open_closed_split": "open closed",
     "leakage_counts": "leaked",
     "paraphrase_clean_counts": "empty duplicate kept",
     "paired_counts": "both_right only_a only_b both_wrong",
-    "risk_coverage": "covered errors",
+    "risk_coverage": "score covered errors",
     "selective_evaluation": "served wrong wrong_deferred",
     "deferral_windows": "defers",
     "latency_histogram": "cumulative",
@@ -39,6 +39,13 @@ WHOLE = {
     "cap_breaches": "spent",
     "active_reservations": "held",
     "stream_slots": "peak",
+    "parity_table": "agree only_first only_second",
+    "throughput_levels": "errors",
+    "heartbeat_counters": "views",
+    "mean_output_tokens": "excluded",
+    "top_ticket_accounts_rank": "rk:INTEGER",
+    "rank_accounts_in_country": "rk:INTEGER",
+    "few_shot_round_robin": "depth:INTEGER",
     "cost_by_model": "tokens cents",
     "late_cost_updates": "nano",
 }
@@ -51,7 +58,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def narrowed(name: str, sql: str) -> str:
     """The oracle SQL with the types that Spark gives."""
-    casts = [f"CAST({c} AS BIGINT) AS {c}" for c in WHOLE.get(name, "").split()]
+    split = [c.partition(":") for c in WHOLE.get(name, "").split()]
+    casts = [f"CAST({c} AS {kind or 'BIGINT'}) AS {c}" for c, _, kind in split]
     return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql}) AS whole" if casts else sql
 
 
