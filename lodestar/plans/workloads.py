@@ -6,9 +6,12 @@ values, scaled; correctness is the absence of an error. Money is nano-units, as
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.plans.analytics import oracle, run_sql
 
@@ -21,7 +24,7 @@ def w(name: str, sql: str, **params: object) -> None:
 
 NORMAL = "lower(trim(replace(replace(text, chr(10), ' '), chr(9), ' ')))"
 CALLS = "(SELECT event_id AS request_id, CAST(CAST(ts AS DATE) AS STRING) AS day, CASE WHEN event_type = 'error' THEN 'teacher' ELSE 'student' END AS served_by, event_type <> 'signup' AS ok, CAST(round(value * 1000) AS BIGINT) AS cost_nano, CASE WHEN event_id % 5 <> 0 THEN CAST(round(value * 3000) AS BIGINT) END AS teacher_nano, CAST(floor(value * 10) AS BIGINT) AS latency_ms, user_id % 8 AS route FROM {events})"
-# Vectors are truncated to 32 dimensions.
+# Vectors are taken whole; the reference's truncation is not done.
 CORPUS = "(SELECT vec_id, label, slice_v AS v, sqrt(DOT(slice_v, slice_v)) AS norm FROM (SELECT vec_id, label, embedding AS slice_v FROM {embeddings}) s)"
 
 # curation
@@ -61,7 +64,7 @@ w("strongest_source", "SELECT source, accuracy FROM (SELECT d.source, round(avg(
 w("best_round", "SELECT user_id, day, n FROM (SELECT user_id, day, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, day) AS rn FROM (SELECT user_id, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n FROM {events} GROUP BY user_id, CAST(CAST(ts AS DATE) AS STRING)) c) r WHERE rn = 1")
 w("weighted_loss", "SELECT lang, round(sum(CAST(n_chars AS DOUBLE) * quality) / sum(n_chars), 6) AS loss FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY lang")
 # vectors and routing
-w("nn_similarity", f"SELECT q.vec_id, round(max(DOT(q.v, c.v) / (q.norm * c.norm)), 5) AS nn_sim FROM {CORPUS} q JOIN {CORPUS} c ON c.label = q.label AND c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id")
+w("nn_similarity", f"SELECT q.vec_id, round(max(DOT(q.v, c.v) / (q.norm * c.norm)), 5) AS nn_sim FROM {CORPUS} q JOIN {CORPUS} c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id")
 w("feature_standardise", "SELECT event_type, round(avg(value), 6) AS mean, round(CASE WHEN stddev_pop(value) = 0 THEN 1 ELSE stddev_pop(value) END, 6) AS std FROM {events} GROUP BY event_type")
 w("route_decisions", "SELECT event_id, CASE WHEN score >= :l THEN 'student' ELSE 'teacher' END AS served_by, round(score, 6) AS score FROM (SELECT event_id, 1 / (1 + exp(-(0.5 + 0.02 * value - 0.1 * (user_id % 10)))) AS score FROM {events}) s", l=0.6)
 w("precheck_bound", "SELECT event_id, greatest(1 / (1 + exp(-(0.02 * value))), 1 / (1 + exp(-(0.02 * value + 1)))) >= :l AS may_serve FROM {events}", l=0.75)
@@ -104,8 +107,53 @@ w("run_listing", "SELECT o_custkey AS run, count(*) AS n, max(CAST(CAST(o_orderd
 w("audit_counts", "SELECT user_id % 10 AS actor, event_type AS action, count(*) AS n FROM {events} GROUP BY user_id % 10, event_type")
 
 
+#: Vectors of a block; two blocks are held at once.
+BLOCK = 1024
+
+
+def _blocks(vectors: DataFrame, ids: str, unit: str) -> DataFrame:
+    """(ids, unit): blocks of at most BLOCK vectors, scaled to length 1, as bytes. Null ids, null and zero vectors have no direction and are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            at = np.array([i for i, _ in held], np.int64).tobytes()
+            return pa.record_batch([pa.array([at], pa.binary()), pa.array([np.stack([v for _, v in held]).tobytes()], pa.binary())], names=[ids, unit])
+
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = np.array(x.as_py() or [0], np.float64)
+                if i is not None and (norm := np.sqrt(v @ v)) > 0:
+                    held.append((i, v / norm))
+                if len(held) == BLOCK:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    return vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, f"{ids} binary, {unit} binary")
+
+
+def nn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest cosine of each query (every twentieth vec_id) to any row of another vec_id: blocks of queries against blocks of all rows."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    pairs = _blocks(vectors.where("vec_id % 20 = 0"), "q_ids", "q").crossJoin(_blocks(vectors, "c_ids", "c"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, x, b, y in zip(*batch.columns, strict=True):
+                q_ids, c_ids = np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.int64)
+                q, c = np.frombuffer(x.as_buffer()).reshape(len(q_ids), -1), np.frombuffer(y.as_buffer()).reshape(len(c_ids), -1)
+                top = np.where(q_ids[:, None] == c_ids, -np.inf, q @ c.T).max(axis=1)
+                some = top > -np.inf
+                yield pa.record_batch([pa.array(q_ids[some]), pa.array(top[some])], names=["vec_id", "nn_sim"])
+
+    return pairs.mapInArrow(best, "vec_id bigint, nn_sim double").groupBy("vec_id").agg(F.round(F.max("nn_sim"), 5).alias("nn_sim"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, sql=sql, params=params: run_sql(spark, sf_dir, sql, params) for name, (sql, params) in W.items()}
+    return {name: lambda spark, sf_dir, sql=sql, params=params: run_sql(spark, sf_dir, sql, params) for name, (sql, params) in W.items()} | {"nn_similarity": nn_similarity}
 
 
 def oracle_sql() -> dict[str, str]:
