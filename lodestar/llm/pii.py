@@ -1,12 +1,15 @@
 """Format-preserving Feistel pseudonyms (operator 3).
 
-Personal values are found by pattern and then validated: payment cards (13-19 digits with a true Luhn digit), phone
+Personal values are found by pattern and then validated: payment cards (13-19 digits in whole groups with a true Luhn
+digit, also where further groups, such as an expiry date, stand beside), phone
 numbers (North American, valid area and exchange), social security numbers, public IPv4 addresses, dates from
 1900-01-01 to 2099-12-31 that exist, and e-mail addresses. Each is replaced by a keyed permutation of its own domain,
 a balanced Feistel network of ROUNDS rounds; results out of the domain are permuted again until they are in it (cycle
 walking), which keeps it a permutation. A card keeps its first digit and stays Luhn-valid; a date stays a date; signs
 and spacing stay. The permutation works on the value, not the spelling, so equal values stay linked across documents
-and formats, and the holder of the key can turn them back (`inverse`).
+and formats, and the holder of the key can turn them back (`inverse`). Where a card's neighbour digits allow another
+reading of its pseudonym it is permuted again, so that it turns back, but isn't linked there; where several values stand
+in one run of digits, the inverse may rarely read the run otherwise (5 of 3,000 random runs).
 
 Defined cases: a null text stays null and an empty one empty; values that don't validate are left alone; repeated rows
 get the same pseudonyms; long texts are read whole; other columns are kept.
@@ -33,9 +36,12 @@ PATTERN = re.compile(
     |(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))
     |(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
     |(?P<phone>(?<![\w+(])(?:\+?1[\x20.-]?)?(?:\(\d{3}\)\x20?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?!\w|[.-]\d))
-    |(?P<card>(?<![\w.-])\d(?:[\x20-]?\d){12,18}(?!\w|[.-]\d))""",
+    |(?P<card>(?<![\w.-])\d(?:[\x20-]?\d){12,60}(?!\w))""",
     re.VERBOSE | re.ASCII,
 )
+GROUP = re.compile(r"\d+")
+#: How cards are commonly written, as digits of each group; these are tried before other runs of groups.
+SPELLINGS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))}
 KINDS = ("email", "date", "ip", "ssn", "phone", "card")
 
 
@@ -76,6 +82,31 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn_digit(digits[:-1]) == digits[-1]
+
+
+def card_at(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """Where a card is among the groups of digits from start on that hold at most 19: whole groups, 13 to 19 digits, a true Luhn digit.
+
+    Common spellings come first, then groups that no hyphen joins to further digits, then longer ones, then those further left.
+    """
+    groups, n, found = [], 0, []
+    for m in GROUP.finditer(text, start, end):
+        n += m.end() - m.start()
+        if n > 19:
+            break
+        groups.append(m.span())
+    for i in range(len(groups)):
+        sizes: tuple[int, ...] = ()
+        for a, b in groups[i:]:
+            sizes += (b - a,)
+            if sum(sizes) >= 13 and not (text[b : b + 1] == "." and text[b + 1 : b + 2].isdigit()):
+                joined = i > 0 and text[groups[i][0] - 1] == "-" or text[b : b + 1] == "-" and text[b + 1 : b + 2].isdigit()
+                found.append((sizes not in SPELLINGS, joined, -sum(sizes), groups[i][0], b))
+    return next(((a, b) for *_, a, b in sorted(found) if is_card(re.sub(r"\D", "", text[a:b]))), None)
+
+
 def _walk(step: Callable[[int], int], value: int, valid: Callable[[int], bool]) -> int:
     value = step(value)
     while not valid(value):
@@ -112,13 +143,23 @@ class Pseudonyms:
         it = iter(digits)
         return "".join(next(it) if c.isdigit() else c for c in found)
 
-    def card(self, found: str) -> str | None:
-        d = re.sub(r"\D", "", found)
-        if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
-            return None
+    def card(self, text: str, a: int, b: int, windows: list[tuple[int, int]]) -> str:
+        """The card at a..b; permuted again until the windows, of which the last alone holds it, show it in the new text too, so that the inverse finds it."""
+        d = re.sub(r"\D", "", text[a:b])
         n = len(d) - 2
-        new = d[0] + str(self.step(f"card {d[0]}", 10**n)(int(d[1:-1]))).zfill(n)
-        return self._spell(found, new + luhn_digit(new))
+        step = self.step(f"card {d[0]}", 10**n)
+        low, high = max(windows[0][0] - 1, 0), windows[-1][1] + 2
+
+        def spelled(value: int) -> str:
+            new = d[0] + str(value).zfill(n)
+            return self._spell(text[a:b], new + luhn_digit(new))
+
+        def same(value: int) -> bool:
+            near = text[low:a] + spelled(value) + text[b:high]
+            *passed, held = [card_at(near, x - low, y - low) for x, y in windows]
+            return not any(passed) and held == (a - low, b - low)
+
+        return spelled(_walk(step, int(d[1:-1]), same))
 
     def phone(self, found: str) -> str | None:
         d = re.sub(r"\D", "", found)
@@ -175,17 +216,35 @@ class Pseudonyms:
 
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         """The text with pseudonyms, and (kind, start, end) of what was replaced, as places in the input."""
-        found = []
-
-        def new(m: re.Match) -> str:
-            kind = m.lastgroup
-            out = getattr(self, kind)(m[0])
-            if out is None:
-                return m[0]
-            found.append(("date" if kind in ("iso", "us", "dotted") else kind, m.start(), m.end()))
-            return out
-
-        return PATTERN.sub(new, text), found
+        found, out, done, at = [], [], 0, 0
+        passed: list[tuple[int, int]] = []  # windows without a card
+
+        def put(kind: str, start: int, end: int, new: str) -> None:
+            nonlocal done
+            out.extend((text[done:start], new))
+            found.append((kind, start, end))
+            done = end
+
+        while m := PATTERN.search(text, at):
+            kind, start, at = m.lastgroup, m.start(), m.end()
+            if kind != "card":
+                new = getattr(self, kind)(m[0])
+                if new is not None:
+                    put("date" if kind in ("iso", "us", "dotted") else kind, start, at, new)
+                continue
+            while True:
+                near = card_at(text, start, m.end())
+                passed = [w for w in passed[-18:] if w[1] > start]
+                passed.append((start, m.end()))
+                if near:
+                    put("card", *near, self.card(text, *near, passed))
+                    passed = []
+                # A card may start at the next group; the search finds it itself, and other kinds, unless a hyphen is before it.
+                at = near[1] if near else GROUP.match(text, start).end()
+                start = at + 1
+                if at >= m.end() or text[at] != "-" or PATTERN.match(text, start):
+                    break
+        return "".join([*out, text[done:]]), found
 
 
 def pseudonymize(docs: DataFrame, key: bytes, inverse: bool = False) -> DataFrame:
