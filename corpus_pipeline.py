@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, 80 %. The 4 words and 85 % of op8_ngram_jaccard bind only that query."""
-    return jaccard.keep_one(docs, width=5, percent=80).select(docs.columns)
+    return jaccard.keep_each(docs, width=5, percent=80).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

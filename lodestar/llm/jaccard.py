@@ -125,8 +125,8 @@ def _per_text(docs: DataFrame, of_text, schema: str, flush: int = 200_000) -> Da
 
 
 def survey(docs: DataFrame, width: int) -> DataFrame:
-    """One pass: (doc_id, n, id) of every row, and (token, count) of tokens that a task meets in two sets among CHUNK tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
+    """One pass: (doc_id, key, n, id) of every row, `key` a hash of its text, and (token, count) of tokens that a task meets in two sets among CHUNK tokens."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("token", pa.int64()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -135,7 +135,7 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
             tokens, counts = tokens[counts > 1].view(np.int64), counts[counts > 1]
             none = pa.nulls(len(tokens), pa.int64())
-            return pa.record_batch([none, none, none, pa.array(tokens), pa.array(counts, pa.int64())], schema=schema)
+            return pa.record_batch([none, none, none, none, pa.array(tokens), pa.array(counts, pa.int64())], schema=schema)
 
         for batch in batches:
             ns, ids = [], []
@@ -151,11 +151,11 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
                     yield out()
                     held, size, seen = [], 0, set()
             none = pa.nulls(len(ns), pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), none, none], schema=schema)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(ns, pa.int64()), pa.array(ids, pa.int64()), none, none], schema=schema)
         if held:
             yield out()
 
-    found = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n bigint, id bigint, token bigint, count bigint")
+    found = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, key bigint, n bigint, id bigint, token bigint, count bigint")
     return materialize(found, "survey")
 
 
@@ -312,3 +312,22 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     single = kept.where("_n = 1").drop("_id", "_n")
     several = kept.where("_n > 1").withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id", "_n").orderBy(F.xxhash64("text"))))
     return single.unionByName(several.where("_rn = 1").drop("_id", "_n", "_rn"))
+
+
+def keep_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, whatever ids they have: that with the smallest doc_id (null last), then the least hash of its text.
+
+    Texts without a set are their own components; of rows equal in doc_id and text one stays.
+    """
+    found = survey(docs, width)
+    rows = found.where("token IS NULL").groupBy("doc_id", "key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("_n"))
+    roots = link_components(docs, found.where("token IS NOT NULL").select("token", "count"), width, percent)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n")
+    firsts = rows.where("n > 0").groupBy("id").agg(F.min(first).alias("least")).join(roots, "id", "left")
+    full = firsts.groupBy(F.coalesce("root", "id")).agg(F.min("least").alias("least"))
+    keep = full.unionByName(rows.where("n = 0").select(first.alias("least")), allowMissingColumns=True).select("least._id", "least._key", "least._n")
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
+    # Only repeated rows are dealt out again.
+    single = kept.where("_n = 1").drop("_id", "_key", "_n")
+    several = kept.where("_n > 1").withColumn("_rn", F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_n")))
+    return single.unionByName(several.where("_rn = 1").drop("_id", "_key", "_n", "_rn"))

@@ -42,3 +42,12 @@ def test_threshold_parts_the_labelled_sample(spark: SparkSession) -> None:
     assert any(r["doc_id"] % 2 for r in fixed.collect())
     only_good = quality.judge(docs, labels.where("quality = 1"))
     assert all(r["kept"] != r["base_failed"] for r in only_good.collect())
+
+
+def test_stage_keeps_different_texts_that_share_an_id(spark: SparkSession) -> None:
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    near = a.replace("a49", "z")
+    rows = [(4, a), (4, a), (4, b), (None, c), (None, None), (None, "x"), (None, "x"), (5, None), (2, near), (2, c), (6, ""), (6, " "), (7, c.upper())]
+    docs = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(4, b), (None, None), (None, "x"), (5, None), (2, near), (2, c), (6, ""), (6, " ")], key=str)
