@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from lodestar.llm.shared import materialize
 
 CAPACITY, END_ID = 1024, 2
+#: The vocabulary's added token; it is one id where a text spells it, as in the JSON form.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Pieces that a task of the first round packs; bins with at most this room left are full; tasks that meet in a later round.
 TASK_PIECES, SLACK, FAN_IN = 100_000, 8, 8
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
@@ -37,7 +39,7 @@ def load_encoding(ranks_path: str, pattern: str) -> object:
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def tokenize(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -49,7 +51,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAP
         for batch in batches:
             rows, held = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), end_id).astype("<u4")
+                ids = np.append(encode(text.as_py() or "", allowed_special=set(SPECIAL)), end_id).astype("<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 rows += [(doc_id, k, a, b - a, ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
