@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import stats
@@ -81,27 +81,35 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-CALL = "array<struct<args:string, tool:string>>"
+CALL = "struct<args:string, tool:string>"
 
 
 def task_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(task, template, step, tool, args) of the templates with fixed calls. task is a hash of template and key."""
+    """(task, template, step, tool, args) of all templates. task is a hash of template and key; the rows of a bulk template's group are its steps,
+    in order of their text. A task without calls has one row, of step -1 without tool."""
     out = None
-    for name in ("ms_assign_close", "ms_refund_suspend", "ms_upgrade_then_seats", "dc_onboard", "dc_ticket_pair", "la_user_by_owner"):
-        rows = run_sql(spark, sf_dir, toolcalls.T[name])
-        steps = rows.select(F.xxhash64(F.lit(name), "task_key").alias("task"), F.lit(name).alias("template"), F.posexplode(F.from_json("calls", CALL)).alias("step", "c"))
-        part = steps.select("task", "template", F.col("step").cast("long").alias("step"), "c.tool", "c.args")
+    for name, sql in toolcalls.T.items():
+        rows = run_sql(spark, sf_dir, sql).withColumns({"template": F.lit(name), "task": F.xxhash64(F.lit(name), "task_key")})
+        if "call" in rows.columns:
+            steps = rows.select("task", "template", (F.row_number().over(Window.partitionBy("task").orderBy("call")) - 1).alias("step"), F.from_json("call", CALL).alias("c"))
+        else:
+            steps = rows.select("task", "template", F.posexplode_outer(F.from_json("calls", f"array<{CALL}>")).alias("step", "c"))
+        part = steps.select("task", "template", F.coalesce(F.col("step").cast("long"), F.lit(-1).cast("long")).alias("step"), "c.tool", "c.args")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.replay(task_calls(spark, sf_dir), entities(spark, sf_dir))
+    """Tasks without calls run through and change nothing."""
+    calls = task_calls(spark, sf_dir).persist()
+    done = replay.replay(calls.where("step >= 0"), entities(spark, sf_dir))
+    idle = calls.where("step < 0").select("task", F.lit(True).alias("ok"), F.lit(0).cast("long").alias("n_applied"), F.lit(None).cast("long").alias("failed_step"), F.lit(None).cast("string").alias("error"), F.lit("{}").alias("changed"))
+    return done.unionByName(idle)
 
 
 def replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each kind of fault, how many wrong answers the comparison of states tells from the right one, and how many leave the state as it was."""
-    calls, state = task_calls(spark, sf_dir), entities(spark, sf_dir)
+    calls, state = task_calls(spark, sf_dir).where("step >= 0").persist(), entities(spark, sf_dir)
     wrong = replay.corrupt(calls).withColumn("asked", F.xxhash64("fault", "task"))
     gold = replay.replay(calls, state).select(F.col("task").alias("gold"), F.struct("ok", "changed").alias("want"))
     got = replay.replay(wrong.select(F.col("asked").alias("task"), "step", "tool", "args"), state)
