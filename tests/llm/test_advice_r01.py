@@ -30,16 +30,14 @@ def test_stage_joins_at_five_words_and_80_percent(spark: SparkSession) -> None:
 
 
 def test_threshold_parts_the_labelled_sample(spark: SparkSession) -> None:
-    """Bad texts share most words with the good ones: a fixed -0.45 keeps some of them."""
+    """Bad texts share most words with the good ones; without bad labels only the base rules decide."""
     rng = random.Random(8)
-    good, bad = [f"g{i}" for i in range(150)], [f"b{i}" for i in range(150)]
+    good, bad = [f"g{i}" for i in range(20)], [f"b{i}" for i in range(20)]
     texts = [" ".join(rng.choice(bad if k % 2 and rng.random() < 0.08 else good) for _ in range(80)) for k in range(160)]
     docs = docs_of(spark, texts)
     labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(120)], "doc_id bigint, quality int, toxic int")
     kept = {r["doc_id"] for r in quality.keep(docs, labels).collect()}
     assert {d for d in kept if d < 120} == set(range(0, 120, 2))
-    fixed = quality.keep(docs, labels, threshold=-0.45)
-    assert any(r["doc_id"] % 2 for r in fixed.collect())
     only_good = quality.judge(docs, labels.where("quality = 1"))
     assert all(r["kept"] != r["base_failed"] for r in only_good.collect())
 
