@@ -55,7 +55,7 @@ def op5_chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(suffixes.kept_bytes(F.col("text"), F.col("spans")), 256).alias("kept_sha256"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 @cache
 def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="lodestar-")
+    return tempfile.mkdtemp(prefix="spark-lodestar-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder named in spark.checkpoint.dir. Only where that is unset and Spark is a single process (tests), one of our own; on a cluster it must be set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+    return (path or _own_dir()).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,6 +41,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            if "/lodestar/" not in folder:
+                raise ValueError(f"not a table of this package: {folder}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that df doesn't have, one for each wanted one."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        new, k = f"_{name}", 0
+        while new.lower() in taken:
+            k += 1
+            new = f"_{name}_{k}"
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
 BITMAP_BITS = 25
 
 

@@ -16,14 +16,18 @@ only sampled suffixes are carried, as in induced sorting, and the others are ind
    each distinct cover; thousands of copies cost as much as one.
 
 Names are 64-bit digests, compared within equal outer names: 128 bits and more decide. What is shuffled are names of
-anchors that repeat, and windows at the ends of repeated passages.
+anchors that repeat, and the bytes around one anchor for each distinct cover whose name is unclear. The bitmaps only save
+shuffles: where they are full, every anchor is shuffled once (some 40 bytes for each 64 bytes of text). Counts are written
+before they are joined back, so that Spark can split the rows of a very common name.
 
 Defined cases: a null text is empty; texts shorter than `length` lose nothing; equal texts are treated alike (both lose
-what the other has); repeated rows count as two places; other columns are kept.
+what the other has); repeated rows count as two places; other columns are kept, whatever their names, but for
+n_bytes, n_removed, n_spans and spans, which are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import bitmap, in_bitmap, materialize
+from lodestar.llm.shared import bitmap, discard, fresh, in_bitmap, materialize
 
 LENGTH, GRAM, STEP = 400, 16, 16
 _M1, _M2, _M3 = (np.uint64(xxhash.xxh3_64_intdigest(f"anchor {i}") | 1) for i in range(3))
@@ -83,39 +87,49 @@ def _long(data: bytes, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(data, seed) - (1 << 63)
 
 
-def _as_bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+#: Rows and bytes that a task holds at most (and one row more) before it hands them on.
+FLUSH_ROWS, FLUSH_BYTES = 20_000, 8_000_000
+#: Digests that a task remembers.
+SEEN = 1_000_000
 
 
-def _rows(df: DataFrame, schema: str, each: Callable, flush: int = 100_000) -> DataFrame:
+def _rows(df: DataFrame, schema: str, each: Callable) -> DataFrame:
     """mapInArrow: each(row of df) gives tuples of the schema."""
     kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     names, types = zip(*[(c.split()[0], kinds[c.split()[1]]) for c in schema.split(",")], strict=True)
+    blobs = [i for i, t in enumerate(types) if t == pa.binary()]
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
         for batch in batches:
             for cells in zip(*batch.columns, strict=True):
-                held.extend(each(*[c.as_py() for c in cells]))
-                if len(held) >= flush:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=list(names))
-                    held = []
+                for row in each(*[c.as_py() for c in cells]):
+                    held.append(row)
+                    size += sum(len(row[i]) for i in blobs)
+                    if len(held) >= FLUSH_ROWS or size >= FLUSH_BYTES:
+                        yield batch_of(held)
+                        held, size = [], 0
         if held:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=list(names))
+            yield batch_of(held)
 
     return df.mapInArrow(run, schema)
 
 
-def _digest_column(docs: DataFrame) -> DataFrame:
-    @F.arrow_udf("binary")
-    def digest(texts: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(_as_bytes(x.as_py())) for x in texts], pa.binary())
+def _id_of(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:16]
+
 
-    return docs.withColumn("_text", digest("text"))
+def _id_column(text: Column) -> Column:
+    """What _id_of gives, worked out by Spark."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
 
 
 def _low(text: str = "text_id") -> Column:
-    """The last 8 bytes of a digest as a long, for bitmaps."""
+    """The last 7 bytes of a digest as a long, for bitmaps."""
     return F.conv(F.hex(F.substring(text, 10, 7)), 16, 10).cast("long")
 
 
@@ -127,22 +141,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(text_id, start, end) of byte spans, covered by repeated windows, of the text with that digest; they may overlap."""
     reach = reach_of(length)
     context = docs.sparkSession.sparkContext
-    texts = docs.where(F.length("text").isNotNull()).select("text")
+    texts = docs.where(F.length("text").isNotNull()).select(F.encode("text", "UTF-8").alias("data"))
+    name_of = lambda data, a: _long(data[a - reach + 1 : a + length + 2 - 2 * reach])
 
-    def keys(text: str) -> Iterator[tuple[int]]:
-        data = _as_bytes(text)
-        return [(_long(data[a - reach + 1 : a + length + 2 - 2 * reach]),) for a, _, _ in windows_of(data, length, reach)]
+    def keys(data: bytes) -> list[tuple[int]]:
+        return [(name_of(data, a),) for a, _, _ in windows_of(data, length, reach)]
 
-    names = _rows(texts, "key bigint", keys).groupBy("key").count().where("count > 1")
-    may = context.broadcast(bitmap(names, "key"))
+    may = context.broadcast(bitmap(_rows(texts, "key bigint", keys).groupBy("key").count().where("count > 1"), "key"))
 
-    def covers(text: str) -> list[tuple]:
-        data = _as_bytes(text)
+    def covers(data: bytes) -> list[tuple]:
         mine = windows_of(data, length, reach)
         if not mine:
             return []
-        key = np.array([_long(data[a - reach + 1 : a + length + 2 - 2 * reach]) for a, _, _ in mine], np.int64)
-        text_id = xxhash.xxh3_128_digest(data)
+        key = np.array([name_of(data, a) for a, _, _ in mine], np.int64)
+        text_id = _id_of(data)
         out = []
         for i in np.flatnonzero(in_bitmap(may.value, key.view(np.uint64))).tolist():
             a, first, last = mine[i]
@@ -152,87 +164,115 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = materialize(_rows(texts, "key bigint,cover bigint,text_id binary,at int,first int,last int", covers), "anchors")
     place = F.struct("text_id", "at", "first", "last")
     by_cover = materialize(found.groupBy("key", "cover").agg(F.count("*").alias("n"), F.min(place).alias("place")), "covers")
-    whole = found.join(by_cover.where("n > 1").select("key", "cover"), ["key", "cover"]).select("text_id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    unclear = by_cover.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    members = materialize(by_cover.join(unclear, "key").select("key", "cover", "n", "place.*"), "members")
+    again = by_cover.where("n > 1").select("key", "cover")
+    whole = materialize(found.join(again, ["key", "cover"]).select("text_id", F.col("first").alias("start"), (F.col("last") + length).alias("end")), "whole")
+    discard(found)
+    unclear = materialize(by_cover.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "unclear")
+    members = materialize(by_cover.join(unclear, "key").select("key", "place.*"), "members")
+    discard(by_cover, unclear)
 
     # The bytes around one anchor for each distinct cover of an unclear name.
     wanted = context.broadcast(bitmap(members.select(_low().alias("low")), "low"))
+    seen: set[bytes] = set()  # a task's own copy
 
-    def fetched(text: str) -> list[tuple]:
-        data = _as_bytes(text)
-        text_id = xxhash.xxh3_128_digest(data)
-        return [(text_id, data)] if in_bitmap(wanted.value, np.array([_low_of(text_id)], np.uint64))[0] else []
+    def fetched(data: bytes) -> list[tuple]:
+        text_id = _id_of(data)
+        if text_id in seen or not in_bitmap(wanted.value, np.array([_low_of(text_id)], np.uint64))[0]:
+            return []
+        if len(seen) >= SEEN:
+            seen.clear()
+        seen.add(text_id)
+        return [(text_id, data)]
 
-    each_text = members.groupBy("text_id").agg(F.collect_list(F.struct("key", "cover", "n", "at", "first", "last")).alias("rows"))
-    bytes_of = _rows(texts, "text_id binary,data binary", fetched, 2000).dropDuplicates(["text_id"])
+    each_text = members.groupBy("text_id").agg(F.collect_list(F.struct("key", "at", "first", "last")).alias("rows"))
+    bytes_of = _rows(texts, "text_id binary,data binary", fetched).dropDuplicates(["text_id"])
 
-    def around(text_id: bytes, data: bytes, rows: list[dict]) -> list[tuple]:
-        return [(r["key"], r["n"], text_id, r["at"], r["first"], r["last"], data[r["first"] : r["last"] + length]) for r in rows]
+    def around(text_id: bytes, data: bytes, rows: list[dict]) -> Iterator[tuple]:
+        return ((r["key"], text_id, r["at"], r["first"], r["last"], data[r["first"] : r["last"] + length]) for r in rows)
 
-    contexts = _rows(bytes_of.join(each_text, "text_id").select("text_id", "data", "rows"), "key bigint,n bigint,text_id binary,at int,first int,last int,data binary", around, 20_000)
+    contexts = _rows(bytes_of.join(each_text, "text_id").select("text_id", "data", "rows"), "key bigint,text_id binary,at int,first int,last int,data binary", around)
     contexts = materialize(contexts, "contexts")
+    discard(members)
 
-    def runs(key: int, n: int, text_id: bytes, at: int, first: int, last: int, data: bytes) -> list[tuple]:
+    def runs(key: int, text_id: bytes, at: int, first: int, last: int, data: bytes) -> list[tuple]:
         """Runs of at most STEP windows, dealt by their distance from the anchor: a name for what all windows of the run share, one for all its bytes."""
         out = []
         for block in range((at - last) // STEP, (at - first) // STEP + 1):
             far, near = min(at - first, block * STEP + STEP - 1), max(at - last, block * STEP)
             low, high = at - far - first, at - near - first
             core = data[at - block * STEP - first : at - (block * STEP + STEP - 1) - first + length]
-            out.append((_long(core, block) ^ key, _long(data[low : high + length], far << 20 | near), n, text_id, at, first + low, first + high, data[low : high + length]))
+            out.append((_long(core, block) ^ key, _long(data[low : high + length], far << 20 | near), text_id, at, first + low, first + high))
         return out
 
-    blocks = _rows(contexts, "core bigint,cover bigint,n bigint,text_id binary,at int,first int,last int,data binary", runs, 20_000)
-    blocks = materialize(blocks, "blocks")
-    place = F.struct("text_id", "at", "first", "last", "data")
-    by_block = blocks.groupBy("core", "cover").agg(F.count("*").alias("anchors"), F.max("n").alias("n"), F.min(place).alias("place"))
-    by_block = materialize(by_block, "runs")
-    several = by_block.where("anchors > 1").select("core", "cover")
-    part = blocks.join(several, ["core", "cover"], "left_semi").select("text_id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
-    open_ = by_block.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
+    blocks = materialize(_rows(contexts, "core bigint,cover bigint,text_id binary,at int,first int,last int", runs), "blocks")
+    by_block = materialize(blocks.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(place).alias("place")), "runs")
+    several = by_block.where("n > 1").select("core", "cover")
+    part = materialize(blocks.join(several, ["core", "cover"]).select("text_id", F.col("first").alias("start"), (F.col("last") + length).alias("end")), "part")
+    discard(blocks)
+    open_ = materialize(by_block.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core"), "open")
+    # The runs of one anchor are few: as many as its windows have steps.
+    each_anchor = by_block.join(open_, "core").select("core", "place.*").groupBy("text_id", "at").agg(F.collect_list(F.struct("core", "first", "last")).alias("runs"))
+
+    def single(text_id: bytes, at: int, base: int, data: bytes, runs: list[dict]) -> Iterator[tuple]:
+        return ((r["core"], _long(data[p - base : p - base + length], at - p), text_id, p) for r in runs for p in range(r["first"], r["last"] + 1))
 
-    def single(core: int, text_id: bytes, at: int, first: int, last: int, data: bytes) -> list[tuple]:
-        return [(core, _long(data[p - first : p - first + length], at - p), text_id, p) for p in range(first, last + 1)]
+    around_open = contexts.select("text_id", "at", "first", "data").join(each_anchor, ["text_id", "at"])
+    windows = materialize(_rows(around_open, "core bigint,window bigint,text_id binary,start int", single), "windows")
+    discard(contexts, by_block, open_)
+    twice = materialize(windows.groupBy("core", "window").count().where("count > 1").select("core", "window"), "twice")
+    one = windows.join(twice, ["core", "window"]).select("text_id", "start", (F.col("start") + length).alias("end"))
+    spans = materialize(whole.unionByName(part).unionByName(one), "spans")
+    discard(whole, part, windows, twice)
+    return spans
 
-    windows = _rows(by_block.join(open_, "core").select("core", "place.*"), "core bigint,window bigint,text_id binary,start int", single)
-    windows = materialize(windows, "windows")
-    twice = windows.groupBy("core", "window").count().where("count > 1").select("core", "window")
-    one = windows.join(twice, ["core", "window"], "left_semi").select("text_id", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(part).unionByName(one)
+
+def kept_bytes(text: str | Column, spans: str | Column) -> Column:
+    """The bytes of a text outside of its spans (merged, ascending), in order."""
+    data = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    edges = lambda of, whole: F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s[of])) if whole else F.concat(F.transform(spans, lambda s: s[of]), F.array(F.octet_length(data)))
+    gaps = F.zip_with(edges("end", True), edges("start", False), lambda a, b: F.substring(data, a + 1, b - a).cast("string"))
+    return F.when(F.size(spans) == 0, data).otherwise(F.array_join(gaps, "").cast("binary"))
+
+
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (maximal removed runs), spans of bytes, and kept (the remaining bytes)."""
-    spans = materialize(repeated_spans(docs, length), "spans")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select(_low().alias("low")), "low"))
+    """docs with n_bytes, n_removed, n_spans and spans (maximal removed runs of bytes); kept_bytes cuts them out.
+
+    Texts without any removed byte are not shuffled.
+    """
+    found = repeated_spans(docs, length)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(_low().alias("low")), "low"))
 
     @F.arrow_udf("boolean")
     def may_have(digests: pa.Array) -> pa.Array:
         lows = np.array([_low_of(x.as_py()) for x in digests], np.uint64)
         return pa.array(in_bitmap(bits.value, lows), pa.bool_())
 
-    kind = pa.struct([("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept", pa.binary())])
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    @F.arrow_udf("struct<n_removed:bigint,n_spans:bigint,spans:array<struct<start:int,end:int>>,kept:binary>")
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
+    @F.arrow_udf(SPANS)
+    def merge(cells: pa.Array) -> pa.Array:
         out = []
-        for x, s in zip(texts, found, strict=True):
-            data, merged = _as_bytes(x.as_py()), []
-            for a, b in sorted((r["start"], r["end"]) for r in s.as_py() or ()):
+        for cell in cells:
+            merged: list[list[int]] = []
+            for a, b in sorted((r["start"], r["end"]) for r in cell.as_py()):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
-            edges = [0, *(e for m in merged for e in m), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            out.append({"n_removed": len(data) - len(kept), "n_spans": len(merged), "spans": [{"start": a, "end": b} for a, b in merged], "kept": kept})
+            out.append([{"start": a, "end": b} for a, b in merged])
         return pa.array(out, kind)
 
-    marked = _digest_column(docs).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("_may", may_have("_text"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    clean = marked.where("NOT _may").withColumns({"n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "spans": none, "kept": F.encode(F.coalesce("text", F.lit("")), "UTF-8")})
-    per_text = spans.groupBy(F.col("text_id").alias("_text")).agg(F.collect_set(F.struct("start", "end")).alias("_found"))
-    rest = marked.where("_may").join(per_text, "_text", "left").withColumn("_cut", cut("text", "_found"))
-    rest = rest.withColumns({c: F.col(f"_cut.{c}") for c in ("n_removed", "n_spans", "spans", "kept")}).drop("_cut", "_found")
-    return clean.unionByName(rest).drop("_text", "_may")
+    text_id, may, cut = fresh(docs, "text_id", "may", "cut")
+    per_text = materialize(found.groupBy(F.col("text_id").alias(text_id)).agg(F.collect_set(F.struct("start", "end")).alias(cut)).select(text_id, merge(cut).alias(cut)), "cuts")
+    discard(found)
+    docs = docs.drop("spans").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    marked = docs.withColumn(text_id, _id_column(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).withColumn(may, may_have(text_id))
+    none = F.array().cast(SPANS)
+    clean = marked.where(~F.col(may)).withColumn("spans", none)
+    rest = marked.where(F.col(may)).join(per_text, text_id, "left").withColumn("spans", F.coalesce(cut, none))
+    both = clean.unionByName(rest.drop(cut)).drop(text_id, may)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return both.withColumns({"n_removed": removed, "n_spans": F.size("spans").cast("long")})
