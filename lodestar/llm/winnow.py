@@ -1,45 +1,49 @@
 """Benchmark decontamination by winnowing (operator 10).
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters. A window is SPAN consecutive words
-of a benchmark item; an item of fewer words, but not none, is one window of its own length. Fingerprints are the
-minimum hash of GRAM consecutive words in every sliding window of SPAN words, so any shared SPAN words share one. Texts
-whose fingerprints meet the benchmark's are extended: the full windows around each hit are compared word by word.
+of a benchmark item; an item of fewer words, but not none, is one window of its own length. The fingerprint of a window
+is the minimum hash of its runs of GRAM words (a shorter item's is the hash of all its words), so any shared SPAN words
+share one.
 
-The benchmark is taken in blocks of at most `block_words` words. A block is broadcast (its size is bounded by that
-parameter), and every text is read against every block; nothing is shuffled.
+The benchmark's windows are a table (fingerprint, window, items). Texts hand on those of their windows whose fingerprint
+may be there: a bitmap of fixed size, at any size of the benchmark, keeps most others from being shuffled. The two are
+joined on fingerprint and window, a window being named by 128 bits of its words: that is the extension of a hit to the whole
+window. Spark broadcasts the benchmark's side only where it is small, and splits a very common passage otherwise. Hits are
+gathered by the digest of the text, so copies cost little, and joined back; texts without hits are not shuffled.
 
 Defined cases: a null or empty text or item has no words and hits nothing; equal item_ids count once; a null item_id
-is ignored; repeated documents are judged each by itself; other columns are kept.
+is ignored; repeated documents are judged each by itself; other columns are kept, whatever their names, but for the one
+that the result is asked to be put in.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-from collections.abc import Callable
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.shared import bitmap, fresh, in_bitmap, materialize
 from lodestar.llm.words import grams, word_hashes
 
 SPAN, GRAM = 10, 5
 #: A-Z to a-z; all other ASCII but digits and letters to a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-BITS = 20
-HITS_TYPE = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
-HITS = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:array<string>>"
+#: The same words, in a text that isn't folded.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Rows that a task gathers before it hands them on.
+FLUSH_ROWS = 20_000
+SPANS = "array<struct<start:int,end:int>>"
 
 
-def folded(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").translate(FOLD)
-
-
-def fingerprints(hashes: np.ndarray) -> np.ndarray:
-    """The least gram hash of every SPAN words, by window."""
+def fingerprints(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprint of every window of n words."""
+    if n < SPAN:
+        return grams(hashes, n) ^ np.uint64(n)
     g = grams(hashes, GRAM)
     m = len(g) - (SPAN - GRAM)
     if m <= 0:
@@ -50,102 +54,117 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-class Block:
-    """Windows and fingerprints of some benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str | None]]) -> None:
-        self.windows: dict[bytes, list[str]] = defaultdict(list)
-        marks: dict[int, list[np.ndarray]] = defaultdict(list)
-        for item, text in items:
-            data = folded(text)
-            words = data.split()
-            n = min(len(words), SPAN)
-            if not n:
-                continue
-            for i in range(len(words) - n + 1):
-                owners = self.windows[b" ".join(words[i : i + n])]
-                if item not in owners:
-                    owners.append(item)
-            h = word_hashes(data)
-            marks[n].append(fingerprints(h) if n == SPAN else grams(h, n))
-        self.windows = dict(self.windows)
-        self.marks = {n: np.unique(np.concatenate(x)) for n, x in marks.items()}
-        self.tables = {}
-        for n, x in self.marks.items():
-            self.tables[n] = np.zeros(1 << BITS, bool)
-            self.tables[n][(x & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
-
-    def hits(self, data: bytes, hashes: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans of words in occurring windows (merged), and their items."""
-        found, items, words = [], set(), None
-        for n, marks in self.marks.items():
-            mine = fingerprints(hashes) if n == SPAN else grams(hashes, n)
-            at = np.flatnonzero(self.tables[n][(mine & np.uint64((1 << BITS) - 1)).astype(np.int64)])
-            at = at[np.isin(mine[at], marks)]
-            if len(at) and words is None:
-                words = data.split()
-            for i in at.tolist():
-                if owners := self.windows.get(b" ".join(words[i : i + n])):
-                    found.append((i, i + n))
-                    items.update(owners)
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged, items
-
-
-def blocks_of(benchmark: DataFrame, block_words: int) -> list[Block]:
-    """The benchmark's blocks, each of bounded size; read to the driver a block at a time."""
-    out: list[Block] = []
-    batch: list[tuple[str, str]] = []
-    size = 0
-    for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        n = len(re.findall(r"\S+", row[1]))
-        if batch and size + n > block_words:
-            out.append(Block(batch))
-            batch, size = [], 0
-        batch.append((row[0], row[1]))
-        size += n
-    return [*out, Block(batch)]
-
-
-def _finder(shared: Broadcast) -> Callable:
-    @F.arrow_udf(HITS)
-    def hits(texts: pa.Array) -> pa.Array:
+def _window(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def _rows(df: DataFrame, schema: pa.Schema, each) -> DataFrame:  # noqa: ANN001
+    """mapInArrow: each(row of df) gives rows of the schema."""
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for cells in zip(*batch.columns, strict=True):
+                for row in each(*[c.as_py() for c in cells]):
+                    held.append(row)
+                    if len(held) >= FLUSH_ROWS:
+                        yield batch_of(held)
+                        held = []
+        if held:
+            yield batch_of(held)
+
+    kinds = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+    return df.mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
+
+
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """(fp, window, n, items) of every distinct window of the benchmark(item_id, text)."""
+    schema = pa.schema([("fp", pa.int64()), ("window", pa.binary()), ("n", pa.int32()), ("item", pa.string())])
+
+    def windows(item: str, data: bytes) -> Iterator[tuple]:
+        data = data.translate(FOLD)
+        words = data.split()
+        n = min(len(words), SPAN)
+        marks = fingerprints(word_hashes(data), n).view(np.int64).tolist() if n else []
+        return ((fp, _window(words[i : i + n]), n, item) for i, fp in enumerate(marks))
+
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string"), F.encode("text", "UTF-8"))
+    found = _rows(items, schema, windows).groupBy("fp", "window", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return materialize(found, "benchmark")
+
+
+def hits_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(text_id, spans, items) of every distinct text that holds a window: hit spans of words (merged), and the items, sorted."""
+    windows = benchmark_windows(benchmark)
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # of 1 to SPAN
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(windows, "fp"))
+    schema = pa.schema([("fp", pa.int64()), ("window", pa.binary()), ("n", pa.int32()), ("text_id", pa.binary()), ("start", pa.int32())])
+
+    def candidates(text: bytes) -> Iterator[tuple]:
+        data = text.translate(FOLD)
+        hashes, words, text_id = word_hashes(data), None, None
+        for n in lengths:
+            mine = fingerprints(hashes, n)
+            for i in np.flatnonzero(in_bitmap(marks.value, mine)).tolist():
+                if words is None:
+                    words, text_id = data.split(), hashlib.sha256(text).digest()[:16]
+                yield int(mine[i].view(np.int64)), _window(words[i : i + n]), n, text_id, i
+
+    texts = docs.where(F.length("text").isNotNull()).select(F.encode("text", "UTF-8"))
+    found = materialize(_rows(texts, schema, candidates), "candidates").join(windows, ["fp", "window", "n"])
+    span = F.struct(F.col("start"), (F.col("start") + F.col("n")).alias("end"))
+    per_text = found.groupBy("text_id").agg(F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
+    @F.arrow_udf(SPANS)
+    def merge(cells: pa.Array) -> pa.Array:
         out = []
-        for x in texts:
-            data = folded(x.as_py())
-            hashes = word_hashes(data)
-            spans, items = shared.value.hits(data, hashes)
-            out.append({"n_words": len(hashes), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
-        return pa.array(out, HITS_TYPE)
+        for cell in cells:
+            merged: list[list[int]] = []
+            for a, b in sorted((r["start"], r["end"]) for r in cell.as_py()):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            out.append([{"start": a, "end": b} for a, b in merged])
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return materialize(per_text.select("text_id", merge("spans").alias("spans"), "items"), "hits")
+
+
+def _low(text_id: str) -> Column:
+    """7 bytes of a digest as a long, for bitmaps."""
+    return F.conv(F.hex(F.substring(text_id, 10, 7)), 16, 10).cast("long")
+
 
-    return hits
+def find_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits") -> DataFrame:
+    """docs with the column `name`: n_words, hit spans of words (merged), and ids of the items with occurring windows, sorted."""
+    found = hits_by_text(docs, benchmark)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(_low("text_id").alias("low")), "low"))
 
+    @F.arrow_udf("boolean")
+    def may_have(digests: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits.value, np.array([int.from_bytes(x.as_py()[9:16], "big") for x in digests], np.uint64)), pa.bool_())
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, block_words: int = 500_000) -> DataFrame:
-    """docs with `hits`: number of words, hit spans of words (merged), and ids of the items with occurring windows."""
-    for k, block in enumerate(blocks_of(benchmark, block_words)):
-        hits = _finder(docs.sparkSession.sparkContext.broadcast(block))
-        if k == 0:
-            docs = docs.withColumn("hits", hits("text"))
-        else:
-            new, old = F.col("_more"), F.col("hits")
-            both = F.struct(old["n_words"].alias("n_words"), F.concat(old["spans"], new["spans"]).alias("spans"), F.array_union(old["items"], new["items"]).alias("items"))
-            docs = docs.withColumn("_more", hits("text")).withColumn("hits", both).drop("_more")
-    return docs
+    docs = docs.drop(name)
+    text_id, may, spans, items = fresh(docs, "text_id", "may", "spans", "items")
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.withColumn(text_id, F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))).withColumn(may, may_have(text_id))
+    none = {spans: F.array().cast(SPANS), items: F.array().cast("array<string>")}
+    clean = marked.where(~F.col(may)).withColumns(none)
+    hit = marked.where(F.col(may)).join(found.toDF(text_id, spans, items), text_id, "left").withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
+    hits = F.struct(F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"))
+    return clean.unionByName(hit).withColumn(name, hits).drop(text_id, may, spans, items)
 
 
 def n_covered(spans: Column) -> Column:
-    """Words in the union of the spans."""
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("last"))
-    step = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], acc["last"]))).alias("n"), F.greatest(acc["last"], s["end"]).alias("last"))
-    return F.aggregate(F.sort_array(spans), start, step, lambda acc: acc["n"])
+    """Words in spans that are merged."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a window of the benchmark."""
-    return find_hits(docs, benchmark, block_words).where(F.size("hits.spans") == 0).drop("hits")
+    (name,) = fresh(docs, "hits")
+    return find_hits(docs, benchmark, name).where(F.size(f"{name}.spans") == 0).drop(name)
