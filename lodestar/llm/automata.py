@@ -111,44 +111,49 @@ def byte_classes(sets: Iterable[frozenset[int]]) -> tuple[bytes, list[int]]:
     return table, [table.index(k) for k in range(len(seen))]
 
 
-def compile_dfa(patterns: list[str], anywhere: bool = False) -> tuple[bytes, list[list[int]], list[bool]]:
-    """(byte -> class, next state by state and class, accepting) of the minimal automaton for any of the patterns.
+def compile_dfa(patterns: list[str], anywhere: bool = False, backwards: bool = False) -> tuple[bytes, list[list[int]], list[tuple[int, ...]]]:
+    """(byte -> class, next state by state and class, numbers of the patterns that are complete in each state) of the minimal automaton.
 
-    State 0 is the start. anywhere: a match may start at any byte, and accepting states are never left.
+    State 0 is the start. anywhere: a match may start at any byte; backwards: the automaton reads from a match's end to its start.
     """
     nfa = Nfa()
-    start, end = nfa.either([nfa.add(sre_parser.parse(p)) for p in patterns])
+    pieces = [nfa.add(sre_parser.parse(p)) for p in patterns]
+    if backwards:
+        steps, empty = nfa.steps, nfa.empty
+        nfa.steps, nfa.empty = [[] for _ in steps], [[] for _ in empty]
+        for s, (moves, jumps) in enumerate(zip(steps, empty, strict=True)):
+            for allowed, t in moves:
+                nfa.steps[t].append((allowed, s))
+            for t in jumps:
+                nfa.empty[t].append(s)
+        pieces = [(end, start) for start, end in pieces]
     table, sample = byte_classes(s for steps in nfa.steps for s, _ in steps)
     # Sets of automaton states are bit masks: what each state reaches by each class is worked out once.
     bits = lambda states: sum(1 << s for s in nfa.closure(states))
     reach = [[bits([t for allowed, t in steps if byte in allowed]) for byte in sample] for steps in nfa.steps]
     moving = [s for s, steps in enumerate(nfa.steps) if steps]
-    first, final = bits([start]), 1 << end
-    ids, rows, accepting, todo = {first: 0}, [], [], [first]
+    first = bits([start for start, _ in pieces])
+    ids, rows, complete, todo = {first: 0}, [], [], [first]
     for states in todo:
-        accepting.append(bool(states & final))
-        if anywhere and states & final:
-            rows.append([ids[states]] * len(sample))
-            continue
+        complete.append(tuple(k for k, (_, end) in enumerate(pieces) if states >> end & 1))
         mine = [reach[s] for s in moving if states >> s & 1]
         row = []
         for k in range(len(sample)):
             to = first if anywhere else 0
             for r in mine:
                 to |= r[k]
-            if anywhere and to & final:
-                to = final
             if to not in ids:
                 ids[to] = len(ids)
                 todo.append(to)
             row.append(ids[to])
         rows.append(row)
-    return (table, *minimise(rows, accepting))
+    return (table, *minimise(rows, complete))
 
 
-def minimise(rows: list[list[int]], accepting: list[bool]) -> tuple[list[list[int]], list[bool]]:
+def minimise(rows: list[list[int]], complete: list[tuple[int, ...]]) -> tuple[list[list[int]], list[tuple[int, ...]]]:
     """Merge states that no input tells apart, by refining the partition until it is stable. The start stays 0."""
-    block = [int(a) for a in accepting]
+    first: dict[tuple[int, ...], int] = {}
+    block = [first.setdefault(c, len(first)) for c in complete]
     while True:
         seen: dict[tuple[int, ...], int] = {}
         new = [seen.setdefault((block[s], *[block[t] for t in row]), len(seen)) for s, row in enumerate(rows)]
@@ -156,4 +161,4 @@ def minimise(rows: list[list[int]], accepting: list[bool]) -> tuple[list[list[in
             break
         block = new
     of = {b: s for s, b in reversed(list(enumerate(new)))}
-    return [[new[t] for t in rows[of[b]]] for b in range(len(of))], [accepting[of[b]] for b in range(len(of))]
+    return [[new[t] for t in rows[of[b]]] for b in range(len(of))], [complete[of[b]] for b in range(len(of))]

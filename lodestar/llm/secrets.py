@@ -1,9 +1,13 @@
 """Secret scans with one combined automaton (operator 7).
 
-Every rule is a head and a tail of `least` or more characters of one class. All rules together, with their least
-lengths, are compiled on the driver into one minimal automaton (subset construction, minimisation) whose transition
-arrays are broadcast; it has a fixed size. One pass over the bytes of a text tells whether any rule holds anywhere.
-Texts where one does are read by the automata of the single rules for the leftmost, longest, non-overlapping spans.
+Every rule is a head and a tail of `least` or more characters of one class. The heads of all rules (of a rule without a
+head, its least tail) are compiled on the driver into one minimal automaton: subset construction, then minimisation. Its
+transition arrays are broadcast; they have a fixed size. Each state names the rules whose heads are complete in it. One pass
+over the bytes of a text steps through it and stops only where a head is complete; there a small automaton that reads the
+rule's head backwards gives the leftmost start, and the run of the tail's class the end. All is linear in the text.
+
+Matches are leftmost and don't overlap within a rule; a match whose tail is too short takes its place all the same, and is
+then dropped. A head that a character of its tail follows must have only one end (as those of RULES).
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned each by itself; long texts are read
 whole; spans of one kind do not overlap, spans of different kinds may; other columns are kept, `spans` is replaced.
@@ -11,8 +15,10 @@ whole; spans of one kind do not overlap, spans of different kinds may; other col
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +46,6 @@ ADDED = (
     Rule("pem", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY", r"-", 5),
 )
 RULES = BASE + ADDED
-#: Added rules with longer tails are looked for with this length, so that the combined automaton stays small.
-ENOUGH = 8
 
 
 class Scanner:
@@ -49,61 +53,83 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
-        least = [r.least if r in BASE else min(r.least, ENOUGH) for r in rules]
-        self.any = compile_dfa([f"{r.head}{r.tail}{{{n}}}" for r, n in zip(rules, least, strict=True)], anywhere=True)
-        self.whole = [compile_dfa([f"{r.head}{r.tail}+"]) for r in rules]
-        self.heads = [compile_dfa([r.head]) for r in rules]
+        self.heads = compile_dfa([r.head or f"{r.tail}{{{r.least}}}" for r in rules], anywhere=True)
+        self.back = [compile_dfa([r.head], backwards=True) if r.head else None for r in rules]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_nested"}
-
-    def found(self, data: bytes) -> bool:
-        """Whether any rule may hold: one step of the combined automaton a byte."""
-        if not hasattr(self, "_nested"):
-            table, rows, accepting = self.any
-            nested: list[list] = [[] for _ in rows]
-            for mine, row in zip(nested, rows, strict=True):
-                mine.extend(nested[t] for t in row)
-            self._nested = table, nested[0], nested[accepting.index(True)]
-        table, state, end = self._nested
-        for c in data.translate(table):
-            state = state[c]
-        return state is end
-
-    @staticmethod
-    def longest(dfa: tuple, data: bytes, at: int) -> int:
-        """The end of the longest match that starts at `at`, or -1."""
-        table, rows, accepting = dfa
-        state, end = 0, at if accepting[0] else -1
-        dead = next((s for s, row in enumerate(rows) if not accepting[s] and set(row) == {s}), -1)
-        for i in range(at, len(data)):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _prepare(self) -> None:
+        """Rows that hold the next rows; a state where heads are complete is an empty row, so that a step out of it raises IndexError."""
+        table, rows, complete = self.heads
+        self._table, self._rows = table, [[] for _ in rows]
+        stops = [_Stop(mine, done) if done else mine for mine, done in zip(self._rows, complete, strict=True)]
+        for mine, row in zip(self._rows, rows, strict=True):
+            mine.extend(stops[t] for t in row)
+        self._tails = [re.compile(f"{r.tail}*".encode()) for r in self.rules]
+
+    def stops(self, data: bytes) -> list[tuple[int, tuple[int, ...]]]:
+        """(place, rules): where the heads of which rules are complete. One step of the automaton a byte."""
+        if not hasattr(self, "_rows"):
+            self._prepare()
+        out: list[tuple[int, tuple[int, ...]]] = []
+        classes = data.translate(self._table)
+        n, state, it = len(classes), self._rows[0], iter(classes)
+        while True:
+            try:
+                for c in it:
+                    state = state[c]
+                if isinstance(state, _Stop):
+                    out.append((n, state.complete))
+                return out
+            except IndexError:
+                # The step after the stop has been read: the stop lies before it.
+                out.append((n - it.__length_hint__() - 1, state.complete))
+                state = state.row[c]
+
+    def start(self, rule: int, data: bytes, end: int, floor: int) -> int | None:
+        """The leftmost start, from floor on, of a head that ends at `end`."""
+        table, rows, complete = self.back[rule]
+        state, found, dead = 0, None, [not c and set(row) == {s} for s, (row, c) in enumerate(zip(rows, complete, strict=True))]
+        for i in range(end - 1, floor - 1, -1):
             state = rows[state][table[data[i]]]
-            if state == dead:
+            if complete[state]:
+                found = i
+            elif dead[state]:
                 break
-            if accepting[state]:
-                end = i + 1
-        return end
+        return found
 
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, end, rule) in code points, by start and then rule."""
         data = (text or "").encode("utf-8", "surrogatepass")
-        if not self.found(data):
-            return []
-        out = []
-        for k, rule in enumerate(self.rules):
-            table, rows, _ = self.whole[k]
-            dead = next((s for s, row in enumerate(rows) if set(row) == {s}), -1)
-            may = bytes(rows[0][table[b]] != dead for b in range(256))
-            starts, i, n = data.translate(may), 0, len(data)
-            while (i := starts.find(1, i)) >= 0:
-                end = self.longest(self.whole[k], data, i)
-                if end > i and end - self.longest(self.heads[k], data, i) >= rule.least:
-                    out.append((i, end, k))
-                i = max(end, i + 1)
-                if i >= n:
-                    break
-        points = (lambda p: p) if len(data) == len(text) else lambda p: len(data[:p].decode("utf-8", "surrogatepass"))
-        return sorted((points(a), points(b), k) for a, b, k in out)
+        floors, out = [0] * len(self.rules), []
+        for at, done in self.stops(data):
+            for k in done:
+                if at < floors[k]:
+                    continue
+                rule = self.rules[k]
+                tail = at if rule.head else at - rule.least
+                if tail < floors[k] or (end := self._tails[k].match(data, tail).end()) == tail:
+                    continue
+                start = self.start(k, data, at, floors[k]) if rule.head else tail
+                if start is not None:
+                    floors[k] = end
+                    if end - tail >= rule.least:
+                        out.append((start, end, k))
+        if out and len(data) != len(text):
+            places = sorted({p for a, b, _ in out for p in (a, b)})
+            firsts = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80  # the first bytes of characters
+            counts = np.cumsum([np.count_nonzero(firsts[a:b]) for a, b in zip([0, *places], places, strict=False)]).tolist()
+            point = dict(zip(places, counts, strict=True))
+            out = [(point[a], point[b], k) for a, b, k in out]
+        return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+class _Stop(list):
+    """An empty row in the place of `row`, where the heads of some rules are complete."""
+
+    def __init__(self, row: list, complete: tuple[int, ...]) -> None:
+        self.row, self.complete = row, complete
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
