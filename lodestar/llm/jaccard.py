@@ -14,7 +14,9 @@ that, index single frequent tokens, as do those up to SMALL * 100 / percent, whi
 A signature's place tells how many tokens lack before it; with the sizes of two sets it decides whether it may be the first
 they share. Of each group with a common signature every member is verified against one, that with the fewest rare tokens; links join them into components; then
 members of a group that lie in different components are verified against each other, so no link that matters to a
-component is left out.
+component is left out. Groups of more than HOT members, which frequent sentences make, are not compared pair by pair: their
+members are dealt by combinations of more tokens. All tokens of a set are dealt to more parts than it may differ in from a
+linked one, so that linked sets agree in a whole part; sets that agree in one are compared (see `parts`).
 
 Defined cases: null, empty and blank texts have empty sets, link with nothing and are their own component; repeated
 rows are equal sets; a null doc_id is ignored as smallest id (and is the id where a component has no other); long texts
@@ -23,6 +25,7 @@ are read whole. Nodes are told apart by 64-bit digests of their sets.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import bitmap, components, in_bitmap, materialize
+from lodestar.llm.shared import bitmap, components, fresh, in_bitmap, materialize
 from lodestar.llm.words import grams, word_hashes
 
 WIDTH, PERCENT = 4, 85
@@ -91,6 +94,47 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     return np.concatenate(out), np.concatenate(places)
 
 
+#: Members of a signature that are compared pair by pair; larger groups are dealt by parts.
+HOT = 64
+
+
+def bands(n: int, percent: int) -> list[int]:
+    """Edges of bands of set sizes, up to the band after that of n. Linked sets lie in one band or in neighbouring ones."""
+    edges = [1]
+    while len(edges) < 3 or edges[-3] <= n:
+        edges.append(edges[-1] * 100 // percent + 1)
+    return edges
+
+
+def parts(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Names of parts of a set, of which it has one in common with every linked set.
+
+    For either pair of neighbouring bands that its size lies in, tokens are dealt to a third more parts than the number of
+    tokens that a set may differ in from a linked one, so linked sets agree in some parts. Parts of less than two tokens, which
+    many sets agree in, are left out where so many are left that one must be agreed in.
+    """
+    n, out = len(tokens), []
+    edges = bands(n, percent)
+    band = bisect_right(edges, n) - 1
+    apart = lambda size: size * (100 - percent) // percent
+    for joint in (band, band + 1):  # the bands joint - 1 and joint
+        count = apart(edges[joint + 1] - 1) * 4 // 3 + 2
+        at = ((tokens * _DEAL) >> np.uint64(33)) % np.uint64(count)
+        order = np.argsort(at, kind="stable")
+        held, first, sizes = np.unique(at[order], return_index=True, return_counts=True)
+        sums = np.zeros(count, np.uint64)
+        sums[held.astype(np.int64)] = np.add.reduceat((tokens ^ (tokens >> np.uint64(31)))[order] * _DEAL, first)
+        full = np.zeros(count, bool)
+        full[held.astype(np.int64)] = sizes > 1
+        if full.sum() <= apart(n):
+            full[:] = True
+        some = np.flatnonzero(full).astype(np.uint64)
+        out.append(grams(np.stack([sums[full], some << np.uint64(20) | np.uint64(joint)], axis=1).ravel(), 2)[::2])
+    return np.unique(np.concatenate(out))
+
+
+_DEAL = np.uint64(0xD6E8FEB86659FD93)
+
 #: Tokens that a task holds at once to find those met twice.
 CHUNK = 4_000_000
 #: Classes are dealt by bits of a token that its place in the bitmap doesn't use.
@@ -236,12 +280,19 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.groupBy("id").agg(F.first("tokens").alias("tokens"))  # equal ids have equal tokens
 
 
+def close(x: str, y: str, percent: int) -> Column:
+    """Whether sets may link, by sizes and parities."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    shared = F.ceil(percent * (n + m) / (100 + percent))
+    apart = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= n + m - 2 * shared)
+
+
 def fitting(x: str, y: str, percent: int) -> Column:
     """Whether sets may link whose first shared signature is this one, by sizes, places and parities."""
     n, m, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.place"), F.col(f"{y}.place")
     shared = F.ceil(percent * (n + m) / (100 + percent))
-    apart = sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in PARITIES), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (i <= n - shared + 1) & (j <= m - shared + 1) & (apart <= n + m - 2 * shared)
+    return (i <= n - shared + 1) & (j <= m - shared + 1) & close(x, y, percent)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -270,24 +321,45 @@ def link_components(docs: DataFrame, counts: DataFrame, width: int = WIDTH, perc
     rows = signature_rows(docs, frequent, width, percent)
     groups = rows.groupBy("sig").agg(F.min_by("id", "own").alias("pivot"), F.min("id").alias("low"), F.max("id").alias("high"))
     groups = materialize(groups.where("low <> high").select("sig", "pivot"), "groups")
-    members = signature_rows(docs, frequent, width, percent, context.broadcast(bitmap(groups, "sig"))).join(groups, "sig")
-    members = materialize(members.groupBy("sig", "id").agg(*[F.min(c).alias(c) for c in ("pivot", "place", "n", *PARITIES)]), "members")
-    pivots = members.where("id = pivot").drop("pivot")
+    # Members are made distinct before they are joined, so that Spark can split those of a very common signature.
+    members = signature_rows(docs, frequent, width, percent, context.broadcast(bitmap(groups, "sig")))
+    members = materialize(members.groupBy("sig", "id").agg(*[F.min(c).alias(c) for c in ("place", "n", *PARITIES)]), "members")
+    pivots = materialize(members.join(groups.withColumnRenamed("pivot", "id"), ["sig", "id"]), "pivots")
     stars = members.alias("x").join(pivots.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") != F.col("y.id"))).where(fitting("x", "y", percent))
     stars = materialize(stars.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "stars")
     links = verified(docs, stars, width, percent)
     roots = components(links)
-    placed = materialize(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).drop("pivot"), "placed")
-    apart = placed.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low <> _high AND _n > 2").select("sig")
-    open_ = placed.join(apart, "sig")
-    pairs = open_.alias("x").join(open_.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & fitting("x", "y", percent))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    placed = materialize(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
+    apart = placed.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low <> _high AND _n > 2")
+    apart = materialize(apart.select("sig", (F.col("_n") > HOT).alias("hot")), "apart")
+    open_ = materialize(placed.join(apart, "sig"), "open")
+    few = open_.where("NOT hot")
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & fitting("x", "y", percent))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(pairs_by_parts(docs, open_.where("hot"), width, percent)).distinct()
     # Pairs that were verified lie apart in either order.
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     return roots if pairs.isEmpty() else components(links.unionByName(verified(docs, pairs, width, percent)))
 
 
+def pairs_by_parts(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of members (id, root, n, parities) of large groups that agree in a part and may link, a < b, of different roots."""
+    nodes = materialize(members.select("id", "root", "n", *PARITIES).distinct(), "hot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                names = parts(np.frombuffer(x.as_buffer(), np.uint64), percent).view(np.int64)
+                yield pa.record_batch([pa.array(names), pa.array(np.full(len(names), i, np.int64))], names=["part", "id"])
+
+    dealt = token_sets(docs, nodes, width).mapInArrow(run, "part bigint, id bigint").join(nodes, "id")
+    dealt = materialize(dealt, "parts")
+    several = materialize(dealt.groupBy("part").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("part"), "several")
+    shared = materialize(dealt.join(several, "part"), "shared")
+    pairs = shared.alias("x").join(shared.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & close("x", "y", percent))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every row."""
     found = survey(docs, width)
@@ -297,37 +369,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     roots = link_components(docs, counts, width, percent)
     firsts = full.groupBy("id").agg(F.min("doc_id").alias("low")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lows = firsts.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_id = firsts.join(lows, "root").select("id", "component_id")
+    by_id = materialize(firsts.join(lows, "root").select("id", "component_id"), "ids")  # so that Spark can split the rows of a very common text
     empty = nodes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.join(by_id, "id").select("doc_id", "n_shingles", "component_id").unionByName(empty)
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each component: that with its smallest doc_id; of rows with one doc_id, one stays."""
-    found = near_duplicates(docs, width, percent)
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    keep = found.where(same).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")))
-    # Only rows whose doc_id isn't unique are dealt out again.
-    single = kept.where("_n = 1").drop("_id", "_n")
-    several = kept.where("_n > 1").withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id", "_n").orderBy(F.xxhash64("text"))))
-    return single.unionByName(several.where("_rn = 1").drop("_id", "_n", "_rn"))
-
-
 def keep_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """docs with one row of each component, whatever ids they have: that with the smallest doc_id (null last), then the least hash of its text.
 
     Texts without a set are their own components; of rows equal in doc_id and text one stays.
     """
     found = survey(docs, width)
-    rows = found.where("token IS NULL").groupBy("doc_id", "key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("_n"))
+    id_, key, copies, place, mark = fresh(docs, "id", "key", "copies", "place", "mark")
+    rows = found.where("token IS NULL").groupBy("doc_id", "key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"))
     roots = link_components(docs, found.where("token IS NOT NULL").select("token", "count"), width, percent)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies")
     firsts = rows.where("n > 0").groupBy("id").agg(F.min(first).alias("least")).join(roots, "id", "left")
     full = firsts.groupBy(F.coalesce("root", "id")).agg(F.min("least").alias("least"))
-    keep = full.unionByName(rows.where("n = 0").select(first.alias("least")), allowMissingColumns=True).select("least._id", "least._key", "least._n")
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
+    keep = full.select("least").unionByName(rows.where("n = 0").select(first.alias("least")))
+    keep = materialize(keep.select(F.col("least.doc_id").alias(id_), F.col("least.key").alias(key), F.col("least.copies").alias(copies)), "kept")
+    kept = docs.withColumn(mark, F.xxhash64("text")).join(keep, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(key)))
     # Only repeated rows are dealt out again.
-    single = kept.where("_n = 1").drop("_id", "_key", "_n")
-    several = kept.where("_n > 1").withColumn("_rn", F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_n")))
-    return single.unionByName(several.where("_rn = 1").drop("_id", "_key", "_n", "_rn"))
+    single = kept.where(F.col(copies) == 1).select(docs.columns)
+    several = kept.where(F.col(copies) > 1).withColumn(place, F.row_number().over(Window.partitionBy(id_, key).orderBy(copies)))
+    return single.unionByName(several.where(F.col(place) == 1).select(docs.columns))

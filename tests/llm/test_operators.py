@@ -5,11 +5,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.llm import chat, jaccard, lines, packing, pii, quality, queries, secrets, suffixes, warc, winnow
 from lodestar.llm.automata import compile_dfa
@@ -191,21 +195,21 @@ def test_suffixes(spark: SparkSession, corpus: list, length: int) -> None:
         a = rng.randrange(len(source))
         cut.append(rng.choice(noise)[: rng.randint(0, 80)] + source[a : a + rng.randint(1, 700)] + rng.choice(noise)[: rng.randint(0, 80)])
     texts = [*corpus, *runs, *noise, *cut]
-    got = suffixes.remove_repeats(docs_of(spark, texts), length).orderBy("doc_id").collect()
+    done = suffixes.remove_repeats(docs_of(spark, texts), length)
+    got = done.withColumn("kept", suffixes.kept_bytes(done["text"], done["spans"])).orderBy("doc_id").collect()
     assert [(r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got] == brute.repeated_bytes(texts, length)
 
 
 def test_automata() -> None:
-    import re
-
     for pattern in (r"a(?:b|cd)*e", r"(?i:Ab)[^x]{2,3}", r"x?y+z{0,2}"):
-        table, rows, accepting = compile_dfa([pattern])
-        for n in range(2000):
-            text = "".join(random.Random(n).choice("abcdexyzAB") for _ in range(n % 7))
-            state = 0
-            for b in text.encode():
-                state = rows[state][table[b]]
-            assert accepting[state] == bool(re.fullmatch(pattern, text)), (pattern, text)
+        for backwards in (False, True):
+            table, rows, complete = compile_dfa([pattern], backwards=backwards)
+            for n in range(2000):
+                text = "".join(random.Random(n).choice("abcdexyzAB") for _ in range(n % 7))
+                state = 0
+                for b in (text[::-1] if backwards else text).encode():
+                    state = rows[state][table[b]]
+                assert bool(complete[state]) == bool(re.fullmatch(pattern, text)), (pattern, text)
 
 
 def test_secrets(spark: SparkSession, corpus: list) -> None:
@@ -216,11 +220,31 @@ def test_secrets(spark: SparkSession, corpus: list) -> None:
     assert any("repository" in r["spans"] and "pem" in r["spans"] for r in got)
 
 
+def test_secret_spans_against_regular_expressions() -> None:
+    scanner, rng = secrets.Scanner(), random.Random(1)
+    parts = ["token", "password", "Secret", "api_key", "APIKEY", ":", "=", "'", '"', " ", "\n", "abc", "abcdefghijklmnop", "0123456789abcdef", "AKIA", "AKIA0123456789ABCD", "é", "中😀", ".", "-", "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "eyJab", "eyJcd.", "xoxb-", "AIza", "gh" + "p_" + "a1" * 18]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        got = scanner.spans(text)
+        assert [(a, b, scanner.rules[k].kind) for a, b, k in got if k < 3] == brute.secrets(text)
+        for k, rule in list(enumerate(scanner.rules))[3:]:
+            found = re.finditer(f"({rule.head})({rule.tail}+)", text)
+            assert [(a, b) for a, b, kind in got if kind == k] == [m.span() for m in found if len(m[2]) >= rule.least], (rule.kind, text)
+
+
+def test_secrets_in_long_texts() -> None:
+    scanner = secrets.Scanner()
+    for text, n in (("é" * 500_000 + " token=abcdefghijklmnop" * 5000, 5000), ("eyJ" * 300_000, 0), ("token=token=" * 50_000, 1), ("token =" * 50_000, 0)):
+        began = time.process_time()
+        assert len(scanner.spans(text)) == n
+        assert time.process_time() - began < 5  # in proportion to the length; backtracking takes minutes
+
+
 def test_jaccard(spark: SparkSession, corpus: list) -> None:
     got = sorted(map(tuple, jaccard.near_duplicates(docs_of(spark, corpus)).collect()))
     assert got == brute.jaccard_components(list(enumerate(corpus)))
-    kept = jaccard.keep_one(docs_of(spark, corpus)).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, _, c in got if i == c)
+    kept = jaccard.keep_each(docs_of(spark, corpus).dropDuplicates(["text"]).withColumnsRenamed({"key": "_id", "start": "_n"}), percent=85, width=4).collect()
+    assert len(kept) == len({c for i, n, c in got if n}) + len({t for t, (_, n, _) in zip(corpus, got, strict=True) if not n}) and "_id" in kept[0]
 
 
 def test_jaccard_with_frequent_tokens(spark: SparkSession) -> None:
@@ -238,6 +262,32 @@ def test_jaccard_with_frequent_tokens(spark: SparkSession) -> None:
     assert got == brute.jaccard_components(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_linked_sets_agree_in_a_part(percent: int) -> None:
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(rng.integers(1, 300))
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        lost = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+        kept = rng.permutation(one)[lost:]
+        more = 0
+        while 100 * len(kept) >= percent * (n + more + 1) and rng.random() < 0.9:
+            more += 1
+        other = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+        assert 100 * len(kept) >= percent * (n + more)
+        assert set(jaccard.parts(one, percent).tolist()) & set(jaccard.parts(other, percent).tolist())
+
+
+def test_jaccard_of_frequent_sentences(spark: SparkSession, corpus: list, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Groups over HOT are dealt by parts: the same components, and texts made of the same sentences aren't all compared."""
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    rng = random.Random(60)
+    pool = [" ".join(f"s{k}w{i}" for i in range(10)) for k in range(12)]
+    texts = [*corpus, *(" ".join(rng.choice(pool) for _ in range(5)) + rng.choice(["", " end", " of it"]) for _ in range(300))]
+    got = sorted(map(tuple, jaccard.near_duplicates(docs_of(spark, texts)).collect()))
+    assert got == brute.jaccard_components(list(enumerate(texts)))
+
+
 def test_components(spark: SparkSession) -> None:
     links = [(i, i + 1) for i in range(60)] + [(100, 90), (90, 95), (7, 7), (200, 201), (201, 200)]
     got = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -263,17 +313,19 @@ def test_winnow(spark: SparkSession, corpus: list) -> None:
     items += [(61, None), (62, ""), (None, "w"), (3, items[3][1]), (64, "ré! Ré?")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = [brute.decontaminate(t, [(str(i), x) for i, x in items if i is not None]) for t in corpus]
-    for block_words in (500_000, 100):
-        found = winnow.find_hits(docs_of(spark, corpus), bench, block_words)
-        got = found.select("doc_id", "hits.n_words", winnow.n_covered(found.hits.spans).alias("n"), "hits.items").orderBy("doc_id").collect()
-        assert [(r["n_words"], r["n"], sorted(r["items"])) for r in got] == want
+    found = winnow.find_hits(docs_of(spark, corpus), bench)
+    got = found.select("doc_id", "hits.n_words", winnow.n_covered(found.hits.spans).alias("n"), "hits.items").orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n"], r["items"]) for r in got] == want
+    clean = docs_of(spark, corpus).withColumnRenamed("key", "hits").withColumnRenamed("start", "_spans").withColumn("text_id", F.lit(1))
+    kept = winnow.decontaminate(clean, bench)
+    assert kept.columns == clean.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in enumerate(want) if not w[1]]
 
 
 def test_repeated_rows_and_null_ids(spark: SparkSession) -> None:
     long = " ".join(f"w{i}" for i in range(200))
     docs = docs_of(spark, [long, long, None, None, "x", long], [4, 4, None, 5, None, 9])
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in jaccard.near_duplicates(docs).collect()) == [(-1, -1), (-1, -1), (4, 4), (4, 4), (5, 5), (9, 4)]
-    assert jaccard.keep_one(docs).count() == 3
+    assert jaccard.keep_each(docs).count() == 4
     assert {(r["doc_id"], r["n_removed"]) for r in lines.dedup_lines(docs).collect()} == {(4, 0), (None, 0), (5, 0), (9, 1)}
     assert [r["n_removed"] == r["n_bytes"] for r in suffixes.remove_repeats(docs).where("n_bytes > 1").collect()] == [True] * 3
     assert packing.pack_documents(docs, *queries.tokenizer()).count() == 6
