@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.shared import discard, materialize
+
 CRLF = "\r\n"
 
 
@@ -45,7 +47,9 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
     keyed = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
     # Only keys are shuffled here; fully repeated rows are counted before the shuffle.
     heads = keyed.groupBy("digest", "page_id", "url", F.length("payload").alias("n_bytes"), base32_sha1(F.col("payload")).alias("sha1")).agg(F.count("*").alias("copies"))
-    kept = heads.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"))
+    # Both are written before they are joined, so that Spark can split the rows of a digest that many records share.
+    heads = materialize(heads, "heads")
+    kept = materialize(heads.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first")), "first")
     records = (
         heads.join(kept, "digest")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
@@ -86,6 +90,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
     keys = kept.select(row_key("first.page_id", "first.url").alias("row"))
     stored = keyed.select("digest", "payload", row_key("page_id", "url").alias("row")).join(keys, "row", "left_semi").dropDuplicates(["row"])
     stored.select("digest", "payload").write.parquet(f"{path}/payloads")
+    discard(heads, kept)
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
