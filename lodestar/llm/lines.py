@@ -10,8 +10,12 @@ keeps only names that occur twice, so it shrinks to what is repeated; it ends wh
 one; each is the overlap of two names of its level, and runs of equal names are an interval of common prefixes, whose
 first member stays.
 
+Names are digests, so the suffixes of a text are told apart but not put in order: deletion asks only which runs are equal
+and which comes first. Counts are written before they are joined back, so that Spark can split the rows of a very common line.
+
 Defined cases: null text stays null and empty text empty; null doc_id sorts first; rows equal in doc_id and text are
-one document and have the same outcome; other columns are kept.
+one document and have the same outcome; other columns are kept, whatever their names, but for n_lines and n_removed, which
+are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import materialize
+from lodestar.llm.shared import discard, fresh, materialize, text_id, text_id_column
 
 MIN_WORDS = 10
 SPACE = " \t\n\x0b\x0c\r"
@@ -43,7 +47,7 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 text = cell.as_py()
                 if not text:
                     continue
-                key = xxhash.xxh3_128_digest(text)
+                key = text_id(text.encode())
                 lines = [(i, s) for i, line in enumerate(text.split("\n")) if (s := line.strip(SPACE))]
                 counts = np.array([len(s.encode().split()) for _, s in lines], np.int64)
                 total = np.concatenate([[0], np.cumsum(counts)])
@@ -63,15 +67,17 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def only_repeated(level: DataFrame) -> DataFrame:
-    """Rows whose name occurs at another place too. Counted before it is joined back, so that hot names split."""
-    names = level.groupBy("name").count().where("count > 1").select("name")
-    return level.join(names, "name")
+    """Rows whose name occurs at another place too; a written table."""
+    names = materialize(level.groupBy("name").count().where("count > 1").select("name"), "names")
+    found = materialize(level.join(names, "name"), "level")
+    discard(names)
+    return found
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """doc_id, key, first, size of the repeated runs that aren't the first of their kind; first counts lines that aren't blank."""
     place = ["doc_id", "key", "pos"]
-    level = materialize(only_repeated(lines.select(*place, "name", "ahead", "back")), "lines0")
+    level = only_repeated(lines.select(*place, "name", "ahead", "back"))
     wanted = level.where("ahead IS NOT NULL OR back IS NOT NULL")
     ahead = wanted.where("ahead IS NOT NULL").select("doc_id", "key", "pos", F.col("ahead").alias("size"))
     back = wanted.where("back > 1").select("doc_id", "key", (F.col("pos") - F.col("back") + 1).alias("pos"), F.col("back").alias("size"))
@@ -92,7 +98,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
         following = end.alias("b")
         doubled = level.alias("a").join(following, tail & (F.col("a.pos") + span == F.col("_p")))
         doubled = doubled.select("a.doc_id", "a.key", "a.pos", F.unhex(F.md5(F.concat("a.name", "_n"))).alias("name"))
-        level = materialize(only_repeated(doubled), f"lines{k + 1}")
+        level = only_repeated(materialize(doubled, "doubled"))
         if level.isEmpty():
             break
         k += 1
@@ -101,7 +107,7 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
         found = found.unionByName(more)
     found = materialize(found, "runs")
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.col("key").alias("k"), F.col("pos").alias("p"))
-    firsts = found.groupBy("run").agg(F.min(order).alias("_first"))
+    firsts = materialize(found.groupBy("run").agg(F.min(order).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "firsts")
     return found.join(firsts, "run").where(order > F.col("_first")).select("doc_id", "key", F.col("pos").alias("first"), "size")
 
 
@@ -111,13 +117,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = materialize(line_table(docs, min_words), "lines")
     runs = repeated_runs(lines)
     gone = runs.select("doc_id", "key", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("pos")).distinct()
-    per_doc = gone.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.sort_array(F.collect_list("pos")).alias("_gone"))
-
-    @F.arrow_udf("binary")
-    def digest(texts: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh3_128_digest(x.as_py() or "") for x in texts], pa.binary())
+    key, id_, of, marks, left = fresh(docs, "key", "id", "of", "gone", "left")
+    per_doc = gone.groupBy(F.col("doc_id").alias(id_), F.col("key").alias(of)).agg(F.sort_array(F.collect_list("pos")).alias(marks))
+    per_doc = materialize(per_doc, "gone")
+    discard(lines)
 
-    kept = docs.withColumn("_key", digest("text")).join(per_doc, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    kept = docs.withColumn(key, text_id_column(F.coalesce("text", F.lit("")))).join(per_doc, (F.col(key) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
     text_type = pa.struct([("text", pa.string()), ("n_lines", pa.int64())])
 
     @F.arrow_udf("struct<text:string,n_lines:bigint>")
@@ -133,5 +138,6 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             out.append({"text": "\n".join(kept) if drop else text, "n_lines": at + 1})
         return pa.array(out, text_type)
 
-    left = kept.withColumn("_left", without("text", "_gone"))
-    return left.withColumns({"n_lines": F.col("_left.n_lines"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "text": F.col("_left.text")}).drop("_key", "_k", "_d", "_gone", "_left")
+    done = kept.withColumn(left, without("text", marks))
+    new = {"n_lines": F.col(f"{left}.n_lines"), "n_removed": F.coalesce(F.size(marks), F.lit(0)).cast("long"), "text": F.col(f"{left}.text")}
+    return done.withColumns(new).drop(key, of, id_, marks, left)

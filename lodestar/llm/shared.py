@@ -7,7 +7,8 @@ import uuid
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -87,6 +88,25 @@ def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+#: What Spark's xxhash64 starts with, and what it goes on with after an integer 1.
+_SEEDS = (42, xxhash.xxh64_intdigest(b"\1\0\0\0", 42))
+
+
+def text_id(data: bytes) -> bytes:
+    """128 bits that stand for a text: two XXH64 of its bytes, of different seeds."""
+    return b"".join(xxhash.xxh64_digest(data, seed) for seed in _SEEDS)
+
+
+def text_id_column(text: Column) -> Column:
+    """What text_id gives, worked out by Spark."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(text), F.xxhash64(F.lit(1), text))]))
+
+
+def mark_of_id(column: str) -> Column:
+    """The low 56 bits of the first half of a text_id, for bitmaps; those of F.xxhash64(text) are the same."""
+    return F.conv(F.hex(F.substring(column, 2, 7)), 16, 10).cast("long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): connected components of links (a, b) of long ids, root the least id. Ids without links are absent.
 

@@ -27,7 +27,6 @@ n_bytes, n_removed, n_spans and spans, which are replaced.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +35,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import bitmap, discard, fresh, in_bitmap, materialize
+from lodestar.llm.shared import bitmap, discard, fresh, in_bitmap, mark_of_id, materialize, text_id_column
+from lodestar.llm.shared import text_id as id_of
 
 LENGTH, GRAM, STEP = 400, 16, 16
 _M1, _M2, _M3 = (np.uint64(xxhash.xxh3_64_intdigest(f"anchor {i}") | 1) for i in range(3))
@@ -119,24 +119,6 @@ def _rows(df: DataFrame, schema: str, each: Callable) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _id_of(data: bytes) -> bytes:
-    return hashlib.sha256(data).digest()[:16]
-
-
-def _id_column(text: Column) -> Column:
-    """What _id_of gives, worked out by Spark."""
-    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
-
-
-def _low(text: str = "text_id") -> Column:
-    """The last 7 bytes of a digest as a long, for bitmaps."""
-    return F.conv(F.hex(F.substring(text, 10, 7)), 16, 10).cast("long")
-
-
-def _low_of(text_id: bytes) -> int:
-    return int.from_bytes(text_id[9:16], "big")
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(text_id, start, end) of byte spans, covered by repeated windows, of the text with that digest; they may overlap."""
     reach = reach_of(length)
@@ -154,7 +136,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if not mine:
             return []
         key = np.array([name_of(data, a) for a, _, _ in mine], np.int64)
-        text_id = _id_of(data)
+        text_id = id_of(data)
         out = []
         for i in np.flatnonzero(in_bitmap(may.value, key.view(np.uint64))).tolist():
             a, first, last = mine[i]
@@ -172,12 +154,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     discard(by_cover, unclear)
 
     # The bytes around one anchor for each distinct cover of an unclear name.
-    wanted = context.broadcast(bitmap(members.select(_low().alias("low")), "low"))
+    wanted = context.broadcast(bitmap(members.select(mark_of_id("text_id").alias("mark")), "mark"))
     seen: set[bytes] = set()  # a task's own copy
 
     def fetched(data: bytes) -> list[tuple]:
-        text_id = _id_of(data)
-        if text_id in seen or not in_bitmap(wanted.value, np.array([_low_of(text_id)], np.uint64))[0]:
+        text_id = id_of(data)
+        if text_id in seen or not in_bitmap(wanted.value, np.array([int.from_bytes(text_id[1:8], "big")], np.uint64))[0]:
             return []
         if len(seen) >= SEEN:
             seen.clear()
@@ -243,12 +225,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Texts without any removed byte are not shuffled.
     """
     found = repeated_spans(docs, length)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(_low().alias("low")), "low"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(mark_of_id("text_id").alias("mark")), "mark"))
 
     @F.arrow_udf("boolean")
-    def may_have(digests: pa.Array) -> pa.Array:
-        lows = np.array([_low_of(x.as_py()) for x in digests], np.uint64)
-        return pa.array(in_bitmap(bits.value, lows), pa.bool_())
+    def may_have(marks: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits.value, marks.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
 
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -265,14 +246,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append([{"start": a, "end": b} for a, b in merged])
         return pa.array(out, kind)
 
-    text_id, may, cut = fresh(docs, "text_id", "may", "cut")
-    per_text = materialize(found.groupBy(F.col("text_id").alias(text_id)).agg(F.collect_set(F.struct("start", "end")).alias(cut)).select(text_id, merge(cut).alias(cut)), "cuts")
+    of, may, cut = fresh(docs, "of", "may", "cut")
+    per_text = materialize(found.groupBy(F.col("text_id").alias(of)).agg(F.collect_set(F.struct("start", "end")).alias(cut)).select(of, merge(cut).alias(cut)), "cuts")
     discard(found)
     docs = docs.drop("spans").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    marked = docs.withColumn(text_id, _id_column(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).withColumn(may, may_have(text_id))
+    text = F.coalesce("text", F.lit(""))
+    marked = docs.withColumn(may, may_have(F.xxhash64(text)))
     none = F.array().cast(SPANS)
     clean = marked.where(~F.col(may)).withColumn("spans", none)
-    rest = marked.where(F.col(may)).join(per_text, text_id, "left").withColumn("spans", F.coalesce(cut, none))
-    both = clean.unionByName(rest.drop(cut)).drop(text_id, may)
+    rest = marked.where(F.col(may)).withColumn(of, text_id_column(text)).join(per_text, of, "left").drop(of).withColumn("spans", F.coalesce(cut, none))
+    both = clean.unionByName(rest.drop(cut)).drop(may)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return both.withColumns({"n_removed": removed, "n_spans": F.size("spans").cast("long")})

@@ -18,7 +18,6 @@ that the result is asked to be put in.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import bitmap, fresh, in_bitmap, materialize
+from lodestar.llm.shared import bitmap, fresh, in_bitmap, mark_of_id, materialize, text_id, text_id_column
 from lodestar.llm.words import grams, word_hashes
 
 SPAN, GRAM = 10, 5
@@ -105,13 +104,13 @@ def hits_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def candidates(text: bytes) -> Iterator[tuple]:
         data = text.translate(FOLD)
-        hashes, words, text_id = word_hashes(data), None, None
+        hashes, words, mine_id = word_hashes(data), None, None
         for n in lengths:
             mine = fingerprints(hashes, n)
             for i in np.flatnonzero(in_bitmap(marks.value, mine)).tolist():
                 if words is None:
-                    words, text_id = data.split(), hashlib.sha256(text).digest()[:16]
-                yield int(mine[i].view(np.int64)), _window(words[i : i + n]), n, text_id, i
+                    words, mine_id = data.split(), text_id(text)
+                yield int(mine[i].view(np.int64)), _window(words[i : i + n]), n, mine_id, i
 
     texts = docs.where(F.length("text").isNotNull()).select(F.encode("text", "UTF-8"))
     found = materialize(_rows(texts, schema, candidates), "candidates").join(windows, ["fp", "window", "n"])
@@ -134,29 +133,24 @@ def hits_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return materialize(per_text.select("text_id", merge("spans").alias("spans"), "items"), "hits")
 
 
-def _low(text_id: str) -> Column:
-    """7 bytes of a digest as a long, for bitmaps."""
-    return F.conv(F.hex(F.substring(text_id, 10, 7)), 16, 10).cast("long")
-
-
 def find_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits") -> DataFrame:
     """docs with the column `name`: n_words, hit spans of words (merged), and ids of the items with occurring windows, sorted."""
     found = hits_by_text(docs, benchmark)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(_low("text_id").alias("low")), "low"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(found.select(mark_of_id("text_id").alias("mark")), "mark"))
 
     @F.arrow_udf("boolean")
-    def may_have(digests: pa.Array) -> pa.Array:
-        return pa.array(in_bitmap(bits.value, np.array([int.from_bytes(x.as_py()[9:16], "big") for x in digests], np.uint64)), pa.bool_())
+    def may_have(marks: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits.value, marks.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
 
     docs = docs.drop(name)
-    text_id, may, spans, items = fresh(docs, "text_id", "may", "spans", "items")
+    of, may, spans, items = fresh(docs, "of", "may", "spans", "items")
     text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumn(text_id, F.unhex(F.substring(F.sha2(F.encode(text, "UTF-8"), 256), 1, 32))).withColumn(may, may_have(text_id))
+    marked = docs.withColumn(may, may_have(F.xxhash64(text)))
     none = {spans: F.array().cast(SPANS), items: F.array().cast("array<string>")}
     clean = marked.where(~F.col(may)).withColumns(none)
-    hit = marked.where(F.col(may)).join(found.toDF(text_id, spans, items), text_id, "left").withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
+    hit = marked.where(F.col(may)).withColumn(of, text_id_column(text)).join(found.toDF(of, spans, items), of, "left").drop(of).withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
     hits = F.struct(F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"))
-    return clean.unionByName(hit).withColumn(name, hits).drop(text_id, may, spans, items)
+    return clean.unionByName(hit).withColumn(name, hits).drop(may, spans, items)
 
 
 def n_covered(spans: Column) -> Column:
