@@ -10,11 +10,14 @@ Defined cases: rows without an identifier are ignored; of calls (or results) wit
 (then text) stands and `copies` counts them all; results without a call are kept with status `orphan`, calls without a
 result are `open`; a parent that isn't there makes the call a root (`parent_missing`); calls in or behind a cycle of
 parents have a null level and status `cycle`; unknown tools, arguments that aren't a JSON object, missing, unknown or
-mistyped ones are listed in `errors`; empty tables give an empty result; other columns are ignored.
+mistyped ones and those out of their limits (allowed values, least and most, length) are listed in `errors`; empty tables
+give an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,19 @@ from lodestar.llm.shared import materialize
 
 #: Schema types and what schema_of_variant calls them.
 TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT<.*>$", "array": "^ARRAY<.*>$"}
-Schemas = dict[str, dict[str, tuple[str, bool]]]
+
+
+class Parameter(NamedTuple):
+    """A parameter of a tool; a text's limits are of its length in characters, a number's of its value."""
+
+    kind: str
+    required: bool = False
+    allowed: tuple[str | int, ...] = ()
+    least: int | None = None
+    most: int | None = None
+
+
+Schemas = dict[str, dict[str, Parameter]]
 ID = ["conv_id", "call_id"]
 
 
@@ -45,10 +60,18 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     found = F.array(F.lit("unknown tool"))
     for tool, parameters in schemas.items():
         checks = []
-        for parameter, (kind, required) in parameters.items():
+        for parameter, (kind, required, allowed, least, most) in ((k, Parameter(*p)) for k, p in parameters.items()):
             has = F.coalesce(F.array_contains(keys, parameter), F.lit(False))
             mine = F.schema_of_variant(F.try_variant_get(value, f"$['{parameter}']", "variant"))
             wrong = F.when(~F.coalesce(mine, F.lit("VOID")).rlike(TYPES[kind]), f"{parameter}: not {kind}")
+            read = F.try_variant_get(value, f"$['{parameter}']", {"integer": "bigint", "number": "double", "string": "string"}.get(kind, "string"))
+            size = F.length(read) if kind == "string" else read
+            if allowed:
+                wrong = wrong.when(~read.isin(*allowed), f"{parameter}: not allowed")
+            if least is not None:
+                wrong = wrong.when(size < least, f"{parameter}: under {least}")
+            if most is not None:
+                wrong = wrong.when(size > most, f"{parameter}: over {most}")
             checks.append(F.when(has, wrong).otherwise(F.lit(f"{parameter}: missing" if required else None)))
         extra = F.transform(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*map(F.lit, parameters)) if parameters else F.array().cast("array<string>")), lambda k: F.concat(k, F.lit(": unknown")))
         mine = F.when(whole.startswith("OBJECT"), F.array_sort(F.concat(F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"), extra))).otherwise(F.array(F.lit("arguments: not an object")))
@@ -101,8 +124,11 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     )
 
 
-#: Turns as calls: a user turn calls `reply` with its text, the next turn answers it, its parent is the user turn before.
-TURN_SCHEMAS: Schemas = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
+#: Turns as calls: a user turn calls `reply`, or `open` at the start, with its text, the next turn answers it, its parent is the user turn before.
+TURN_SCHEMAS: Schemas = {
+    "open": {"text": Parameter("string", True, least=20), "turn": Parameter("integer", True, allowed=(0, 1))},
+    "reply": {"text": Parameter("string", True, least=10, most=200), "turn": Parameter("integer", True, least=2, most=6)},
+}
 
 
 def turn_id(turn: Column) -> Column:
@@ -113,6 +139,6 @@ def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of conversations(conv_id, turn, role, text)."""
     turn = F.col("turn")
     users = conversations.where("role = 'user'")
-    pairs = users.select("conv_id", turn_id(turn).alias("call_id"), turn_id(turn - 2).alias("parent_id"), "turn", F.lit("reply").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"))
+    pairs = users.select("conv_id", turn_id(turn).alias("call_id"), turn_id(turn - 2).alias("parent_id"), "turn", F.when(turn < 2, "open").otherwise("reply").alias("name"), F.to_json(F.struct("turn", "text")).alias("arguments"))
     replies = conversations.where("role = 'assistant'").select("conv_id", turn_id(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return pairs, replies

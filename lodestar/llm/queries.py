@@ -100,11 +100,12 @@ ORACLE = {
         SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, 'turn-' || coalesce(l.turn, r.asked) AS call_id, l.turn AS turn, l.level AS level,
                CASE WHEN l.turn IS NOT NULL THEN l.level = 0 END AS parent_missing,
                coalesce(l.copies, 0) AS copies, coalesce(r.n_results, 0) AS n_results, r.turn AS result_turn,
-               CASE WHEN l.turn IS NOT NULL THEN '' END AS errors,
+               CASE WHEN l.turn IS NOT NULL THEN concat_ws('; ', CASE WHEN l.turn < 2 AND length(l.text) < 20 THEN 'text: under 20' WHEN l.turn >= 2 AND length(l.text) < 10 THEN 'text: under 10'
+                    WHEN l.turn >= 2 AND length(l.text) > 200 THEN 'text: over 200' END, CASE WHEN l.turn < 0 THEN 'turn: not allowed' WHEN l.turn > 6 THEN 'turn: over 6' END) END AS errors,
                CASE WHEN l.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'open' ELSE 'linked' END AS status,
                '{"arguments":' || CASE WHEN l.turn IS NULL THEN 'null' ELSE '{"text":' || to_json(l.text) || ',"turn":' || l.turn || '}' END
                || ',"call_id":"turn-' || coalesce(l.turn, r.asked) || '","content":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null')
-               || ',"name":' || CASE WHEN l.turn IS NULL THEN 'null' ELSE '"reply"' END
+               || ',"name":' || CASE WHEN l.turn IS NULL THEN 'null' WHEN l.turn < 2 THEN '"open"' ELSE '"reply"' END
                || ',"parent_id":' || CASE WHEN l.turn IS NULL THEN 'null' ELSE '"turn-' || (l.turn - 2) || '"' END || '}' AS json
         FROM levels l FULL JOIN replies r ON l.conv_id = r.conv_id AND l.turn = r.asked
     """,
