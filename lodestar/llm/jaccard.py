@@ -14,9 +14,10 @@ that, index single frequent tokens, as do those up to SMALL * 100 / percent, whi
 A signature's place tells how many tokens lack before it; with the sizes of two sets it decides whether it may be the first
 they share. Of each group with a common signature every member is verified against one, that with the fewest rare tokens; links join them into components; then
 members of a group that lie in different components are verified against each other, so no link that matters to a
-component is left out. Groups of more than HOT members, which frequent sentences make, are not compared pair by pair: their
-members are dealt by combinations of more tokens. All tokens of a set are dealt to more parts than it may differ in from a
-linked one, so that linked sets agree in a whole part; sets that agree in one are compared (see `parts`).
+component is left out. In groups of more than HOT members, which frequent sentences make, sets of up to SHORT tokens are not
+compared pair by pair but dealt by combinations of more tokens. All tokens of a set are dealt to more parts than it may differ
+in from a linked one, so that linked sets agree in a whole part; sets that agree in one are compared (see `parts`). Longer sets
+of such a group are compared where their sizes and places allow a link.
 
 Defined cases: null, empty and blank texts have empty sets, link with nothing and are their own component; repeated
 rows are equal sets; a null doc_id is ignored as smallest id (and is the id where a component has no other); long texts
@@ -94,8 +95,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
     return np.concatenate(out), np.concatenate(places)
 
 
-#: Members of a signature that are compared pair by pair; larger groups are dealt by parts.
-HOT = 64
+#: Members of a signature that are compared pair by pair; in larger groups, sets of up to SHORT tokens are dealt by parts.
+HOT, SHORT = 64, 256
 
 
 def bands(n: int, percent: int) -> list[int]:
@@ -255,9 +256,17 @@ def common_tokens(docs: DataFrame, counts: DataFrame, width: int, percent: int,
     return context.broadcast(found)
 
 
-def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, tokens) of the wanted ids; a bitmap of them keeps most other texts from being shuffled."""
-    may = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "id"))
+def token_sets(docs: DataFrame, keys: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, tokens) of the wanted ids. keys: (id, key) of every text, key being Spark's xxhash64 of it.
+
+    One text of each wanted set is cut again. A bitmap of their keys keeps nearly all others from being read by Python.
+    """
+    mine = materialize(keys.join(wanted.select("id").distinct(), "id").groupBy("id").agg(F.min("key").alias("key")), "keys")
+    may = docs.sparkSession.sparkContext.broadcast(bitmap(mine, "key"))
+
+    @F.arrow_udf("boolean")
+    def is_wanted(marks: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(may.value, marks.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, size, seen = [], [], 0, set()
@@ -265,7 +274,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for x in batch.column(0):
                 tokens = shingles(x.as_py(), width)
                 d = digest(tokens)
-                if len(tokens) and d not in seen and in_bitmap(may.value, np.array([d], np.int64).view(np.uint64))[0]:
+                if len(tokens) and d not in seen:
                     seen.add(d)
                     ids.append(d)
                     sets.append(tokens.tobytes())
@@ -276,7 +285,8 @@ def token_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         if ids:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    found = docs.select("text").mapInArrow(run, "id bigint, tokens binary").join(wanted.select("id").distinct(), "id", "left_semi")
+    some = docs.select("text").where(F.col("text").isNotNull()).where(is_wanted(F.xxhash64("text")))
+    found = some.mapInArrow(run, "id bigint, tokens binary").join(mine.select("id"), "id", "left_semi")
     return found.groupBy("id").agg(F.first("tokens").alias("tokens"))  # equal ids have equal tokens
 
 
@@ -295,7 +305,7 @@ def fitting(x: str, y: str, percent: int) -> Column:
     return (i <= n - shared + 1) & (j <= m - shared + 1) & close(x, y, percent)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, keys: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. pairs must be a written table; sets are cut again from the texts that occur in it."""
 
     @F.arrow_udf("boolean")
@@ -308,13 +318,14 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
         return pa.array(out, pa.bool_())
 
     ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
-    sets = materialize(token_sets(docs, ids, width), "sets")
+    sets = materialize(token_sets(docs, keys, ids, width), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
     return materialize(left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").where(linked("x", "y")).select("a", "b"), "links")
 
 
-def link_components(docs: DataFrame, counts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, root) of every set that links with another. counts: (token, count) of tokens that are met twice."""
+def link_components(docs: DataFrame, found: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id, root) of every set that links with another. found: the survey of docs."""
+    counts, keys = found.where("token IS NOT NULL").select("token", "count"), found.where("token IS NULL").select("id", "key")
     context = docs.sparkSession.sparkContext
     frequent = common_tokens(docs, counts, width, percent)
     # The member with the fewest rare tokens is, in a group of copies, the most typical one.
@@ -327,22 +338,25 @@ def link_components(docs: DataFrame, counts: DataFrame, width: int = WIDTH, perc
     pivots = materialize(members.join(groups.withColumnRenamed("pivot", "id"), ["sig", "id"]), "pivots")
     stars = members.alias("x").join(pivots.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") != F.col("y.id"))).where(fitting("x", "y", percent))
     stars = materialize(stars.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "stars")
-    links = verified(docs, stars, width, percent)
+    links = verified(docs, keys, stars, width, percent)
     roots = components(links)
     placed = materialize(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
     apart = placed.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low <> _high AND _n > 2")
     apart = materialize(apart.select("sig", (F.col("_n") > HOT).alias("hot")), "apart")
     open_ = materialize(placed.join(apart, "sig"), "open")
-    few = open_.where("NOT hot")
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & fitting("x", "y", percent))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).unionByName(pairs_by_parts(docs, open_.where("hot"), width, percent)).distinct()
+    # Of two members of a large group at least one is long here; two short ones meet by parts.
+    x, y = open_.alias("x"), open_.alias("y")
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (~F.col("x.hot") | (F.greatest("x.n", "y.n") > SHORT)) & fitting("x", "y", percent))
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    by_parts = pairs_by_parts(docs, keys, open_.where(F.col("hot") & (F.col("n") <= SHORT)), width, percent)
+    pairs = pairs.unionByName(by_parts.distinct())
     # Pairs that were verified lie apart in either order.
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    return roots if pairs.isEmpty() else components(links.unionByName(verified(docs, pairs, width, percent)))
+    return roots if pairs.isEmpty() else components(links.unionByName(verified(docs, keys, pairs, width, percent)))
 
 
-def pairs_by_parts(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def pairs_by_parts(docs: DataFrame, keys: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b) of members (id, root, n, parities) of large groups that agree in a part and may link, a < b, of different roots."""
     nodes = materialize(members.select("id", "root", "n", *PARITIES).distinct(), "hot")
 
@@ -352,7 +366,7 @@ def pairs_by_parts(docs: DataFrame, members: DataFrame, width: int, percent: int
                 names = parts(np.frombuffer(x.as_buffer(), np.uint64), percent).view(np.int64)
                 yield pa.record_batch([pa.array(names), pa.array(np.full(len(names), i, np.int64))], names=["part", "id"])
 
-    dealt = token_sets(docs, nodes, width).mapInArrow(run, "part bigint, id bigint").join(nodes, "id")
+    dealt = token_sets(docs, keys, nodes, width).mapInArrow(run, "part bigint, id bigint").join(nodes, "id")
     dealt = materialize(dealt, "parts")
     several = materialize(dealt.groupBy("part").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("part"), "several")
     shared = materialize(dealt.join(several, "part"), "shared")
@@ -364,9 +378,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every row."""
     found = survey(docs, width)
     nodes = found.where("token IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "id")
-    counts = found.where("token IS NOT NULL").select("token", "count")
     full = nodes.where("n_shingles > 0")
-    roots = link_components(docs, counts, width, percent)
+    roots = link_components(docs, found, width, percent)
     firsts = full.groupBy("id").agg(F.min("doc_id").alias("low")).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lows = firsts.groupBy("root").agg(F.min("low").alias("component_id"))
     by_id = materialize(firsts.join(lows, "root").select("id", "component_id"), "ids")  # so that Spark can split the rows of a very common text
@@ -382,7 +395,7 @@ def keep_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Da
     found = survey(docs, width)
     id_, key, copies, place, mark = fresh(docs, "id", "key", "copies", "place", "mark")
     rows = found.where("token IS NULL").groupBy("doc_id", "key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    roots = link_components(docs, found.where("token IS NOT NULL").select("token", "count"), width, percent)
+    roots = link_components(docs, found, width, percent)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies")
     firsts = rows.where("n > 0").groupBy("id").agg(F.min(first).alias("least")).join(roots, "id", "left")
     full = firsts.groupBy(F.coalesce("root", "id")).agg(F.min("least").alias("least"))
