@@ -20,6 +20,13 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(term(i)) for i in range(k + 1)))
 
 
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """P(X >= k) of Bin(n, p)."""
+    if k <= 0:
+        return 1.0
+    return binomial_cdf(n - k, n, 1 - p)  # of the failures, so that small tails keep their digits
+
+
 def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
     """One-sided lower and upper limits, each at level alpha, by bisection on the distribution function."""
 
@@ -51,7 +58,12 @@ def mcnemar(only_a: int, only_b: int) -> float:
 
 
 def bootstrap_ratio(both: int, only_a: int, only_b: int, neither: int, resamples: int = 10_000, alpha: float = 0.05, seed: int = 1234) -> tuple[float, float, float]:
-    """Point and percentile limits of accuracy(a) / accuracy(b) over paired items: items are resampled jointly, as four cells."""
+    """Point and percentile limits of accuracy(a) / accuracy(b) over paired items: items are resampled jointly, as four cells.
+
+    Resamples in which b is never right are left out. If b is never right at all, or there are no items, there is no ratio: all three are NaN.
+    """
+    if not both + only_b:
+        return math.nan, math.nan, math.nan
     cells, rng = (both, only_a, only_b, neither), random.Random(seed)
     n = sum(cells)
     ratios = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 from lodestar.functions import stats
-from lodestar.operators import compare, routing
+from lodestar.operators import routing
 from lodestar.plans import registry
 from lodestar.streaming import drift
 
@@ -54,23 +55,12 @@ def test_statistics() -> None:
     assert point == pytest.approx(90 / 82) and lo <= point <= hi and stats.bootstrap_ratio(80, 10, 2, 8) == (point, lo, hi)
     assert stats.promote(200, 60, 3, 37) and not stats.promote(200, 3, 60, 37)
     assert stats.certify([(0.9, 36, 0), (0.8, 60, 1), (0.7, 90, 30), (0.6, 200, 0)], 0.08, 0.05) == 0.9 or stats.binomial_cdf(1, 60, 0.08) <= 0.05
+    assert all(math.isnan(x) for x in stats.bootstrap_ratio(0, 5, 0, 5)) and not stats.promote(0, 5, 0, 5)
+    assert stats.binomial_tail(7, 10, 0.5) == pytest.approx(0.171875) and stats.binomial_tail(0, 5, 0.1) == 1 and stats.binomial_tail(40, 40, 0.1) == pytest.approx(1e-40, rel=1e-9)
     with pytest.raises(ValueError, match="fall"):
         stats.certify([(0.5, 100, 0), (0.6, 100, 0)], 0.08, 0.05)
 
 
-def test_guard_and_comparison(spark: SparkSession) -> None:
-    t = spark.createDataFrame([(1, "a", 1.0), (2, None, 2.5), (2, None, 2.5)], "x int, y string, z double")
-    assert [compare.refused(s) for s in ("", "select 1; select 2", "drop table t", "select ';'", "-- hi\nwith a as (select 1) select * from a")] == ["syntax", "multi_statement", "forbidden", None, None]
-    assert compare.guarded(spark, "SELECT * FROM {t}", {"t": t}, max_rows=2)[1] == "row_cap"
-    assert compare.guarded(spark, "SELECT nope FROM {t}", {"t": t})[1] == "runtime"
-    gold = compare.guarded(spark, "SELECT x, y, z FROM {t}", {"t": t})[0]
-    assert compare.matches(gold, t) and not compare.matches(t.distinct(), t)
-    assert compare.classify_miss(t.select("z", "x", "y"), t) == "column_order" and compare.classify_miss(t.withColumn("w", t.x), t.select("y", "z")) == "extra_columns"
-    assert compare.classify_miss(t.distinct(), t) == "duplicates" and compare.classify_miss(t.na.fill(""), t) == "null_or_empty"
-    assert all(not compare.matches(bad, t) for bad in compare.corruptions(t).values())
-    assert {"gt_to_gte", "and_to_or", "avg_to_sum"} <= set(compare.mutations("SELECT AVG(x) FROM t WHERE a > 1 AND b IS NULL"))
-
-
 def test_router_fit(spark: SparkSession) -> None:
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 2))
@@ -108,3 +98,19 @@ def test_drift_batch_and_stream(spark: SparkSession, tmp_path) -> None:  # noqa:
     query = drift.watch(stream, limits).writeStream.format("memory").queryName("drift_events").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert {(r["stream"], r["request_id"], r["detector"]) for r in spark.table("drift_events").collect()} == want
+
+
+def test_recertification_and_restore(spark: SparkSession) -> None:
+    limits = drift.Limits(window=4, tau_num=1, tau_den=2, least=4)
+    one, two = "a" * 64, "b" * 64
+    machine = drift.Machine(limits)
+    assert not machine.recertify(one)  # it is certified
+    trip = lambda: [machine.observe(True, None) for _ in range(4)][-1]
+    assert trip() and machine.observe(True, None) is None and not machine.recertify("A" * 64) and machine.recertify(one)
+    assert trip() and not machine.recertify(one) and machine.recertify(two) and machine.open
+    rows = [(0, r, True, None, None) for r in range(6)] + [(0, 6, None, None, one)] + [(0, r, True, None, None) for r in range(7, 12)] + [(0, 12, None, None, one), (0, 13, None, None, two), (1, 0, False, None, two)]
+    got = drift.replay(spark.createDataFrame(rows, "stream long, request_id long, deferred boolean, audit boolean, cert string"), limits).collect()
+    assert [(r["request_id"], r["kind"]) for r in got if r["kind"] in ("rollback", "recertify")] == [(3, "rollback"), (6, "recertify"), (10, "rollback"), (13, "recertify")]
+    log = [(0, 1, "rollback", "rollback", "audit", None), (0, 2, "teacher_only", "teacher", None, None), (0, 3, "recertify", "certified", None, one), (1, 1, "rollback", "rollback", "deferral", two), (2, 4, "rollback", "rollback", "deferral", one), (2, 5, "redistill", "teacher", None, None)]
+    state = drift.restore(spark.createDataFrame(log, "stream long, seq long, kind string, state_to string, detector string, cert string"))
+    assert {r["stream"]: (r["state"], r["cert"], r["revoked"], r["detector"]) for r in state.collect()} == {0: ("certified", one, [], None), 1: ("teacher", None, [two], "deferral"), 2: ("teacher", None, [one], "deferral")}
