@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a skeleton masks, and the masks.
+QUOTED, AMOUNT = r"'[^']*'", r"\$?\d[\d,.:-]*"
+MASKS = {"quoted": "<s>", "amount": "<n>", "vocabulary": "<v>"}
 #: Quoted texts (doubled quotes inside) and comments.
 LITERAL = r"'(?:[^']|'')*'"
 COMMENT = r"--[^\n]*|(?s:/\*.*?\*/)"
@@ -20,10 +23,12 @@ def normal_paraphrase(text: Column) -> Column:
 
 def skeleton(text: Column, vocabulary: tuple[str, ...] = ()) -> Column:
     """The question with quoted texts, numbers and the words of a vocabulary masked: equal skeletons differ only in parameters."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(text), r"'[^']*'", "<s>"), r"\$?[0-9][0-9,.:-]*", "<n>")
+    s = F.lower(text)
+    for pattern, mask in ((QUOTED, "quoted"), (AMOUNT, "amount")):
+        s = F.regexp_replace(s, pattern, MASKS[mask])
     if vocabulary:
         longest = sorted((v.lower() for v in vocabulary), key=lambda v: (-len(v), v))
-        s = F.regexp_replace(s, r"\b(?:" + "|".join(f"\\Q{v}\\E" for v in longest) + r")\b", "<v>")
+        s = F.regexp_replace(s, r"\b(?:" + "|".join(f"\\Q{v}\\E" for v in longest) + r")\b", MASKS["vocabulary"])
     return normal_question(s)
 
 
@@ -57,8 +62,10 @@ def extract_sql(output: Column) -> Column:
     n_fences = F.size(F.split(text, "```")) - 1
     dangling = F.when(n_fences % 2 == 1, last_query(F.regexp_extract(text, r"(?s)^.*```[^\n]*\n(.*)$", 1)))
     loose = F.split(F.regexp_replace(text, r"(?s)```[^\n`]*\n.*?```", "\n\n"), r"\n\s*\n")
-    start = r"(?is)(?:^[ \t]*|.*?\n[ \t]*|.*?\b)((?:SELECT\s|WITH\s+(?:RECURSIVE\s+)?\w+(?:\s*\([^)]*\))?\s+AS\s*\().*)$"
-    return F.coalesce(first(fenced), dangling, first(F.transform(loose, lambda c: last_query(F.regexp_extract(c, start, 1)))))
+    query = r"select\s.*|with\s[^;]*?\bas\s*\(.*"  # a WITH counts where it names a query
+    begins = lambda chunk, before: F.nullif(F.regexp_extract(chunk, rf"(?ims){before}({query})\z", 1), F.lit(""))
+    from_query = lambda chunk: last_query(F.coalesce(begins(chunk, "^[ \\t]*"), begins(chunk, r"\b")))  # noqa: E731  one that starts a line goes first
+    return F.coalesce(first(fenced), dangling, first(F.transform(loose, from_query)))
 
 
 def task_id(family: Column, sql: Column) -> Column:
@@ -80,3 +87,31 @@ def break_even(fixed: Column, student: Column, teacher: Column, deferred: Column
     """Requests after which a fixed cost is saved; null if it never is."""
     saved = teacher - blended_cost(student, teacher, deferred)
     return F.when(saved > 0, F.ceil(fixed / saved))
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with sorted keys and no spaces; null if it isn't JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def unit(vector: Column, dims: int) -> Column:
+    """The first dims numbers of a vector scaled to length 1, as floats; a vector that has no length, or one that isn't finite, is an error."""
+    cut = F.slice(vector, 1, dims)
+    norm = F.sqrt(F.aggregate(cut, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    good = (norm > 0) & (norm < F.lit(float("inf")))  # NaN is above infinity
+    return F.when(good, F.transform(cut, lambda x: (x / norm).cast("float"))).otherwise(F.raise_error(F.lit("a vector without direction")).cast("array<float>"))
+
+
+def answer_log_probs(tokens: Column, logs: Column, stop: int, think_end: int) -> Column:
+    """(mean, least, n) of the log-probabilities of an answer's tokens: from after the last think_end up to the first stop; nulls where none is left."""
+    end = F.array_position(tokens, F.lit(stop))
+    kept = F.when(end > 0, F.slice(tokens, 1, end - 1)).otherwise(tokens)
+    after = F.coalesce(F.array_max(F.transform(kept, lambda t, i: F.when(t == think_end, i + 1))), F.lit(0)).cast("int")
+    mine = F.slice(logs, after + 1, F.greatest(F.size(kept) - after, F.lit(0)))
+    total = F.aggregate(mine, F.lit(0.0), lambda acc, x: acc + x)
+    return F.struct(F.when(F.size(mine) > 0, total / F.size(mine)).alias("mean"), F.array_min(mine).alias("least"), F.size(mine).alias("n"))
+
+
+def frames(event_id: Column, event: Column, data: Column) -> Column:
+    """Server-sent event frames: id, event, and a data line for each line of data."""
+    return F.concat(F.lit("id: "), event_id.cast("string"), F.lit("\nevent: "), event, F.lit("\ndata: "), F.replace(data, F.lit("\n"), F.lit("\ndata: ")), F.lit("\n\n"))

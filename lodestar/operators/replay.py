@@ -8,13 +8,16 @@ read in passing: what is held is the entities that one task has changed. The fir
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import without_thinking
 from lodestar.plans.toolcalls import AGENTS, MAX_SEATS_PER_CALL, RESOLUTIONS, SEAT_LIMITS, SUSPEND_REASONS
 
 # Fixed values.
@@ -105,6 +108,8 @@ class Task:
             self.n += 1
 
     def change(self, tool: Tool, args: dict, name: tuple, fields: str | None, taken: bool) -> str | None:
+        if tool.kind == "user" and args["email"] in self.emails:
+            return None  # one whom the task itself has created
         if name not in self.now:
             if fields is None:
                 return f"no_{tool.kind}"
@@ -134,12 +139,17 @@ def replay(calls: DataFrame, entities: DataFrame) -> DataFrame:
     """
     kinds = F.create_map(*[F.lit(x) for t, spec in TOOLS.items() for x in (t, spec.kind)])
     path = lambda n: F.get_json_object("args", f"$.{n}")
-    named = calls.select("task", "step", "tool", "args").withColumns({"kind": kinds[F.col("tool")], "email": F.when(F.col("tool") == "create_user", path("email"))})
+    named = calls.select("task", "step", "tool", "args").withColumn("kind", kinds[F.col("tool")])
     named = named.withColumn("key", F.when(F.col("kind") == "user", path("email")).otherwise(F.coalesce(*[F.when(F.col("kind") == k, path(f"{k}_id")) for k in ("account", "invoice", "ticket")])))
     state = entities.select("kind", F.col("id").alias("key"), "fields")
     mails = entities.where("kind = 'user'").select(F.col("id").alias("email"), F.lit(True).alias("taken")).distinct()
-    rows = named.join(state, ["kind", "key"], "left").join(mails, "email", "left")
-    rows = rows.select("task", "step", "tool", "args", "kind", "key", "fields", F.coalesce("taken", F.lit(False)).alias("taken"))
+    # Only rows that have a key are joined by it, so that those without don't meet in one task.
+    kept = ["task", "step", "tool", "args", "kind", "key", "fields"]
+    found = named.where("key IS NOT NULL").join(state, ["kind", "key"], "left").select(*kept)
+    found = found.unionByName(named.where("key IS NULL").withColumn("fields", F.lit(None).cast("string")).select(*kept))
+    asks = F.coalesce(F.col("tool") == "create_user", F.lit(False)) & path("email").isNotNull()
+    users = found.where(asks).withColumn("email", path("email")).join(mails, "email", "left").select(*kept, F.coalesce("taken", F.lit(False)).alias("taken"))
+    rows = users.unionByName(found.where(~asks).withColumn("taken", F.lit(False)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, task = [c.split()[0] for c in RESULT.split(", ")], None
@@ -165,19 +175,60 @@ def same_state(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(b.select("task", F.struct("ok", "changed").alias("y")), "task", "full").select("task", F.coalesce(F.col("x.ok") & F.col("y.ok") & F.col("x.changed").eqNullSafe(F.col("y.changed")), F.lit(False)).alias("same"))
 
 
+def differences(a: DataFrame, b: DataFrame, most: int = 6) -> DataFrame:
+    """(task, kind, keys) of two replays: of each kind of entity the first `most` keys whose changes differ, in order."""
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    entries = lambda df, side: df.select("task", F.explode(as_map(F.col("changed"))).alias("entity", side))
+    both = entries(a, "x").join(entries(b, "y"), ["task", "entity"], "full").where(~F.col("x").eqNullSafe(F.col("y")))
+    split = both.select("task", F.substring_index("entity", "/", 1).alias("kind"), F.when(F.col("entity").contains("/"), F.regexp_extract("entity", "/(.*)", 1)).alias("key"))
+    ranked = split.withColumn("_n", F.row_number().over(Window.partitionBy("task", "kind").orderBy(F.expr("try_cast(key AS bigint)"), "key"))).where(F.col("_n") <= most)
+    return ranked.groupBy("task", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "key"))), lambda x: x["key"]).alias("keys"))
+
+
+#: The arguments with a list of allowed values, and for each value the next one.
+CHOICES = {name: dict(zip(kind, kind[1:] + kind[:1], strict=True)) for spec in TOOLS.values() for name, kind in spec.args.items() if isinstance(kind, tuple) and isinstance(kind[0], str)}
+
+
+def other_choice(args: Column) -> Column:
+    """args with another allowed value for the first argument that has a list of them; null where none has."""
+    out = F.lit(None).cast("string")
+    for name, following in reversed(CHOICES.items()):
+        now = F.get_json_object(args, f"$.{name}")
+        new = F.create_map(*[F.lit(x) for pair in following.items() for x in pair])[now]
+        found = F.concat(F.lit(rf'("{name}":\s*")'), now, F.lit('"'))
+        out = F.when(new.isNotNull(), F.regexp_replace(args, found, F.concat(F.lit("$1"), new, F.lit('"')))).otherwise(out)
+    return out
+
+
 def corrupt(calls: DataFrame) -> DataFrame:
-    """calls of wrong answers, one kind of fault for each task and `fault`: a lost call, another entity, a wrong number, swapped order, a call too many.
+    """calls of wrong answers, one kind of fault for each task and `fault`: a lost call, another entity, a wrong number, another allowed value,
+    swapped arguments, swapped order, a call too many.
 
-    The last call of each task is found by one aggregation, so tasks of any length will do.
+    The last call of each task is found by one aggregation, so tasks of any length will do. Arguments are swapped between the first and
+    the last call of a tool that a task uses twice (their first ids), else within the last call.
     """
     last = calls.groupBy("task").agg(F.max("step").alias("last"))
     rows = calls.join(last, "task")
     shift = lambda pattern: F.regexp_replace("args", pattern, "$19$2")  # noqa: E731  (a 9 between groups 1 and 2)
-    has_count = F.get_json_object("args", "$.count").isNotNull()
+    having = lambda what: rows.where(what.isNotNull()).groupBy("task").agg(F.max("step").alias("there"))
+    counted = having(F.get_json_object("args", "$.count"))
+    chosen = having(other_choice(F.col("args")))
+    an_id = r'"(?:account|invoice|ticket)_id":\d+'
+    id_of = F.regexp_extract("args", an_id, 0)
+    twice = calls.where(id_of != "").groupBy("task", "tool").agg(F.min("step").alias("a"), F.max("step").alias("b"), F.min_by(id_of, "step").alias("id_a"), F.max_by(id_of, "step").alias("id_b")).where("a < b AND id_a <> id_b")
+    pair = twice.groupBy("task").agg(F.min(F.struct("a", "b", "id_a", "id_b")).alias("p"))
+    within = F.regexp_replace("args", r'^\{("\w+":)("[^"]*"|-?\d+),("\w+":)("[^"]*"|-?\d+)', r"{$1$4,$3$2")
+    swapped = rows.join(pair, "task", "left").withColumn(
+        "args",
+        F.when((F.col("step") == F.col("p.a")), F.replace("args", F.col("p.id_a"), F.col("p.id_b"))).when(F.col("step") == F.col("p.b"), F.replace("args", F.col("p.id_b"), F.col("p.id_a")))
+        .when(F.col("p").isNull() & (F.col("step") == F.col("last")), within).otherwise(F.col("args")),
+    ).drop("p")
     kinds = {
         "drop_call": rows.where("step < last"),
         "wrong_id": rows.withColumn("args", F.when(F.col("step") == F.col("last"), shift(r'(_id":)(\d+)')).otherwise(F.col("args"))),
-        "wrong_number": rows.join(rows.where(has_count).select("task").distinct(), "task", "left_semi").withColumn("args", shift(r'("count":)(\d+)')),
+        "wrong_number": rows.join(counted, "task", "left_semi").withColumn("args", shift(r'("count":)(\d+)')),
+        "wrong_enum": rows.join(chosen, "task").withColumn("args", F.when(F.col("step") == F.col("there"), other_choice(F.col("args"))).otherwise(F.col("args"))).drop("there"),
+        "swapped_args": swapped,
         "broken_order": rows.withColumn("step", -F.col("step")),
         "extra_call": rows.unionByName(rows.where("step = last").withColumn("step", F.col("step") + 1)),
     }
@@ -186,3 +237,46 @@ def corrupt(calls: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def calls_of(text: str | None) -> str | None:
+    """The canonical JSON of the last list of calls in a model's answer without its thinking, or None.
+
+    Fenced blocks go first, the last one first, where an empty list counts; then an open fence; then the text between, where an empty
+    list counts only alone. A single call is a list of one.
+    """
+    parts = (text or "").split("```")
+    fenced = [p.partition("\n")[2] if "\n" in p else p for p in parts[1::2]]
+    is_open = len(parts) % 2 == 0
+    outside = "\n".join(parts[:: 2])
+    ordered = [(p, True) for p in reversed(fenced[:-1] if is_open else fenced)] + [(p, p.strip() == "[]") for p in fenced[-1:] if is_open] + [(outside, outside.strip() == "[]")]
+    for chunk, empty_counts in ordered:
+        found = last_list(chunk, empty_counts)
+        if found is not None:
+            return json.dumps(found, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return None
+
+
+def last_list(chunk: str, empty_counts: bool) -> list | None:
+    """The last JSON value in a text that is a call or a list of calls."""
+    found, at, read = None, 0, json.JSONDecoder().raw_decode
+    for m in iter(lambda: re.compile(r"[\[{]").search(chunk, at), None):
+        try:
+            value, at = read(chunk, m.start())
+        except (ValueError, RecursionError):
+            at = m.start() + 1
+            continue
+        calls = [value] if isinstance(value, dict) else value
+        if all(isinstance(c, dict) and "tool" in c for c in calls) and (calls or empty_counts):
+            found = calls
+    return found
+
+
+def extracted_calls(output: Column) -> Column:
+    """calls_of as a column, after thinking is taken out."""
+
+    @F.arrow_udf("string")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([calls_of(x.as_py()) for x in texts], pa.string())
+
+    return found(without_thinking(output))

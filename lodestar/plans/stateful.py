@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions import stats
+from lodestar.functions import ranks, stats
 from lodestar.functions import text as texts
 from lodestar.operators import replay, routing
 from lodestar.plans import toolcalls
-from lodestar.plans.analytics import run_sql
+from lodestar.plans.analytics import oracle, run_sql
 from lodestar.streaming import drift, limits, simulate
 
 
@@ -33,14 +34,13 @@ def router_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thresholds are whole values, so the curve has few rows at any input size."""
-    curve = _events(spark, sf_dir).groupBy(F.floor("value").cast("double").alias("t")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e")).orderBy(F.desc("t")).limit(10_000).collect()
-    covered = errors = 0
-    points = []
-    for r in curve:
-        covered, errors = covered + r["n"], errors + r["e"]
-        points.append((r["t"], covered, errors))
-    return spark.createDataFrame([(alpha, stats.certify(points, alpha, 0.05)) for alpha in (0.15, 0.25, 0.35)], "alpha double, threshold double")
+    """Thresholds come from the FIT half of the requests alone, so that the other half certifies thresholds that it didn't choose."""
+    rows = _events(spark, sf_dir).select("event_id", "value", (F.col("event_type") == "error").alias("wrong"))
+    grid = ranks.coverage_grid(rows.where("event_id % 2 = 0"), "value", [i / 20 for i in range(1, 21)])
+    held = rows.where("event_id % 2 = 1")
+    counts = held.agg(*[c for i, t in enumerate(grid) for c in (F.count_if(F.col("value") >= t).alias(f"n{i}"), F.count_if((F.col("value") >= t) & F.col("wrong")).alias(f"e{i}"))]).first() if grid else None
+    curve = [(t, counts[f"n{i}"], counts[f"e{i}"]) for i, t in enumerate(grid)]
+    return spark.createDataFrame([(alpha, stats.certify(curve, alpha, 0.05)) for alpha in (0.15, 0.25, 0.35)], "alpha double, threshold double")
 
 
 def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,19 +50,26 @@ def rate_limit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 0).alias("deferred"), (F.col("toxic") == 0).alias("correct"))
+    """(place, deferred, correct) of the labels, numbered by doc_id."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return ranks.numbered(rows.select("doc_id", (F.col("quality") == 0).alias("deferred"), (F.col("toxic") == 0).alias("correct")), "doc_id")
 
 
 def calibrated_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simulate.calibrate(spark, simulate.flags_of(_flags(spark, sf_dir), "doc_id", "deferred")[:, 0], 20, 0.5, n_streams=100)
+    found = simulate.calibrate(_flags(spark, sf_dir), 20, 0.5)
     return spark.createDataFrame([tuple(found.values())], "tau_num int, tau_den int, rate double, validation_rate double, n_rows int")
 
 
+def burst_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled rows, and those of them that the teacher gets or that are wrong (all, where there are none), numbered."""
+    rows = _flags(spark, sf_dir)
+    odd = ranks.numbered(rows.where("deferred OR NOT correct").drop("place"), "doc_id")
+    return rows, rows if odd.isEmpty() else odd
+
+
 def burst_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The burst draws from rows that the teacher gets, or that are wrong."""
-    rows = simulate.flags_of(_flags(spark, sf_dir), "doc_id", "deferred", "correct")
-    odd = rows[(rows[:, 0] == 1) | (rows[:, 1] == 0)]
-    return simulate.burst(spark, rows, odd if len(odd) else rows, drift.Limits(tau_num=6), 100, 300, 200)
+    return simulate.burst(*burst_rows(spark, sf_dir), drift.Limits(tau_num=6), 300, 300, 200)
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,9 +132,32 @@ def extracted_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", texts.extract_sql(F.col("text")).alias("sql"), F.sha2(texts.skeleton(F.col("text")), 256).alias("skeleton_sha256"))
 
 
+def extracted_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of calls in answers: each task's calls as a model might write them, fenced or not, found again. `same`: as they were."""
+    rows = run_sql(spark, sf_dir, toolcalls.T["dc_onboard"]).unionByName(run_sql(spark, sf_dir, toolcalls.T["eg_suspend"]))
+    n = F.pmod(F.xxhash64("task_key"), F.lit(3))
+    output = F.when(n == 0, F.concat(F.lit("<think>[1]</think>Sure:\n```json\n"), "calls", F.lit("\n```\nDone."))).when(n == 1, F.concat(F.lit("```\n"), "calls")).otherwise(F.concat(F.lit("```json\n[]\n```\n```json\n"), "calls", F.lit("\n```")))
+    return rows.select("task_key", replay.extracted_calls(output).alias("found"), F.col("calls")).withColumn("same", F.col("found") == F.col("calls")).drop("calls")
+
+
+def coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold of each share, by narrowing intervals."""
+    rows, levels = _events(spark, sf_dir).where("event_type = 'view'"), (0.1, 0.5, 0.9)
+    n = rows.where("value IS NOT NULL").count()
+    found = ranks.largest(rows, "value", [max(1, ceil(x * n - 1e-9)) for x in levels])
+    return spark.createDataFrame([(x, t) for x, t in zip(levels, found, strict=True) if t is not None], "level double, threshold double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (drift_replay, router_scores, risk_certificate, rate_limit_decisions, calibrated_tau, burst_replay, replay_final_state, replay_faults, extracted_sql)}
+    return {f.__name__: f for f in (drift_replay, router_scores, risk_certificate, rate_limit_decisions, calibrated_tau, burst_replay, replay_final_state, replay_faults, extracted_sql, extracted_calls, coverage_grid)}
+
+
+#: The defined results, by SQL.
+ORACLE = {
+    "coverage_grid": "WITH r AS (SELECT value, row_number() OVER (ORDER BY value DESC) AS k, count(*) OVER () AS m FROM {events} WHERE event_type = 'view' AND value IS NOT NULL) SELECT CAST(level AS DOUBLE) AS level, value AS threshold FROM r JOIN (SELECT 0.1 AS level UNION ALL SELECT 0.5 UNION ALL SELECT 0.9) g ON k = greatest(1, ceil(level * m - 1e-9))",
+    "extracted_calls": f"SELECT task_key, calls AS found, true AS same FROM ({toolcalls.T['dc_onboard']} UNION ALL {toolcalls.T['eg_suspend']}) t",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: oracle(sql) for name, sql in ORACLE.items()}

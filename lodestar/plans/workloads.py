@@ -24,7 +24,7 @@ def w(name: str, sql: str, **params: object) -> None:
 
 NORMAL = "lower(trim(replace(replace(text, chr(10), ' '), chr(9), ' ')))"
 CALLS = "(SELECT event_id AS request_id, CAST(CAST(ts AS DATE) AS STRING) AS day, CASE WHEN event_type = 'error' THEN 'teacher' ELSE 'student' END AS served_by, event_type <> 'signup' AS ok, CAST(round(value * 1000) AS BIGINT) AS cost_nano, CASE WHEN event_id % 5 <> 0 THEN CAST(round(value * 3000) AS BIGINT) END AS teacher_nano, CAST(floor(value * 10) AS BIGINT) AS latency_ms, user_id % 8 AS route FROM {events})"
-# Vectors are taken whole; the reference's truncation is not done.
+# Vectors are taken whole; functions.text.unit cuts them where that is wanted.
 CORPUS = "(SELECT vec_id, label, slice_v AS v, sqrt(DOT(slice_v, slice_v)) AS norm FROM (SELECT vec_id, label, embedding AS slice_v FROM {embeddings}) s)"
 
 # curation
@@ -56,7 +56,6 @@ w("identical_output_rate", "SELECT round(count_if(a.event_type = b.event_type) /
 w("wilson_interval", "SELECT n, k, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(quality) AS DOUBLE) AS k, avg(CAST(quality AS DOUBLE)) AS p, CAST(1.959963984540054 AS DOUBLE) AS z FROM {labels}) x")
 w("failure_algebra", "SELECT doc_id, CASE WHEN quality = 0 AND toxic = 0 THEN 'both' WHEN quality = 0 THEN 'only_a' ELSE 'only_b' END AS part FROM {labels} WHERE quality = 0 OR toxic = 0")
 w("risk_coverage", "SELECT score, sum(n) OVER (ORDER BY score DESC) AS covered, sum(errors) OVER (ORDER BY score DESC) AS errors FROM (SELECT floor(value) AS score, count(*) AS n, count_if(event_type = 'error') AS errors FROM {events} GROUP BY floor(value)) s")
-w("coverage_grid", "WITH c AS (SELECT value, count(*) AS n FROM {events} WHERE event_type = 'view' GROUP BY value), r AS (SELECT value, sum(n) OVER (ORDER BY value DESC) AS upto, sum(n) OVER () AS m FROM c) SELECT CAST(g.level AS DOUBLE) AS level, max(value) AS threshold FROM r JOIN (SELECT 0.1 AS level UNION ALL SELECT 0.5 UNION ALL SELECT 0.9) g ON upto >= greatest(1, ceil(g.level * m - 1e-9)) GROUP BY g.level")
 w("selective_evaluation", "SELECT count_if(value >= :t) AS served, count_if(value >= :t AND event_type = 'error') AS wrong, count_if(value < :t AND event_type = 'error') AS wrong_deferred, count(*) AS n FROM {events}", t=10.0)
 w("nearest_rank_percentiles", "SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY value) AS p95 FROM {events} GROUP BY event_type")
 w("parity_table", "SELECT count(*) AS n, count_if(a.quality = b.quality) AS agree, count_if(a.quality = 1 AND b.quality = 0) AS only_first, count_if(a.quality = 0 AND b.quality = 1) AS only_second FROM {labels} a JOIN {labels} b ON b.doc_id = a.doc_id + 1")

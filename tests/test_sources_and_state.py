@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.functions import text
+from lodestar.functions import ranks, text
 from lodestar.operators import replay
 from lodestar.sources import files
 from lodestar.streaming import limits, simulate
@@ -117,6 +117,7 @@ TASKS = [
     ([("close_ticket", {"ticket_id": 7, "resolution": "resolved"})], 0, "unassigned", {}),
     ([("assign_ticket", {"ticket_id": 7, "agent": "dana"}), ("close_ticket", {"ticket_id": 7, "resolution": "resolved"})], 2, None, {"ticket/7": {"assignee": "dana", "resolution": "resolved", "status": "closed"}}),
     ([("lookup_user", {"email": "a@x"}), ("add_seat", {"account_id": 1, "count": 1}), ("create_user", USER | {"email": "a@x"})], 2, "email_taken", {"account/1": {"seats": 10}}),
+    ([("add_seat", {"account_id": 1, "count": 1}), ("create_user", USER), ("lookup_user", {"email": "n@x"}), ("lookup_user", {"email": "m@x"})], 3, "no_user", {"account/1": {"seats": 10, "taken": 10}, "users": ["n@x"]}),
     ([("nothing", {})], 0, "unknown_tool", {}),
     ([("lookup_ticket", {"ticket_id": 7, "more": 1})], 0, "argument_names", {}),
     ([("lookup_ticket", {"ticket_id": True})], 0, "argument_ticket_id", {}),
@@ -133,7 +134,30 @@ def test_replay(spark: SparkSession) -> None:
         assert got[t] == (n, error, changed, error is None, None if error is None else n), t
     assert got[90][1] == "unknown_tool" and got[91][1] == "argument_names"
     assert replay.replay(calls.limit(0), state).count() == 0 and {r["task"] for r in replay.same_state(done, done).where("same").collect()} == {0, 9}
-    assert {r["fault"] for r in replay.corrupt(calls).collect()} == {"drop_call", "wrong_id", "wrong_number", "broken_order", "extra_call"}
+    bad = replay.corrupt(calls)
+    assert {r["fault"] for r in bad.collect()} == {"drop_call", "wrong_id", "wrong_number", "wrong_enum", "swapped_args", "broken_order", "extra_call"}
+    enum = {r["task"]: json.loads(r["args"]) for r in bad.where("fault = 'wrong_enum' AND tool = 'close_ticket'").collect()}
+    assert enum[8]["resolution"] == "wont_fix"
+    pair = spark.createDataFrame([(0, 0, "close_ticket", '{"resolution":"resolved","ticket_id":7}'), (0, 1, "close_ticket", '{"resolution":"duplicate","ticket_id":8}'), (1, 0, "suspend_account", '{"account_id":2,"reason":"abuse"}')], "task long, step long, tool string, args string")
+    swapped = {(r["task"], r["step"]): r["args"] for r in replay.corrupt(pair).where("fault = 'swapped_args'").collect()}
+    assert swapped == {(0, 0): '{"resolution":"resolved","ticket_id":8}', (0, 1): '{"resolution":"duplicate","ticket_id":7}', (1, 0): '{"account_id":"abuse","reason":2}'}
+    other = replay.replay(calls.where("NOT (task = 9 AND step = 1)"), state)
+    assert [tuple(r) for r in replay.differences(done, other).collect()] == [(9, "ticket", ["7"])]
+
+
+CALLS = [{"tool": "assign_ticket", "args": {"ticket_id": 3, "agent": "eli"}}, {"tool": "close_ticket", "args": {"ticket_id": 3, "resolution": "resolved"}}]
+
+
+def test_call_lists(spark: SparkSession) -> None:
+    as_text, want = json.dumps(CALLS), json.dumps(CALLS, sort_keys=True, separators=(",", ":"))
+    outputs = [
+        (f"Sure!\n```json\n{json.dumps(CALLS, indent=2)}\n```\nDone.", want), (f"```\n{as_text}\n```", want), (f"<think>maybe [1, 2] first</think>\n```json\n{as_text}\n```", want),
+        (f"so </think>```json\n{as_text}", want), (f"```json\n[]\n```\nActually:\n```json\n{as_text}\n```", want), (f"The calls are {as_text} as requested.", want), (as_text, want),
+        ("```json\n[]\n```", "[]"), ("[]", "[]"), ("Nothing to do [] really", None), ("", None), (None, None), ("I cannot.", None), ("```json\n[1, 2]\n```", None), ("<think>open ```json\n[]\n```", None),
+        ('```json\n{"tool": "a", "args": {}}\n```', '[{"args":{},"tool":"a"}]'), ('```json\n[{"tool": "a", "x": 2}]\n```', '[{"tool":"a","x":2}]'),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(outputs)], "i int, t string")
+    assert [r[0] for r in df.select("i", replay.extracted_calls(F.col("t")).alias("c")).orderBy("i").select("c").collect()] == [w for _, w in outputs]
 
 
 def brute_limit(times: list[tuple[int, int]], limit: int, width: int, daily: int | None) -> dict[int, bool]:
@@ -177,18 +201,51 @@ def test_first_trips_and_calibration(spark: SparkSession) -> None:
             hit = [t + 1 for t in range(len(flags)) if t + 1 >= least and flags[max(0, t + 1 - w) : t + 1].sum() * w >= j * min(t + 1, w)]
             want.append(hit[0] if hit else 0)
         assert simulate.first_trips(flags, w, least).tolist() == want
-    flags = (rng.random(500) < 0.2).astype(np.int8)
-    found = simulate.calibrate(spark, flags, 10, 1.0, n_streams=40, length=500)
-    assert found == simulate.calibrate(spark, flags, 10, 1.0, n_streams=40, length=500) and found["rate"] <= 1.0 < 1000
-    assert found["tau_num"] >= simulate.calibrate(spark, flags, 10, 50.0, n_streams=40, length=500)["tau_num"]
+    rows = lambda flags: spark.createDataFrame([(i, bool(f)) for i, f in enumerate(flags)], "place long, deferred boolean")
+    flags = rows(rng.random(500) < 0.2)
+    found = simulate.calibrate(flags, 10, 1.0, n_streams=40, length=500)
+    assert found == simulate.calibrate(flags, 10, 1.0, n_streams=40, length=500) and found["rate"] <= 1.0 < 1000
+    assert found["tau_num"] >= simulate.calibrate(flags, 10, 50.0, n_streams=40, length=500)["tau_num"]
     with pytest.raises(ValueError, match="no share"):
-        simulate.calibrate(spark, np.ones(50, np.int8), 10, 0.5, n_streams=5, length=200)
+        simulate.calibrate(rows(np.ones(50)), 10, 0.5, n_streams=5, length=200)
+    drawn = simulate.blocks(spark, 7, 3, 45, 20, 1, 0).collect()
+    assert len({(r["stream"], r["step"]) for r in drawn}) == 135 and all(0 <= r["place"] < 7 for r in drawn)
+    at = {(r["stream"], r["step"]): r["place"] for r in drawn}
+    assert all(at[s, k + 1] == (at[s, k] + 1) % 7 for s, k in at if (k + 1) % 20 and (s, k + 1) in at)
 
 
 def test_burst(spark: SparkSession) -> None:
-    good, bad = np.array([[0, 1]], np.int8), np.array([[1, 0]], np.int8)
-    report = simulate.burst(spark, good, bad, Limits(window=10, tau_num=1, tau_den=2, least=10), 5, 50, 30)
+    rows = lambda deferred, correct: spark.createDataFrame([(0, deferred, correct)], "place long, deferred boolean, correct boolean")
+    good, bad = rows(False, True), rows(True, False)
+    report = simulate.burst(good, bad, Limits(window=10, tau_num=1, tau_den=2, least=10), 5, 50, 30)
     assert {(r["tripped_at"], r["latency"], r["false_alarm"], r["wrong_before"]) for r in report.collect()} == {(54, 5, False, 0)}
     assert simulate.verdict(report, 5, 0.0).first()["passes"] and not simulate.verdict(report, 4, 0.0).first()["passes"]
-    quiet = simulate.burst(spark, good, good, Limits(), 3, 20, 20)
+    quiet = simulate.burst(good, good, Limits(), 3, 20, 20)
     assert quiet.where("tripped_at IS NULL AND latency IS NULL").count() == 3 and not simulate.verdict(quiet, 5, 1.0).first()["passes"]
+    assert [tuple(r) for r in simulate.sweep({"a": report}).collect()] == [("a", 5, 5, 5, 5, 5, 0)]
+    routed = simulate.routes(spark.createDataFrame([("teacher", 0.9), (None, 0.9), (None, 0.1)], "served_by string, score double"), 0.5)
+    assert [r["route"] for r in routed.collect()] == ["teacher", "student", "teacher"]
+
+
+def test_ranks(spark: SparkSession) -> None:
+    rng = random.Random(8)
+    values = [rng.choice([rng.random(), rng.random() * 1e9, 5.0, -3.0, 1e-300]) for _ in range(3000)] + [None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    down = sorted((v for v in values if v is not None and v == v), reverse=True)
+    wanted = [1, 2, 700, 1500, 2999, 3000, 3001, 0]
+    assert ranks.largest(df, "v", wanted) == [down[k - 1] if 1 <= k <= 3000 else None for k in wanted]
+    rows = spark.createDataFrame([(i * i,) for i in rng.sample(range(5000), 400)], "k long").repartition(5)
+    got = ranks.numbered(rows, "k").orderBy("k").collect()
+    assert [r["place"] for r in got] == list(range(400))
+
+
+def test_signal_columns(spark: SparkSession) -> None:
+    one = spark.range(1)
+    logs = lambda tokens, values: one.select(text.answer_log_probs(F.array(*map(F.lit, tokens)), F.array(*map(F.lit, values)), 99, 7).alias("x")).select("x.*").first()
+    assert tuple(logs([1, 7, 2, 3, 99, 4], [-9.0, -9.0, -1.0, -3.0, -9.0, -9.0])) == (-2.0, -3.0, 2)
+    assert tuple(logs([1, 2], [-1.0, -2.0])) == (-1.5, -2.0, 2) and tuple(logs([99, 2], [-1.0, -2.0])) == (None, None, 0)
+    assert one.select(text.unit(F.array(F.lit(3.0), F.lit(4.0), F.lit(9.0)), 2)).first()[0] == pytest.approx([0.6, 0.8])
+    with pytest.raises(Exception, match="without direction"):
+        one.select(text.unit(F.array(F.lit(0.0)), 2)).collect()
+    assert one.select(text.canonical_json(F.lit('{"b": 1, "a": [1, {"d": 2, "c": null}]}'))).first()[0] == '{"a":[1,{"c":null,"d":2}],"b":1}'
+    assert one.select(text.frames(F.lit(3), F.lit("log"), F.lit("x\ny"))).first()[0] == "id: 3\nevent: log\ndata: x\ndata: y\n\n"
