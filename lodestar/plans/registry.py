@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import analytics, stateful, toolcalls, workloads
+from lodestar.plans import analytics, reports, stateful, toolcalls, workloads
 
 #: Columns whose type differs between the dialects, by query: made long as in Spark (DuckDB widens sums to 128 bits), or the type after a colon.
 WHOLE = {
@@ -48,8 +48,28 @@ WHOLE = {
     "few_shot_round_robin": "depth:INTEGER",
     "cost_by_model": "tokens cents",
     "late_cost_updates": "nano",
+    "leakage_matrix": "exact_question masked_question exact_sql masked_sql same_template",
+    "accuracy_cuts": "correct",
+    "prompt_parity": "same",
+    "window_stats": "deferred audits disagreements",
+    "change_feed": "seq:INTEGER",
+    "counterfactual_costs": "counterfactual",
+    "spend_lines": "units",
+    "finetune_split": "billed ceiling",
+    "reservation_fold": "held spent",
+    "teacher_stats": "p50_ms:DOUBLE p95_ms:DOUBLE",
+    "estimate_totals": "total known",
+    "manifest_rows": "place:INTEGER",
+    "spend_without_kinds": "spend total",
+    "usage_delta": "nano",
+    "cap_checks": "spent remaining",
+    "ledger_summary": "nano",
+    "ledger_differences": "surplus",
+    "duplicate_ledger_rows": "duplicates",
+    "price_estimates": "tokens cost",
+    "stage_tree": "depth:INTEGER",
 }
-MODULES = (analytics, workloads, toolcalls, stateful)
+MODULES = (analytics, workloads, toolcalls, stateful, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
