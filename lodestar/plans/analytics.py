@@ -42,8 +42,8 @@ VIEWS = {
 SPELLED = {
     "MICROS": {"spark": "unix_micros(CAST(\\1 AS TIMESTAMP))", "duckdb": "epoch_us(\\1)"},
     "SECONDS": {"spark": "unix_seconds(CAST(\\1 AS TIMESTAMP))", "duckdb": "CAST(floor(epoch(\\1)) AS BIGINT)"},
-    "UNSIGNED16": {"spark": "substring(\\1, 1, 16)", "duckdb": "substring(\\1, 1, 16)"},
     "DIGITS": {"spark": "regexp_replace(\\1, '[0-9]+', '?')", "duckdb": "regexp_replace(\\1, '[0-9]+', '?', 'g')"},
+    "HEX15": {"spark": "CAST(conv(\\1, 16, 10) AS DECIMAL(38, 0))", "duckdb": "CAST(concat('0x', \\1) AS HUGEINT)"},
     "SHA": {"spark": "sha2(\\1, 256)", "duckdb": "sha256(\\1)"},
     "FIELD_K": {"spark": "CAST(get_json_object(\\1, '$.k') AS BIGINT)", "duckdb": "CAST(json_extract_string(\\1, '$.k') AS BIGINT)"},
     "DOT": {"spark": "aggregate(zip_with(\\1, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (a, b) -> a + b)", "duckdb": "list_dot_product(CAST(list_extract([\\1], 1) AS DOUBLE[]), CAST(list_extract([\\1], 2) AS DOUBLE[]))"},

@@ -64,7 +64,6 @@ r("latency_quantile_bounds", f"SELECT route, min(CASE WHEN 2 * upto >= m THEN bu
 r("telemetry_status_classes", f"SELECT route, status_class, count(*) AS n, round(avg(latency_ms), 4) AS mean_ms FROM (SELECT route, latency_ms, CASE WHEN ok THEN 2 WHEN request_id % 2 = 0 THEN 4 ELSE 5 END AS status_class FROM {CALLS} c) s GROUP BY route, status_class")
 r("health_checks", "SELECT user_id, CASE WHEN beat_age > 20 * 86400 THEN 'dead' WHEN progress_age > 20 * 86400 THEN 'stalled' WHEN memory > 60 THEN 'memory' WHEN beat_age > 5 * 86400 THEN 'slow' ELSE 'ok' END AS health FROM (SELECT user_id, 1706486400 - SECONDS(max(ts)) AS beat_age, 1706486400 - SECONDS(max(CASE WHEN event_type = 'purchase' THEN ts END)) AS progress_age, max(value) AS memory FROM {events} GROUP BY user_id) u")
 r("window_stats", "SELECT user_id, event_id, n, deferred, audits, disagreements, n >= 10 AS armed FROM (SELECT user_id, event_id, count(*) OVER w AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS deferred, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS audits, sum(CASE WHEN event_type = 'purchase' AND value > 12 THEN 1 ELSE 0 END) OVER w AS disagreements, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) s WHERE back = 1")
-r("audit_sample_rate", "SELECT event_id FROM {events} WHERE UNSIGNED16(SHA(concat('drift-audit:', CAST(event_id AS STRING)))) < :cut", cut="1999999999999999")
 r("slot_refusals", "SELECT user_id, us, open > 3 AS refused FROM (SELECT user_id, us, d, sum(d) OVER (PARTITION BY user_id ORDER BY us, d ROWS UNBOUNDED PRECEDING) AS open FROM (SELECT user_id, MICROS(ts) AS us, 1 AS d FROM {events} UNION ALL SELECT user_id, MICROS(ts) + CAST(floor(value) AS BIGINT) * 3600000000, -1 FROM {events}) e) s WHERE d = 1")
 r("change_feed", "SELECT user_id, seq, kind, event_id FROM (SELECT user_id, event_id, kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id, kind) AS seq FROM (SELECT user_id, event_id, event_type AS kind FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM {events}) s WHERE prev IS NULL OR prev <> event_type UNION ALL SELECT user_id, max(event_id), 'z_done' FROM {events} GROUP BY user_id) e) f WHERE seq > :after", after=2)
 r("throughput_rates", "SELECT user_id % 8 AS level, count(*) AS n, round(count(*) / 28.0, 6) AS per_day, round(sum(value) / 28.0, 4) AS tokens_per_day FROM {events} GROUP BY user_id % 8")

@@ -39,7 +39,8 @@ w("fit_union_first_wins", "SELECT h, source_kind FROM (SELECT h, source_kind, ro
 w("few_shot_round_robin", "SELECT doc_id, depth FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY SHA(CAST(doc_id AS STRING))) AS depth FROM {documents}) r WHERE depth <= 3")
 w("yield_by_family", "SELECT d.source, count(*) AS generated, count(l.quality) AS verified, round(count(l.quality) / CAST(count(*) AS DOUBLE), 6) AS yield FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id AND l.quality = 1 GROUP BY d.source")
 w("chat_last_assistant", "SELECT conv_id, turn, text FROM (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text) AS rn FROM {conversations} WHERE role = 'assistant') r WHERE rn = 1")
-w("seal_digest", "SELECT source, count(*) AS n, SHA(CAST(sum(doc_id) AS STRING)) AS seal FROM {documents} GROUP BY source")
+# A seal of the content whatever the order of rows: the count and the sum of 60 bits of each row's digest.
+w("seal_digest", "SELECT source, n, SHA(mark) AS seal FROM (SELECT source, count(*) AS n, concat(CAST(count(*) AS STRING), '|', CAST(sum(HEX15(substring(h, 1, 15))) AS STRING)) AS mark FROM (SELECT source, SHA(concat(CAST(doc_id AS STRING), '|', coalesce(text, ''))) AS h FROM {documents}) d GROUP BY source) m")
 w("paraphrase_clean_counts", f"WITH p AS (SELECT conv_id, turn, {NORMAL} AS t FROM {{conversations}}), o AS (SELECT p.*, row_number() OVER (PARTITION BY conv_id, t ORDER BY turn) AS rn FROM p) SELECT count_if(t = '') AS empty, count_if(t <> '' AND rn > 1) AS duplicate, count_if(t <> '' AND rn = 1) AS kept FROM o")
 w("overlap_counts", f"WITH b AS (SELECT DISTINCT SHA({NORMAL}) AS h FROM {{benchmark}}), d AS (SELECT SHA({NORMAL}) AS h FROM {{documents}}) SELECT count(*) AS n, count(b.h) AS shared FROM d LEFT JOIN b ON b.h = d.h")
 w("router_split", """SELECT doc_id, CASE WHEN l.label IS NOT NULL THEN 'labelled' WHEN rn > 1 THEN 'duplicate' WHEN half % 2 = 0 THEN 'cal' ELSE 'test' END AS part
@@ -72,7 +73,8 @@ w("decision_reasons", "SELECT event_id, CASE WHEN 0.5 + a + b >= :t THEN 'served
 w("blend_costs", "SELECT event_type, n, teacher, student, CASE WHEN teacher > student THEN CAST(ceil(1000000.0 / (teacher - student)) AS BIGINT) END AS break_even FROM (SELECT event_type, count(*) AS n, CAST(300 AS BIGINT) AS teacher, CAST(floor(avg(value)) AS BIGINT) + 20 AS student FROM {events} GROUP BY event_type) s")
 # monitoring
 w("deferral_windows", "SELECT user_id, event_id, defers, n FROM (SELECT user_id, event_id, sum(d) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS defers, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n FROM (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS d FROM {events}) e) s WHERE defers * 10 >= n * 4")
-w("audit_sample", "SELECT event_id FROM {events} WHERE substring(SHA(concat('drift-audit:', CAST(event_id AS STRING))), 1, 2) < :cut", cut="1a")
+# The first 8 bytes of the digest as a share of 2^64, under 0.1; compared as hex.
+w("audit_sample", "SELECT event_id FROM {events} WHERE substring(SHA(concat('drift-audit:', CAST(event_id AS STRING))), 1, 16) < :cut", cut="1999999999999999")
 w("latest_per_stage", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) r WHERE rn = 1")
 w("status_changes", "SELECT user_id, event_id, prev, event_type FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM {events}) s WHERE prev IS NULL OR prev <> event_type")
 w("latency_histogram", f"SELECT bucket, sum(n) OVER (ORDER BY bucket) AS cumulative FROM (SELECT CASE WHEN latency_ms <= 50 THEN 50 WHEN latency_ms <= 100 THEN 100 WHEN latency_ms <= 250 THEN 250 WHEN latency_ms <= 500 THEN 500 ELSE 1000000 END AS bucket, count(*) AS n FROM {CALLS} c GROUP BY bucket) b")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +114,101 @@ def read_addressed(spark: SparkSession, path: str) -> DataFrame:
     if digest(df) != path.rstrip("/").rsplit("/", 1)[1]:
         raise ValueError(f"{path} isn't what its name says")
     return df
+
+
+def canonical(value: object) -> str:
+    """JSON with sorted keys and no spaces."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def stage_key(stage: str, inputs: dict, upstream: list[str]) -> str:
+    """The name of a stage's output: a digest of the stage, its inputs and the digests of what it builds on."""
+    return hashlib.sha256(canonical({"inputs": inputs, "stage": stage, "upstream": upstream}).encode()).hexdigest()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a finished table is at path, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def memoised(spark: SparkSession, folder: str, stage: str, inputs: dict, upstream: list[str], build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """(output, whether it was there already): a stage is built once for each key. A build that didn't end leaves no _SUCCESS and is built again."""
+    path = f"{folder.rstrip('/')}/{stage_key(stage, inputs, upstream)}"
+    if there := exists(spark, path):
+        return spark.read.parquet(path), there
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), there
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Add rows to a log; each is stamped with the time of the job, so that logs of one table are told apart."""
+    rows.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def references(spark: SparkSession, path: str) -> DataFrame:
+    """(question, sql) of JSON lines {"question", "sql"}; a question that occurs twice, by its normal form, is an error."""
+    rows = json_lines(spark, path, "question string, sql string").select(normal_question(F.col("question")).alias("question"), "sql")
+    once = rows.groupBy("question").agg(F.min("sql").alias("sql"), F.count("*").alias("n"))
+    return once.select("question", F.when(F.col("n") == 1, F.col("sql")).otherwise(F.raise_error(F.concat(F.lit("question occurs twice: "), "question")).cast("string")).alias("sql"))
+
+
+def any_questions(spark: SparkSession, path: str) -> DataFrame:
+    """(question) of a file of questions in any of its forms: JSON with `items`, `kept_meta` or `questions`, a JSON list of texts or objects, JSON lines, or plain lines."""
+    whole = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("t"))
+    held = F.from_json("t", "items array<string>, kept_meta array<string>, questions array<string>")
+    listed = F.when(F.col("t").startswith("["), F.from_json("t", "array<string>")).otherwise(F.coalesce(held["items"], held["kept_meta"], held["questions"]))
+    first, has_list = whole.select(F.substring("t", 1, 1), listed.isNotNull()).first() or ("", False)
+    if not has_list:  # lines, plain or of JSON
+        return (json_lines(spark, path, "question string") if first == "{" else questions(spark, path)).select("question")
+    each = whole.select(F.explode(listed).alias("q"))
+    return each.select(normal_question(F.coalesce(F.get_json_object("q", "$.question"), F.col("q"))).alias("question"))
+
+
+def natural_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(question, sql, family) of one JSON object with parallel lists `questions`, `sqls` and `families`; lists of other lengths are an error."""
+    parsed = F.from_json("value", "questions array<string>, sqls array<string>, families array<string>", {"mode": "FAILFAST"})
+    row = spark.read.text(path, wholetext=True).select(parsed.alias("p")).select("p.*")
+    sizes = F.size("questions")
+    good = (sizes == F.size("sqls")) & (sizes == F.size("families"))
+    zipped = F.when(good, F.arrays_zip("questions", "sqls", "families")).otherwise(F.raise_error(F.lit("lists of different lengths")).cast("array<struct<questions:string,sqls:string,families:string>>"))
+    return row.select(F.explode(zipped).alias("r")).select(F.col("r.questions").alias("question"), F.col("r.sqls").alias("sql"), F.col("r.families").alias("family"))
+
+
+SIGNALS = "lodestar-signals/1"
+
+
+def write_signals(rows: DataFrame, path: str) -> str:
+    """Write signals under a header with the format and the digest of the rows; returns the digest."""
+    mark = digest(rows)
+    rows.write.mode("errorifexists").parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(SIGNALS, mark)], "format string, digest string").coalesce(1).write.mode("errorifexists").json(f"{path}/header")
+    return mark
+
+
+def read_signals(spark: SparkSession, path: str) -> DataFrame:
+    """What write_signals wrote; another format or other rows than the header says are an error."""
+    head = spark.read.schema("format string, digest string").json(f"{path}/header").first()
+    rows = spark.read.parquet(f"{path}/rows")
+    if head is None or head["format"] != SIGNALS:
+        raise ValueError(f"{path} isn't a file of signals")
+    if head["digest"] != digest(rows):
+        raise ValueError(f"{path} isn't what its header says")
+    return rows
+
+
+def confirmed(drafts: DataFrame, log: DataFrame) -> DataFrame:
+    """Drafts (task_id, question, sql) whose last decision confirms them, with the SQL that it gave, if any."""
+    last = last_decisions(log).where("decision = 'confirmed'").select("task_id", F.col("sql").alias("_sql"))
+    return drafts.join(last, "task_id").withColumn("sql", F.coalesce("_sql", "sql")).drop("_sql")
+
+
+def embedding_key(model: str, dims: int, texts: DataFrame) -> str:
+    """The name of an index of embedded texts: model, dimensions and the distinct texts, whatever their order."""
+    return hashlib.sha256(canonical([model, dims, digest(texts.select("text").distinct())]).encode()).hexdigest()
+
+
+def bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The parts of a replay bundle: report, run and tree as whole JSON texts, events as JSON lines by id."""
+    parts = {name: spark.read.text(f"{folder}/{name}.json", wholetext=True).select(F.try_parse_json("value").alias(name)) for name in ("report", "run", "tree")}
+    return parts | {"events": json_lines(spark, f"{folder}/events.jsonl", "id long, event string, data string").orderBy("id")}

@@ -69,6 +69,46 @@ def test_sinks(spark: SparkSession, tmp_path: Path) -> None:
         files.read_addressed(spark, path)
 
 
+def test_stages_logs_and_forms(spark: SparkSession, tmp_path: Path) -> None:
+    made = []
+    build = lambda: made.append(1) or spark.range(3)
+    one = files.memoised(spark, str(tmp_path / "stages"), "split", {"seed": 1}, ["a"], build)
+    again = files.memoised(spark, str(tmp_path / "stages"), "split", {"seed": 1}, ["a"], build)
+    other = files.memoised(spark, str(tmp_path / "stages"), "split", {"seed": 1}, ["b"], build)
+    assert (one[1], again[1], other[1], len(made), again[0].count()) == (False, True, False, 2, 3)
+    for _ in range(2):
+        files.append_log(spark.range(2), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    (tmp_path / "r.jsonl").write_text('{"question": "How  many?", "sql": "SELECT 1"}\n{"question": "Why?", "sql": "SELECT 2"}\n')
+    assert {tuple(r) for r in files.references(spark, str(tmp_path / "r.jsonl")).collect()} == {("How many?", "SELECT 1"), ("Why?", "SELECT 2")}
+    (tmp_path / "r2.jsonl").write_text('{"question": "How  many?", "sql": "SELECT 1"}\n{"question": "How many?", "sql": "SELECT 2"}\n')
+    with pytest.raises(Exception, match="occurs twice"):
+        files.references(spark, str(tmp_path / "r2.jsonl")).collect()
+    for k, text_ in enumerate(['{"items": [{"question": "a  b"}, {"question": "c"}]}', '{"questions": ["a b", "c"]}', '["a b", "c"]', '[{"question": "a b"}, {"question": "c"}]', '{"question": "a b"}\n{"question": "c"}', "# note\na  b\nc\n"]):
+        (tmp_path / f"q{k}").write_text(text_)
+        assert sorted(r["question"] for r in files.any_questions(spark, str(tmp_path / f"q{k}")).collect()) == ["a b", "c"], text_
+    (tmp_path / "n.json").write_text(json.dumps({"questions": ["a", "b"], "sqls": ["1", "2"], "families": ["x", "y"]}))
+    assert {tuple(r) for r in files.natural_rows(spark, str(tmp_path / "n.json")).collect()} == {("a", "1", "x"), ("b", "2", "y")}
+    (tmp_path / "n2.json").write_text(json.dumps({"questions": ["a", "b"], "sqls": ["1"], "families": ["x", "y"]}))
+    with pytest.raises(Exception, match="different lengths"):
+        files.natural_rows(spark, str(tmp_path / "n2.json")).collect()
+    rows = spark.createDataFrame([(1, 0.5), (2, None)], "task_id int, score double")
+    files.write_signals(rows, str(tmp_path / "signals"))
+    assert files.read_signals(spark, str(tmp_path / "signals")).count() == 2
+    rows.limit(1).write.mode("overwrite").parquet(str(tmp_path / "signals" / "rows"))
+    with pytest.raises(ValueError, match="header says"):
+        files.read_signals(spark, str(tmp_path / "signals"))
+    drafts = spark.createDataFrame([("a", "q", "s"), ("b", "q", "s")], "task_id string, question string, sql string")
+    log = spark.createDataFrame([(1, "a", "confirmed", "t"), (2, "b", "confirmed", None), (3, "b", "rejected", None)], "seq long, task_id string, decision string, sql string")
+    assert [tuple(r) for r in files.confirmed(drafts, log).collect()] == [("a", "q", "t")]
+    texts = spark.createDataFrame([("a",), ("b",), ("a",)], "text string")
+    assert files.embedding_key("m", 8, texts) == files.embedding_key("m", 8, texts.orderBy("text").distinct()) != files.embedding_key("m", 9, texts)
+    for name in ("report", "run", "tree"):
+        (tmp_path / f"{name}.json").write_text('{"a": 1}')
+    (tmp_path / "events.jsonl").write_text('{"id": 2, "event": "log", "data": "y"}\n{"id": 1, "event": "log", "data": "x"}\n')
+    assert [r["id"] for r in files.bundle(spark, str(tmp_path))["events"].collect()] == [1, 2]
+
+
 EXTRACTED = [
     ("```sql\nSELECT 1;\n```", "SELECT 1"),
     ("<think>```sql\nSELECT 0\n```</think>Here:\n```\n-- c\nWITH a AS (SELECT 1) SELECT * FROM a\n```\ntext", "WITH a AS (SELECT 1) SELECT * FROM a"),
