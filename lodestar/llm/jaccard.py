@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.shared import bitmap, components, fresh, in_bitmap, materialize
+from lodestar.llm.shared import bitmap, components, discard, fresh, in_bitmap, materialize
 from lodestar.llm.words import grams, word_hashes
 
 WIDTH, PERCENT = 4, 85
@@ -320,7 +320,9 @@ def verified(docs: DataFrame, keys: DataFrame, pairs: DataFrame, width: int, per
     ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     sets = materialize(token_sets(docs, keys, ids, width), "sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    return materialize(left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").where(linked("x", "y")).select("a", "b"), "links")
+    links = materialize(left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").where(linked("x", "y")).select("a", "b"), "links")
+    discard(sets)
+    return links
 
 
 def link_components(docs: DataFrame, found: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -338,12 +340,15 @@ def link_components(docs: DataFrame, found: DataFrame, width: int = WIDTH, perce
     pivots = materialize(members.join(groups.withColumnRenamed("pivot", "id"), ["sig", "id"]), "pivots")
     stars = members.alias("x").join(pivots.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") != F.col("y.id"))).where(fitting("x", "y", percent))
     stars = materialize(stars.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct(), "stars")
+    discard(pivots, groups)
     links = verified(docs, keys, stars, width, percent)
     roots = components(links)
     placed = materialize(members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
+    discard(members)
     apart = placed.groupBy("sig").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n")).where("_low <> _high AND _n > 2")
     apart = materialize(apart.select("sig", (F.col("_n") > HOT).alias("hot")), "apart")
     open_ = materialize(placed.join(apart, "sig"), "open")
+    discard(placed, apart)
     # Of two members of a large group at least one is long here; two short ones meet by parts.
     x, y = open_.alias("x"), open_.alias("y")
     pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (~F.col("x.hot") | (F.greatest("x.n", "y.n") > SHORT)) & fitting("x", "y", percent))
@@ -353,6 +358,7 @@ def link_components(docs: DataFrame, found: DataFrame, width: int = WIDTH, perce
     # Pairs that were verified lie apart in either order.
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    discard(open_)
     return roots if pairs.isEmpty() else components(links.unionByName(verified(docs, keys, pairs, width, percent)))
 
 
