@@ -96,7 +96,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[
 
 
 #: Members of a signature that are compared pair by pair; in larger groups, sets of up to SHORT tokens are dealt by parts.
-HOT, SHORT = 64, 256
+HOT, SHORT = 4096, 256
 
 
 def bands(n: int, percent: int) -> list[int]:
