@@ -117,7 +117,8 @@ def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each kind of fault, how many wrong answers the comparison of states tells from the right one, and how many leave the state as it was."""
     calls, state = task_calls(spark, sf_dir).where("step >= 0").persist(), entities(spark, sf_dir)
-    wrong = replay.corrupt(calls).withColumn("asked", F.xxhash64("fault", "task"))
+    state = state.persist()
+    wrong = replay.corrupt(calls).withColumn("asked", F.xxhash64("fault", "task")).persist()
     gold = replay.replay(calls, state).select(F.col("task").alias("gold"), F.struct("ok", "changed").alias("want"))
     got = replay.replay(wrong.select(F.col("asked").alias("task"), "step", "tool", "args"), state)
     names = wrong.select("fault", F.col("task").alias("gold"), F.col("asked").alias("task")).distinct()
