@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, jaccard, lines, packing, pii, quality, secrets, suffixes, warc, winnow
+from lodestar.llm import centroids, chat, jaccard, lines, packing, pii, quality, runs, secrets, sitestyle, suffixes, warc, winnow
 from lodestar.llm.shared import new_path
 
 #: In production the key comes from the cluster's secret store; this one makes the query repeatable.
@@ -86,8 +86,48 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitestyle.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """docs in which the words of every tenth text, by the hash of its id, repeat from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    with_tail = """transform(_words, (w, i) -> if(i < _a, w, element_at(_words, cast(_a + pmod(i - _a, _p) + 1 AS int))))"""
+    ready = docs.withColumn("_h", h).withColumn("_words", F.when(F.col("_h") % 10 == 0, words)).withColumns({"_n": F.size("_words"), "_g": F.expr("_h div 10")})
+    ready = ready.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    ready = ready.withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    changed = F.when(F.col("_n") > 0, F.array_join(F.expr(with_tail), " ")).otherwise(F.col("text"))
+    return ready.select("doc_id", changed.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(periodic_tails(table(spark, sf_dir, "documents")))
+    best = F.expr("reduce(runs, runs[0], (a, r) -> if(r.length * a.period > a.length * r.period, r, a))")
+    lines = F.array_join(F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))"), "")
+    first = found.select("doc_id", "runs", "collapsed", F.when(F.size("runs") > 0, best).alias("best"))
+    return first.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_warc_archive, op2_quality_rules, op3_pii_pseudonyms, op4_best_fit_packing, op5_chat_tool_links, op6_suffix_dedup, op7_secret_scan, op8_ngram_jaccard, op9_line_dedup, op10_decontamination)
+    ops = (
+        op1_warc_archive, op2_quality_rules, op3_pii_pseudonyms, op4_best_fit_packing, op5_chat_tool_links, op6_suffix_dedup, op7_secret_scan, op8_ngram_jaccard, op9_line_dedup,
+        op10_decontamination, op11_html_extraction, op12_centroid_clustering, op13_periodic_runs,
+    )
     return {f.__name__: f for f in ops}
 
 
@@ -112,5 +152,29 @@ ORACLE = {
 }
 
 
+def _centroid_sql(rounds: int) -> str:
+    """The rounds one after the other; distances and floors are those of whole numbers."""
+    nearest = """SELECT vec_id, rowid, v, unnest(min(struct_pack(d := d, j := j))) FROM (SELECT e.vec_id, e.rowid, e.v, c.j,
+            list_sum(list_transform(list_zip(e.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept e CROSS JOIN {c} c) GROUP BY vec_id, rowid, v"""
+    moved = """SELECT c.j, coalesce(n.c, c.c) AS c FROM {c} c LEFT JOIN (SELECT j, list(s ORDER BY k) AS c FROM
+            (SELECT j, k, ((sum(x)::HUGEINT - (sum(x)::HUGEINT % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS s
+             FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM {a}) GROUP BY j, k) GROUP BY j) n ON n.j = c.j"""
+    steps = [
+        """kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rowid, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS j, v AS c FROM kept ORDER BY 1 LIMIT 16)""",
+    ]
+    for r in range(rounds):
+        steps += [f"a{r} AS MATERIALIZED ({nearest.format(c=f'c{r}')})", f"c{r + 1} AS MATERIALIZED ({moved.format(c=f'c{r}', a=f'a{r}')})"]
+    steps.append(f"done AS MATERIALIZED ({nearest.format(c=f'c{rounds}')})")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, a.j::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM done a JOIN c{rounds} c ON c.j = a.j"""
+
+
+ORACLE["op12_centroid_clustering"] = _centroid_sql(3)
+
+
 def oracle_sql() -> dict[str, str]:
     return ORACLE
