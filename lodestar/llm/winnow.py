@@ -5,14 +5,15 @@ of a benchmark item; an item of fewer words, but not none, is one window of its
 is the minimum hash of its runs of GRAM words (a shorter item's is the hash of all its words), so any shared SPAN words
 share one.
 
-The benchmark's windows are a table (fingerprint, window, items). Texts hand on those of their windows whose fingerprint
+The benchmark's windows are a table (fingerprint, window), and their items another (window, item). Texts hand on those of their windows whose fingerprint
 may be there: a bitmap of fixed size, at any size of the benchmark, keeps most others from being shuffled. The two are
 joined on fingerprint and window, a window being named by 128 bits of its words: that is the extension of a hit to the whole
 window. Spark broadcasts the benchmark's side only where it is small, and splits a very common passage otherwise. Hits are
-gathered by the digest of the text, so copies cost little, and joined back; texts without hits are not shuffled.
+gathered by the digest of the text, so copies cost little, and joined back; texts without hits are not shuffled. Items are joined to the
+distinct windows of each text last.
 
-Defined cases: a null or empty text or item has no words and hits nothing; equal item_ids count once; a null item_id
-is ignored; repeated documents are judged each by itself; other columns are kept, whatever their names, but for the one
+Defined cases: a null or empty text or item has no words and hits nothing; equal item_ids count once; the windows of an item
+with a null item_id hit like others, but the item is neither counted nor listed; repeated documents are judged each by itself; other columns are kept, whatever their names, but for the one
 that the result is asked to be put in.
 """
 
@@ -80,24 +81,24 @@ def _rows(df: DataFrame, schema: pa.Schema, each) -> DataFrame:  # noqa: ANN001
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(fp, window, n, items) of every distinct window of the benchmark(item_id, text)."""
+    """(fp, window, n, item) of every window of the benchmark(item_id, text), repeated ones once; a written table."""
     schema = pa.schema([("fp", pa.int64()), ("window", pa.binary()), ("n", pa.int32()), ("item", pa.string())])
 
-    def windows(item: str, data: bytes) -> Iterator[tuple]:
+    def windows(item: str | None, data: bytes) -> Iterator[tuple]:
         data = data.translate(FOLD)
         words = data.split()
         n = min(len(words), SPAN)
         marks = fingerprints(word_hashes(data), n).view(np.int64).tolist() if n else []
         return ((fp, _window(words[i : i + n]), n, item) for i, fp in enumerate(marks))
 
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string"), F.encode("text", "UTF-8"))
-    found = _rows(items, schema, windows).groupBy("fp", "window", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return materialize(found, "benchmark")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string"), F.encode("text", "UTF-8"))
+    return materialize(_rows(items, schema, windows).distinct(), "benchmark")
 
 
 def hits_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(text_id, spans, items) of every distinct text that holds a window: hit spans of words (merged), and the items, sorted."""
-    windows = benchmark_windows(benchmark)
+    owned = benchmark_windows(benchmark)
+    windows = materialize(owned.select("fp", "window", "n").distinct(), "windows")
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # of 1 to SPAN
     marks = docs.sparkSession.sparkContext.broadcast(bitmap(windows, "fp"))
     schema = pa.schema([("fp", pa.int64()), ("window", pa.binary()), ("n", pa.int32()), ("text_id", pa.binary()), ("start", pa.int32())])
@@ -113,9 +114,13 @@ def hits_by_text(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield int(mine[i].view(np.int64)), _window(words[i : i + n]), n, mine_id, i
 
     texts = docs.where(F.length("text").isNotNull()).select(F.encode("text", "UTF-8"))
-    found = materialize(_rows(texts, schema, candidates), "candidates").join(windows, ["fp", "window", "n"])
+    found = materialize(materialize(_rows(texts, schema, candidates), "candidates").join(windows, ["fp", "window", "n"]), "found")
     span = F.struct(F.col("start"), (F.col("start") + F.col("n")).alias("end"))
-    per_text = found.groupBy("text_id").agg(F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    per_text = found.groupBy("text_id").agg(F.collect_set(span).alias("spans"))
+    named = owned.where("item IS NOT NULL").select("window", "item").distinct()
+    of_text = found.select("text_id", "window").distinct().join(named, "window").select("text_id", "item").distinct()
+    lists = of_text.groupBy(F.col("text_id").alias("_text")).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    per_text = per_text.join(lists, F.col("text_id") == F.col("_text"), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
 
     @F.arrow_udf(SPANS)
     def merge(cells: pa.Array) -> pa.Array:

@@ -39,8 +39,8 @@ def shingle_set(text: str | None, width: int = 4) -> frozenset:
     return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def jaccard_components(docs: list[tuple[int, str | None]], percent: int = 85) -> list[tuple[int, int, int]]:
-    sets = [shingle_set(t) for _, t in docs]
+def jaccard_components(docs: list[tuple[int, str | None]], percent: int = 85, width: int = 4) -> list[tuple[int, int, int]]:
+    sets = [shingle_set(t, width) for _, t in docs]
     parent = list(range(len(docs)))
 
     def find(i: int) -> int:
@@ -94,7 +94,7 @@ def dedup_lines(docs: list[tuple[int, str | None]], min_words: int) -> list[str
     return [t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, (_, t) in enumerate(docs)]
 
 
-def decontaminate(text: str | None, items: list[tuple[str, str | None]]) -> tuple[int, int, list[str]]:
+def decontaminate(text: str | None, items: list[tuple[str | None, str | None]]) -> tuple[int, int, list[str]]:
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = word.findall(lower(text or ""))
     places = defaultdict(list)
@@ -111,5 +111,5 @@ def decontaminate(text: str | None, items: list[tuple[str, str | None]]) -> tupl
     for w, owners in windows.items():
         for i in places.get(w, ()):
             hit.update(range(i, i + len(w)))
-            found |= owners
+            found |= owners - {None}
     return len(words), len(hit), sorted(found)

@@ -312,7 +312,7 @@ def test_winnow(spark: SparkSession, corpus: list) -> None:
         items.append((k, " ".join(words[a : a + rng.choice([1, 3, 6, 9, 10, 11, 40])]).upper()))
     items += [(61, None), (62, ""), (None, "w"), (3, items[3][1]), (64, "ré! Ré?")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    want = [brute.decontaminate(t, [(str(i), x) for i, x in items if i is not None]) for t in corpus]
+    want = [brute.decontaminate(t, [(None if i is None else str(i), x) for i, x in items]) for t in corpus]
     found = winnow.find_hits(docs_of(spark, corpus), bench)
     got = found.select("doc_id", "hits.n_words", winnow.n_covered(found.hits.spans).alias("n"), "hits.items").orderBy("doc_id").collect()
     assert [(r["n_words"], r["n"], r["items"]) for r in got] == want
@@ -321,6 +321,12 @@ def test_winnow(spark: SparkSession, corpus: list) -> None:
     assert kept.columns == clean.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in enumerate(want) if not w[1]]
 
 
+def test_windows_of_an_item_without_id(spark: SparkSession) -> None:
+    bench = spark.createDataFrame([(None, "alpha beta"), (7, "gamma")], "item_id bigint, text string")
+    row = winnow.find_hits(docs_of(spark, ["alpha beta gamma delta"]), bench).select("hits.*").first()
+    assert (row["n_words"], [tuple(s) for s in row["spans"]], row["items"]) == (4, [(0, 3)], ["7"])
+
+
 def test_repeated_rows_and_null_ids(spark: SparkSession) -> None:
     long = " ".join(f"w{i}" for i in range(200))
     docs = docs_of(spark, [long, long, None, None, "x", long], [4, 4, None, 5, None, 9])

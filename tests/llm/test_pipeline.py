@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import duckdb
@@ -26,7 +27,7 @@ def test_stages(spark: SparkSession) -> None:
     ordered = sorted(text[1].items())
     want = dict(zip([d for d, _ in ordered], brute.dedup_lines(ordered, lines.MIN_WORDS), strict=True))
     assert text[2] == {d: t for d, t in want.items() if t.strip() or t == text[1][d]}
-    assert set(text[3]) == {d for d, _, c in brute.jaccard_components(sorted(text[2].items())) if d == c}
+    assert set(text[3]) == {d for d, _, c in brute.jaccard_components(sorted(text[2].items()), 80, 5) if d == c}
     items = [(str(r["item_id"]), r["text"]) for r in queries.table(spark, SF, "benchmark").collect()]
     assert set(text[4]) == {d for d, t in text[3].items() if not brute.decontaminate(t, items)[1]}
     fill: dict[int, int] = defaultdict(int)
@@ -38,6 +39,23 @@ def test_stages(spark: SparkSession) -> None:
     assert whole == sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows[5])
 
 
+def test_near_duplicate_stage_between_the_limits(spark: SparkSession) -> None:
+    """Pairs that link at five words and 80 % but not at four words and 85 %, and the other way round by neither rule."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+        texts.append(" ".join(words))
+        for at in range(0, rng.randint(0, 5)):
+            words[7 + 19 * at] = f"x{rng.randint(0, 10**6)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    five, four = ({d for d, _, c in brute.jaccard_components(rows, p, w) if d == c} for p, w in ((80, 5), (85, 4)))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == five
+    assert five != four
+
+
 def test_chat_query_matches_sql(spark: SparkSession) -> None:
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
