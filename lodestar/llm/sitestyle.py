@@ -15,8 +15,10 @@ pages of its host have:
 A branch with importance under THRESHOLD whose branches are all under it is noise, and goes from every page that has it. Where
 nothing would be left of a page, only what its markup names as no article goes.
 
-Counts are aggregated before they are shuffled by host, of each distinct block of a host one row is left, and pages get the keys of their
-noise by a join, so a host with a third of all pages is split. Nothing of a host is gathered in one place.
+Counts are aggregated before they are shuffled by host, and of each distinct block of a host one row is left. What the limits alone decide
+on a page is decided where it is read; a branch is open there if neither it nor one below it is kept by them and they don't make it noise. Pages
+get the keys of their open noise by a join, which Spark splits for a host with a third of all pages; a bitmap of fixed size keeps pages
+without any from being shuffled. Nothing of a host is gathered in one place.
 
 Defined cases: null html is empty and gives the empty text; a null url, or one without a host, belongs to the host of empty name;
 markup that isn't closed is read as browsers do; line breaks by <br> are white space; repeated rows have equal results; other
@@ -25,19 +27,20 @@ columns are kept, whatever their names, but for text and n_chars, which are repl
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.markup import Page, read_page
-from lodestar.llm.shared import discard, fresh, materialize, text_id_column
+from lodestar.llm.shared import bitmap, discard, fresh, in_bitmap, mark_of_id, materialize, text_id_column
 
 MIN_PAGES, THRESHOLD, OUTSIDE = 8, 0.5, 0.4
 
-BRANCH = "struct<branch:bigint,above:array<bigint>,most:double,least:double,style:bigint,blocks:array<bigint>>"
+BRANCH = "struct<branch:bigint,above:array<bigint>,most:double,least:double,open:boolean,style:bigint,blocks:array<bigint>>"
 BRANCHES = pa.list_(
-    pa.struct([("branch", pa.int64()), ("above", pa.list_(pa.int64())), ("most", pa.float64()), ("least", pa.float64()), ("style", pa.int64()), ("blocks", pa.list_(pa.int64()))])
+    pa.struct([("branch", pa.int64()), ("above", pa.list_(pa.int64())), ("most", pa.float64()), ("least", pa.float64()), ("open", pa.bool_()), ("style", pa.int64()), ("blocks", pa.list_(pa.int64()))])
 )
 
 
@@ -57,19 +60,22 @@ def _branches(pages: pa.Array) -> pa.Array:
     for cell in pages:
         page = read_page(cell.as_py() or "")
         keys, limits, rows = page.keys(), bounds(page), []
+        kept = {x for i, (_, least) in enumerate(limits) if least == 1 for x in (i, *page.above(i))}
         for i, b in enumerate(page.branches):
             most, least = limits[i]
             blocks = list({_number(t) for t in b.texts})
-            rows.append({"branch": keys[i], "above": [keys[x] for x in page.above(i)], "most": most, "least": least, "style": _number(" ".join(b.children)), "blocks": blocks})
+            rows.append({"branch": keys[i], "above": [keys[x] for x in page.above(i)], "most": most, "least": least, "open": most == 1 and i not in kept, "style": _number(" ".join(b.children)), "blocks": blocks})
         out.append(rows)
     return pa.array(out, BRANCHES)
 
 
 def _main_text(pages: pa.Array, noise: pa.Array) -> pa.Array:
+    """noise: the open branches of each page that are noise."""
     out = []
     for cell, gone in zip(pages, noise, strict=True):
         page, low = read_page(cell.as_py() or ""), set(gone.as_py() or ())
         keys = page.keys()
+        low.update(k for k, (most, _) in zip(keys, bounds(page), strict=True) if most < 1)
         left = [t for b, t in page.blocks if keys[b] not in low and not any(keys[x] in low for x in page.above(b))]
         if not left:
             left = [t for b, t in page.blocks if not page.branches[b].aside]
@@ -114,16 +120,26 @@ def noise(trees: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRES
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
-    """pages(url, html, ...) with text, the article of each page, and n_chars, its code points."""
+    """pages(url, html, ...) with text, the article of each page, and n_chars, its code points. The threshold is above OUTSIDE and at most 1."""
+    if not OUTSIDE < threshold <= 1:
+        raise ValueError(f"a threshold from {OUTSIDE} to 1")
     trees = style_trees(pages)
     low = noise(trees, min_pages, threshold)
-    had = trees.select("host", "key", F.explode("branches.branch").alias("branch"))
+    had = trees.select("host", "key", F.explode("branches").alias("b")).where("b.open").select("host", "key", "b.branch")
     of_page = materialize(had.join(low, ["host", "branch"]).groupBy("host", "key").agg(F.collect_set("branch").alias("low")), "low")
     discard(trees, low)
-    host, key, gone = fresh(pages, "host", "key", "low")
-    keyed = pages.withColumns({host: host_of(F.col("url")), key: text_id_column(F.coalesce("html", F.lit("")))})
+    bits = pages.sparkSession.sparkContext.broadcast(bitmap(of_page.select(mark_of_id("key").alias("mark")), "mark"))
+
+    def has_some(marks: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(bits.value, marks.to_numpy(zero_copy_only=False).view(np.uint64)), pa.bool_())
+
+    host, key, gone, some = fresh(pages, "host", "key", "low", "some")
+    html = F.coalesce("html", F.lit(""))
+    marked = pages.withColumn(some, F.arrow_udf(has_some, "boolean")(F.xxhash64(html)))
+    clean = marked.where(~F.col(some)).withColumn(gone, F.array().cast("array<bigint>"))
+    keyed = marked.where(F.col(some)).withColumns({host: host_of(F.col("url")), key: text_id_column(html)})
     of_page = of_page.select(F.col("host").alias(f"{host}_"), F.col("key").alias(f"{key}_"), F.col("low").alias(gone))
-    joined = keyed.join(of_page, (F.col(host) == F.col(f"{host}_")) & (F.col(key) == F.col(f"{key}_")), "left")
-    extracted = F.arrow_udf(_main_text, "string")
-    done = joined.withColumn("text", extracted(F.col("html"), F.col(gone))).withColumn("n_chars", F.length("text").cast("long"))
-    return done.drop(host, key, gone, f"{host}_", f"{key}_")
+    joined = keyed.join(of_page, (F.col(host) == F.col(f"{host}_")) & (F.col(key) == F.col(f"{key}_")), "left").drop(host, key, f"{host}_", f"{key}_")
+    each = clean.unionByName(joined)
+    done = each.withColumn("text", F.arrow_udf(_main_text, "string")(F.col("html"), F.col(gone))).withColumn("n_chars", F.length("text").cast("long"))
+    return done.drop(gone, some)
