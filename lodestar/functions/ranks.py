@@ -8,6 +8,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.storage import written
+
 STEPS = 4096
 
 
@@ -48,6 +50,35 @@ def largest(df: DataFrame, column: str, ranks: Sequence[int]) -> list[float | No
     return [found.get(k) for k in ranks]
 
 
+def percentiles(df: DataFrame, group: str, column: str, shares: Sequence[float]) -> DataFrame:
+    """(group, p0, p1, ...): the nearest-rank percentiles of each group, the value at place max(1, ceil(share * n)); nulls and NaN left out.
+
+    `largest` for all groups at once: the open intervals are a table with a row for each group and share, and a round counts the rows of each in
+    STEPS parts. No buffer holds a group's values, and no window more than STEPS rows.
+    """
+    values = df.select(F.col(group).alias("_g"), F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)]))
+    ends = values.groupBy("_g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).withColumn("w", wanted)
+    rank = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * F.col("w.share") - 1e-9))
+    open_, closed = written(ends.select("_g", "w.i", "low", "high", rank.alias("rank")), "ranks"), []
+    while True:
+        closed.append(open_.where("low = high").select("_g", "i", F.col("low").alias("v")))
+        open_ = open_.where("low < high")
+        if open_.isEmpty():
+            break
+        o = open_.select(F.col("_g").alias("_h"), "i", "low", "high", "rank")
+        inside = values.join(o, F.col("_g").eqNullSafe(F.col("_h")) & F.col("v").between(F.col("low"), F.col("high")))
+        part = F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * STEPS)  # halves, as a difference may be infinite
+        parts = inside.groupBy("_h", "i", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy("_h", "i").orderBy("part"))
+        held = parts.withColumn("_upto", upto).where((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("n") < F.col("rank")))
+        open_ = written(held.select(F.col("_h").alias("_g"), "i", "low", "high", (F.col("rank") - F.col("_upto") + F.col("n")).alias("rank")), "ranks")
+    found = closed[0]
+    for c in closed[1:]:
+        found = found.unionByName(c)
+    return found.groupBy(F.col("_g").alias(group)).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"p{i}") for i in range(len(shares))])
+
+
 def coverage_grid(df: DataFrame, column: str, levels: Sequence[float]) -> list[float]:
     """Falling thresholds that let the given shares of rows through: for each level the k-th largest value, k = max(1, ceil(level * n)); ties once."""
     n = df.where(F.col(column).isNotNull()).count()

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import date
 from decimal import Decimal
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.operators.sqltext import bare, refused
 
@@ -153,6 +157,90 @@ class Database:
         return [done[s] for s in sqls]
 
 
+#: How a cell that came as text is read back, by the type of its column; others (nested ones) are run alone.
+READ = {
+    T.BooleanType: lambda x: x == "true", T.ByteType: int, T.ShortType: int, T.IntegerType: int, T.LongType: int, T.FloatType: float, T.DoubleType: lambda x: float(x.replace("Infinity", "inf")), T.DecimalType: Decimal,
+    T.StringType: str, T.DateType: date.fromisoformat, T.BinaryType: bytes.fromhex, T.NullType: str,
+}
+
+
+class Batches:
+    """Runs of many texts in chunks: the queries of a chunk are one Spark job, whose rows come as texts and are read back by type.
+
+    At most in_flight chunks run at once, whatever number of callers there are, in a scheduler pool of their own. A chunk that fails or is late is
+    halved until the text that breaks it is alone, and that is run as any other. What the cluster failed is tried again after a pause that doubles.
+    """
+
+    def __init__(self, db: Database, chunk: int = 25, in_flight: int = 40, retries: int = 3, pause_s: float = 0.5, pool: str = "batches") -> None:
+        self.db, self.chunk, self.retries, self.pause_s, self.pool = db, chunk, retries, pause_s, pool
+        self.gate, self.workers = threading.BoundedSemaphore(in_flight), in_flight
+
+    def run(self, sqls: Sequence[str]) -> list[Outcome]:
+        """One outcome for each text, in their order; equal texts run once."""
+        texts = list(dict.fromkeys(sqls))
+        done = {s: no for s in texts if (no := self.db.checked(s)) is not None}
+        ready = [s for s in texts if s not in done]
+        chunks = [ready[i : i + self.chunk] for i in range(0, len(ready), self.chunk)]
+        with ThreadPoolExecutor(max(1, min(self.workers, len(chunks)))) as pool:
+            for found in pool.map(self._some, chunks):
+                done |= found
+        return [done[s] for s in sqls]
+
+    def _some(self, sqls: list[str]) -> dict[str, Outcome]:
+        if len(sqls) == 1:
+            return {sqls[0]: self._alone(sqls[0])}
+        try:
+            return self._job(sqls)
+        except (PySparkException, Py4JJavaError, ValueError):
+            half = len(sqls) // 2
+            return self._some(sqls[:half]) | self._some(sqls[half:])
+
+    def _alone(self, sql: str) -> Outcome:
+        for attempt in range(self.retries + 1):
+            with self.gate:
+                outcome = self.db.run(sql)
+            if outcome.status != "infra" or attempt == self.retries:
+                return outcome
+            time.sleep(self.pause_s * 2**attempt)
+        raise AssertionError
+
+    def _job(self, sqls: list[str]) -> dict[str, Outcome]:
+        """All texts as one job; an error of any is an error of the job."""
+        spark, context = self.db.spark, self.db.spark.sparkContext
+        frames = [spark.sql(bare(s)) for s in sqls]
+        readers = [[READ.get(type(f.dataType)) for f in df.schema] for df in frames]
+        if any(r is None for row in readers for r in row):
+            raise ValueError("a type that isn't read back from text")
+        whole = None
+        for i, df in enumerate(frames):
+            named = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+            cells = F.array(*[(F.hex(c) if isinstance(f.dataType, T.BinaryType) else F.col(c).cast("string")) for c, f in zip(named.columns, df.schema, strict=True)])
+            part = named.limit(self.db.max_rows + 1).select(F.lit(i).alias("i"), cells.alias("cells"))
+            whole = part if whole is None else whole.unionAll(part)
+        tag, done = f"chunk-{uuid.uuid4().hex}", threading.Event()
+
+        def watch() -> None:
+            if not done.wait(self.db.timeout_s):
+                while not done.wait(0.2):
+                    context.cancelJobsWithTag(tag)
+
+        with self.gate:
+            context.setLocalProperty("spark.scheduler.pool", self.pool)
+            context.addJobTag(tag)
+            threading.Thread(target=watch, daemon=True).start()
+            try:
+                rows = whole.collect()
+            finally:
+                done.set()
+                context.removeJobTag(tag)
+                context.setLocalProperty("spark.scheduler.pool", None)
+        held: list[list[tuple]] = [[] for _ in sqls]
+        for i, cells in rows:
+            held[i].append(tuple(None if x is None else read(x) for x, read in zip(cells, readers[i], strict=True)))
+        too_many = Outcome("row_cap", error=f"over {self.db.max_rows} rows")
+        return {s: too_many if len(held[i]) > self.db.max_rows else Outcome("ok", tuple(frames[i].columns), tuple(held[i])) for i, s in enumerate(sqls)}
+
+
 def encoded(outcome: Outcome) -> str:
     """An outcome as JSON; bytes as hex, decimals and dates as texts that say so."""
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import extract_sql
 from lodestar.operators import compare, sqltext
-from lodestar.operators.database import Database
+from lodestar.operators.database import Batches, Database
+from lodestar.storage import written
 
 VERDICTS = "sql string, gold string, correct boolean, reason string, miss string"
 
@@ -20,30 +21,32 @@ VERDICTS = "sql string, gold string, correct boolean, reason string, miss string
 def score(db: Database, answers: DataFrame, tasks: DataFrame, block: int = 1000) -> DataFrame:
     """answers(setup, task_id, output), tasks(task_id, family, gold_sql): (setup, task_id, family, sql, correct, reason, miss).
 
-    Distinct pairs of query and gold query come to the driver a block at a time, as each is a job of its own; verdicts are joined back.
+    Distinct pairs of query and gold query come to the driver a block at a time and run in chunks; verdicts are written and joined back.
     An answer without SQL is wrong with the reason `unparseable`; an answer to an unknown task is left out.
     """
     spark = db.spark
     asked = answers.withColumn("sql", extract_sql(F.col("output"))).join(tasks.select("task_id", "family", F.col("gold_sql").alias("gold")), "task_id")
     pairs = asked.where("sql IS NOT NULL").select("sql", "gold").distinct()
-    found, held = None, []
+    parts, held, batches = [], [], Batches(db)
 
     def judged(rows: list) -> DataFrame:
-        got, gold = db.run_all([r["sql"] for r in rows]), db.run_all([r["gold"] for r in rows])
+        done = batches.run([r["sql"] for r in rows] + [r["gold"] for r in rows])
+        got, gold = done[: len(rows)], done[len(rows) :]
         out = []
         for r, a, b in zip(rows, got, gold, strict=True):
             right, reason = compare.verdict(a, b, sqltext.is_ordered(r["gold"]))
             miss = None if right else compare.classify_miss(a, b) if a.ok and b.ok else a.status if b.ok else "gold_error"
             out.append((r["sql"], r["gold"], right, reason, miss))
-        return spark.createDataFrame(out, VERDICTS)
+        return written(spark.createDataFrame(out, VERDICTS), "verdicts")
 
     for r in pairs.toLocalIterator():
         held.append(r)
         if len(held) == block:
-            part, held = judged(held), []
-            found = part if found is None else found.unionByName(part)
-    part = judged(held)
-    found = part if found is None else found.unionByName(part)
+            parts.append(judged(held))
+            held = []
+    found = judged(held)
+    for part in parts:
+        found = found.unionByName(part)
     scored = asked.join(found, ["sql", "gold"], "left")
     none = F.col("sql").isNull()
     return scored.select(

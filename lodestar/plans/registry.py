@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.plans import analytics, reports, stateful, toolcalls, workloads
+from lodestar.plans import analytics, checks, decisions, generation, reports, stateful, toolcalls, workloads
 
 #: Columns whose type differs between the dialects, by query: made long as in Spark (DuckDB widens sums to 128 bits), or the type after a colon.
 WHOLE = {
@@ -69,7 +69,7 @@ WHOLE = {
     "price_estimates": "tokens cost",
     "stage_tree": "depth:INTEGER",
 }
-MODULES = (analytics, workloads, toolcalls, stateful, reports)
+MODULES = (analytics, workloads, toolcalls, stateful, reports, generation, decisions, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,9 +39,17 @@ r("sealed_set_drops", f"""SELECT b.item_id, CASE WHEN t.h IS NOT NULL THEN 'trai
     FROM (SELECT item_id, SHA({NORMAL}) AS h FROM {{benchmark}}) b
     LEFT JOIN (SELECT DISTINCT SHA({NORMAL}) AS h FROM {{documents}} WHERE doc_id % 10 < 7) t ON t.h = b.h LEFT JOIN (SELECT DISTINCT SHA({NORMAL}) AS h FROM {{documents}} WHERE doc_id % 10 = 7) d ON d.h = b.h
     LEFT JOIN (SELECT DISTINCT SHA({NORMAL}) AS h FROM {{documents}} WHERE doc_id % 10 > 7) g ON g.h = b.h""")
-r("keep_mask_reasons", f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN b.h IS NOT NULL THEN 'heldout' WHEN x.h IS NOT NULL THEN 'dev' WHEN l.doc_id IS NOT NULL THEN 'exclude' ELSE 'keep' END AS reason
-    FROM (SELECT doc_id, SHA({NORMAL}) AS h FROM {{documents}} WHERE doc_id % 10 < 9) d LEFT JOIN (SELECT DISTINCT SHA({NORMAL}) AS h FROM {{benchmark}}) b ON b.h = d.h
-    LEFT JOIN (SELECT DISTINCT SHA({NORMAL}) AS h FROM {{documents}} WHERE doc_id % 10 = 9) x ON x.h = d.h LEFT JOIN (SELECT DISTINCT doc_id FROM {{labels}} WHERE toxic = 1) l ON l.doc_id = d.doc_id) k GROUP BY reason""")
+# Which natural questions may be trained on: the first set, in this order, that holds a question is why it is left out.
+SEALED = {
+    "heldout": "SELECT text FROM {benchmark}", "stress": "SELECT text FROM {documents} WHERE doc_id % 20 = 19", "human": "SELECT text FROM {conversations} WHERE role = 'user'",
+    "dev": "SELECT text FROM {documents} WHERE doc_id % 20 = 9", "exclude_files": "SELECT d.text FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id WHERE l.toxic = 1",
+}
+r("keep_mask_reasons", f"SELECT coalesce(reason, 'keep') AS reason, count(*) AS n FROM (SELECT d.doc_id, CASE min(s.priority) {' '.join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(SEALED))} END AS reason FROM (SELECT doc_id, SHA({NORMAL}) AS h FROM {{documents}} WHERE doc_id % 10 < 9) d LEFT JOIN ("
+  + " UNION ".join(f"SELECT {i} AS priority, SHA({NORMAL}) AS h FROM ({sql}) s{i}" for i, sql in enumerate(SEALED.values())) + ") s ON s.h = d.h GROUP BY d.doc_id) k GROUP BY coalesce(reason, 'keep')")
+# Originals first, then others, sampled by a seeded digest so that there are :cap in all; originals are sampled only if they alone are more.
+r("capped_selection", """WITH k AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 0 ELSE 1 END AS kind FROM {documents} d LEFT JOIN (SELECT DISTINCT doc_id FROM {labels} WHERE quality = 1) l ON l.doc_id = d.doc_id),
+    n AS (SELECT count(*) AS m FROM k WHERE kind = 0) SELECT doc_id, kind FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY kind ORDER BY SHA(concat('11|', CAST(doc_id AS STRING))), doc_id) AS place FROM k) p CROSS JOIN n
+    WHERE place <= :cap AND (kind = 0 OR place <= :cap - m)""", cap=500)
 r("leakage_matrix", """WITH d AS (SELECT doc_id % 2 AS side, SHA(lower(text)) AS exact, SHA(DIGITS(lower(text))) AS masked, SHA(text) AS spelled, SHA(DIGITS(text)) AS spelled_masked, source AS template FROM {documents})
     SELECT count(*) AS n, count_if(exact IN (SELECT exact FROM d WHERE side = 0)) AS exact_question, count_if(masked IN (SELECT masked FROM d WHERE side = 0)) AS masked_question,
     count_if(spelled IN (SELECT spelled FROM d WHERE side = 0)) AS exact_sql, count_if(spelled_masked IN (SELECT spelled_masked FROM d WHERE side = 0)) AS masked_sql, count_if(template IN (SELECT template FROM d WHERE side = 0)) AS same_template FROM d WHERE side = 1""")
@@ -53,7 +61,6 @@ r("misses_by_setup", "SELECT user_id % 4 AS setup, count(CASE WHEN event_type =
 r("first_gold_of_question", "SELECT h, gold FROM (SELECT SHA(text) AS h, turn AS gold, row_number() OVER (PARTITION BY SHA(text) ORDER BY conv_id, turn) AS rn FROM {conversations} WHERE role = 'user') x WHERE rn = 1")
 r("arm_decision", "SELECT lang FROM (SELECT d.lang, sum(CAST(l.quality AS BIGINT)) AS correct, avg(CAST(l.quality AS DOUBLE)) - 1.96 * sqrt(avg(CAST(l.quality AS DOUBLE)) * (1 - avg(CAST(l.quality AS DOUBLE))) / count(*)) AS low FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id GROUP BY d.lang) a WHERE low > :base ORDER BY correct DESC, lang LIMIT 1", base=0.5)
 r("target_families", "SELECT DISTINCT source FROM {documents} WHERE source IN (SELECT source FROM {documents} WHERE doc_id % 3 = 0) AND source NOT IN (SELECT source FROM {documents} WHERE doc_id = 1 AND source IS NOT NULL) AND source IS NOT NULL")
-r("prompt_parity", "SELECT count(*) AS n, count_if(a.text = b.text) AS same FROM {conversations} a JOIN {conversations} b ON b.conv_id = a.conv_id AND b.turn = a.turn AND b.role = a.role WHERE a.turn < 2")
 r("scored_once", "SELECT doc_id, count(*) AS times, CASE WHEN count(*) > 1 THEN 'already scored' WHEN max(CASE WHEN quality IS NULL THEN 1 ELSE 0 END) = 1 THEN 'missing quality' ELSE 'may score' END AS verdict FROM {labels} GROUP BY doc_id")
 r("one_shot_evaluation", "SELECT user_id % 3 AS kind, count(*) AS n, count(CASE WHEN value >= :t THEN 1 END) AS served, count(CASE WHEN value >= :t AND event_type = 'error' THEN 1 END) AS wrong, count(CASE WHEN value < :t AND event_type = 'error' THEN 1 END) AS wrong_deferred, count(CASE WHEN value < :t AND event_type <> 'error' THEN 1 END) AS right_deferred, count(CASE WHEN value < :t OR event_type <> 'error' THEN 1 END) AS system_right FROM {events} GROUP BY user_id % 3", t=10.0)
 # monitoring
@@ -64,7 +71,6 @@ r("latency_quantile_bounds", f"SELECT route, min(CASE WHEN 2 * upto >= m THEN bu
 r("telemetry_status_classes", f"SELECT route, status_class, count(*) AS n, round(avg(latency_ms), 4) AS mean_ms FROM (SELECT route, latency_ms, CASE WHEN ok THEN 2 WHEN request_id % 2 = 0 THEN 4 ELSE 5 END AS status_class FROM {CALLS} c) s GROUP BY route, status_class")
 r("health_checks", "SELECT user_id, CASE WHEN beat_age > 20 * 86400 THEN 'dead' WHEN progress_age > 20 * 86400 THEN 'stalled' WHEN memory > 60 THEN 'memory' WHEN beat_age > 5 * 86400 THEN 'slow' ELSE 'ok' END AS health FROM (SELECT user_id, 1706486400 - SECONDS(max(ts)) AS beat_age, 1706486400 - SECONDS(max(CASE WHEN event_type = 'purchase' THEN ts END)) AS progress_age, max(value) AS memory FROM {events} GROUP BY user_id) u")
 r("window_stats", "SELECT user_id, event_id, n, deferred, audits, disagreements, n >= 10 AS armed FROM (SELECT user_id, event_id, count(*) OVER w AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS deferred, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS audits, sum(CASE WHEN event_type = 'purchase' AND value > 12 THEN 1 ELSE 0 END) OVER w AS disagreements, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) s WHERE back = 1")
-r("slot_refusals", "SELECT user_id, us, open > 3 AS refused FROM (SELECT user_id, us, d, sum(d) OVER (PARTITION BY user_id ORDER BY us, d ROWS UNBOUNDED PRECEDING) AS open FROM (SELECT user_id, MICROS(ts) AS us, 1 AS d FROM {events} UNION ALL SELECT user_id, MICROS(ts) + CAST(floor(value) AS BIGINT) * 3600000000, -1 FROM {events}) e) s WHERE d = 1")
 r("change_feed", "SELECT user_id, seq, kind, event_id FROM (SELECT user_id, event_id, kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id, kind) AS seq FROM (SELECT user_id, event_id, event_type AS kind FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM {events}) s WHERE prev IS NULL OR prev <> event_type UNION ALL SELECT user_id, max(event_id), 'z_done' FROM {events} GROUP BY user_id) e) f WHERE seq > :after", after=2)
 r("throughput_rates", "SELECT user_id % 8 AS level, count(*) AS n, round(count(*) / 28.0, 6) AS per_day, round(sum(value) / 28.0, 4) AS tokens_per_day FROM {events} GROUP BY user_id % 8")
 # ledgers
@@ -112,6 +118,20 @@ def balanced_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.balanced_draws(rows, (64, 16), 7)
 
 
+def prompt_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each training row (the messages of a conversation up to an answer) begins with the prompt that evaluation gives for its question: by
+    conversation and answer, the messages before it in the table and in what is built anew from the questions and answers by turn."""
+    turns = run_sql(spark, sf_dir, "SELECT conv_id, turn, role, text FROM {conversations}")
+    messages = lambda rows: F.transform(F.array_sort(F.collect_list(rows)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    train = turns.groupBy("conv_id").agg(messages(message).alias("train"))
+    clean = F.struct("turn", "role", F.trim(F.regexp_replace("text", " +", " ")).alias("content"))
+    prompts = turns.groupBy("conv_id").agg(messages(clean).alias("all"), F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("last"))
+    evaluation = prompts.withColumn("evaluation", F.when(F.col("last").isNull(), F.col("all")).otherwise(F.slice("all", 1, F.greatest(F.size("all") - 1, F.lit(0)))))
+    both = train.join(evaluation, "conv_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(evaluate.same_prompt(F.col("train"), F.col("evaluation"))).alias("same"))
+
+
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", (F.col("user_id") % 10).cast("double").alias("user_bucket"), (F.col("event_type") != "error").cast("int").alias("correct"))
     scored = routing.out_of_fold(ranks.numbered(rows, "event_id"), ["value", "user_bucket"], "correct", "place")
@@ -121,7 +141,7 @@ def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often gates of several sizes would promote, at the rates that the labels show."""
     n, both, a, b = spark.read.parquet(f"{sf_dir}/labels.parquet").agg(F.count("*"), *[F.count_if((F.col("quality") == q) & (F.col("toxic") == t)) for q, t in ((1, 0), (1, 1), (0, 0))]).first()
-    out = None
+    out, n = None, max(n, 1)
     for size in (50, 100, 300):
         part = evaluate.gate_power(spark, size, (both / n, b / n, a / n), sims=60).select(F.lit(size).alias("n_items"), "promoted", "sims")
         out = part if out is None else out.unionByName(part)
@@ -136,9 +156,10 @@ def seed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simulate.sweep({f"tau {n}/10": simulate.burst(rows, odd, Limits(tau_num=n), 60, 100, 100) for n in (5, 7, 9)})
 
 
-FRAMES = (floor_index_quantile, vectors_unit, balanced_draws, out_of_fold_scores, gate_power, seed_sweep)
+FRAMES = (floor_index_quantile, prompt_parity, vectors_unit, balanced_draws, out_of_fold_scores, gate_power, seed_sweep)
 ORACLE = {
     "floor_index_quantile": "SELECT CAST(share AS DOUBLE) AS share, value FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS place, count(*) OVER () AS n FROM {events} WHERE value IS NOT NULL) v JOIN (SELECT 0.05 AS share UNION ALL SELECT 0.5 UNION ALL SELECT 0.95) s ON place = least(n - 1, CAST(floor(share * n) AS BIGINT))",
+    "prompt_parity": "SELECT count(*) AS n, count_if(ok) AS same FROM (SELECT conv_id, min(CASE WHEN (place = m AND answered) OR text = trim(regexp_replace(text, ' +', ' ', 'g')) THEN 1 ELSE 0 END) = 1 AS ok FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place, count(*) OVER (PARTITION BY conv_id) AS m, max(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) = 1 AS answered FROM {conversations}) t GROUP BY conv_id) c",
     "vectors_unit": "SELECT vec_id, round(CAST(v[1] AS DOUBLE) / sqrt(DOT(v, v)), 4) AS first, round(CAST(v[16] AS DOUBLE) / sqrt(DOT(v, v)), 4) AS last FROM (SELECT vec_id, embedding[1:16] AS v FROM {embeddings}) s WHERE DOT(v, v) > 0",
     "balanced_draws": "SELECT task_id, family, CAST(CASE WHEN place <= 64 THEN 0 ELSE 1 END AS INT) AS draw FROM (SELECT task_id, family, row_number() OVER (ORDER BY turn, SHA(concat('7|', family))) AS place FROM (SELECT CAST(doc_id AS STRING) AS task_id, source AS family, row_number() OVER (PARTITION BY source ORDER BY SHA(concat('7|', source, '|', CAST(doc_id AS STRING))), CAST(doc_id AS STRING)) AS turn FROM {documents} WHERE source IS NOT NULL) t) p WHERE place <= 80",
 }

@@ -13,6 +13,7 @@ from lodestar.functions import text as texts
 from lodestar.operators import replay, routing
 from lodestar.plans import toolcalls
 from lodestar.plans.analytics import oracle, run_sql
+from lodestar.storage import written
 from lodestar.streaming import drift, limits, simulate
 
 
@@ -93,38 +94,42 @@ CALL = "struct<args:string, tool:string>"
 
 def task_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(task, template, step, tool, args) of all templates. task is a hash of template and key; the rows of a bulk template's group are its steps,
-    in order of their text. A task without calls has one row, of step -1 without tool."""
-    out = None
-    for name, sql in toolcalls.T.items():
-        rows = run_sql(spark, sf_dir, sql).withColumns({"template": F.lit(name), "task": F.xxhash64(F.lit(name), "task_key")})
-        if "call" in rows.columns:
-            steps = rows.select("task", "template", (F.row_number().over(Window.partitionBy("task").orderBy("call")) - 1).alias("step"), F.from_json("call", CALL).alias("c"))
-        else:
-            steps = rows.select("task", "template", F.posexplode_outer(F.from_json("calls", f"array<{CALL}>")).alias("step", "c"))
-        part = steps.select("task", "template", F.coalesce(F.col("step").cast("long"), F.lit(-1).cast("long")).alias("step"), "c.tool", "c.args")
-        out = part if out is None else out.unionByName(part)
-    return out
+    in order of their text. A task without calls has one row, of step -1 without tool.
+
+    Templates are put together before their calls are read, so that one plan step does it for all.
+    """
+    one = lambda name, column: f"SELECT xxhash64('{name}', task_key) AS task, '{name}' AS template, {column} FROM ({toolcalls.T[name]}) t"
+    every = lambda names, column: run_sql(spark, sf_dir, " UNION ALL ".join(one(n, column) for n in names))
+    bulk = [n for n, sql in toolcalls.T.items() if " AS call FROM " in sql]
+    listed = every([n for n in toolcalls.T if n not in bulk], "calls").select("task", "template", F.posexplode_outer(F.from_json("calls", f"array<{CALL}>")).alias("step", "c"))
+    single = every(bulk, "call").select("task", "template", (F.row_number().over(Window.partitionBy("task").orderBy("call")) - 1).alias("step"), F.from_json("call", CALL).alias("c"))
+    return listed.unionByName(single).select("task", "template", F.coalesce(F.col("step").cast("long"), F.lit(-1).cast("long")).alias("step"), "c.tool", "c.args")
 
 
 def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks without calls run through and change nothing."""
-    calls = task_calls(spark, sf_dir).persist()
-    done = replay.replay(calls.where("step >= 0"), entities(spark, sf_dir))
+    calls = written(task_calls(spark, sf_dir), "calls")
+    done = replay.replay(calls.where("step >= 0"), written(entities(spark, sf_dir), "state"))
     idle = calls.where("step < 0").select("task", F.lit(True).alias("ok"), F.lit(0).cast("long").alias("n_applied"), F.lit(None).cast("long").alias("failed_step"), F.lit(None).cast("string").alias("error"), F.lit("{}").alias("changed"))
     return done.unionByName(idle)
 
 
 def replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each kind of fault, how many wrong answers the comparison of states tells from the right one, and how many leave the state as it was."""
-    calls, state = task_calls(spark, sf_dir).where("step >= 0").persist(), entities(spark, sf_dir)
-    state = state.persist()
-    wrong = replay.corrupt(calls).withColumn("asked", F.xxhash64("fault", "task")).persist()
-    gold = replay.replay(calls, state).select(F.col("task").alias("gold"), F.struct("ok", "changed").alias("want"))
-    got = replay.replay(wrong.select(F.col("asked").alias("task"), "step", "tool", "args"), state)
-    names = wrong.select("fault", F.col("task").alias("gold"), F.col("asked").alias("task")).distinct()
-    judged = names.join(got, "task").join(gold, "gold")
-    same = F.struct("ok", "changed").eqNullSafe(F.col("want"))
-    return judged.groupBy("fault").agg(F.count("*").alias("n"), F.count_if(~same).alias("told"), F.count_if(same).alias("same"))
+    """Of each kind of fault, how many wrong answers the comparison of states tells from the right one, and how many leave the state as it was.
+
+    Calls, state and wrong answers are written once, so that their plans aren't part of those that read them; right and wrong answers are
+    replayed in one pass.
+    """
+    calls = written(task_calls(spark, sf_dir).where("step >= 0"), "calls")
+    wrong = replay.corrupt(calls).withColumn("asked", F.xxhash64("fault", "task"))
+    right = calls.select(F.lit("").alias("fault"), "task", "step", "tool", "args", F.xxhash64(F.lit(""), "task").alias("asked"))
+    asked = written(right.unionByName(wrong), "asked")
+    got = replay.replay(asked.select(F.col("asked").alias("task"), "step", "tool", "args"), written(entities(spark, sf_dir), "state"))
+    names = asked.select("fault", F.col("task").alias("gold"), F.col("asked").alias("task")).distinct()
+    judged = written(names.join(got, "task").select("fault", "gold", F.struct("ok", "changed").alias("did")), "judged")
+    both = judged.where("fault <> ''").join(judged.where("fault = ''").select("gold", F.col("did").alias("want")), "gold")
+    same = F.col("did").eqNullSafe(F.col("want"))
+    return both.groupBy("fault").agg(F.count("*").alias("n"), F.count_if(~same).alias("told"), F.count_if(same).alias("same"))
 
 
 def extracted_sql(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import ranks
+from lodestar.operators import vector_index
 from lodestar.plans.analytics import oracle, run_sql
+from lodestar.storage import shared_dir
 
 W: dict[str, tuple[str, dict]] = {}
 
@@ -108,6 +111,46 @@ w("run_listing", "SELECT o_custkey AS run, count(*) AS n, max(CAST(CAST(o_orderd
 w("audit_counts", "SELECT user_id % 10 AS actor, event_type AS action, count(*) AS n FROM {events} GROUP BY user_id % 10, event_type")
 
 
+def placed(rows: str, group: str, digest: str, name: str) -> str:
+    """rows with their place in a group by a hex digest, in two passes: rows are counted by the first digits of the digest, then numbered within them,
+    so that no window holds a group. A group may be null."""
+    block = f"substring({digest}, 1, 3)"
+    counts = f"SELECT {group} AS g, {block} AS blk, count(*) AS n FROM ({rows}) q1 GROUP BY {group}, {block}"
+    before = f"SELECT g, blk, sum(n) OVER (PARTITION BY g ORDER BY blk) - n AS before FROM ({counts}) q2"
+    return f"(SELECT b.*, o.before + row_number() OVER (PARTITION BY b.{group}, {block} ORDER BY b.{digest}) AS {name} FROM ({rows}) b JOIN ({before}) o ON o.blk = {block} AND o.g IS NOT DISTINCT FROM b.{group})"
+
+
+#: What Spark runs in place of the text above, which is the oracle's: the same rows without a window over a whole group.
+AT_SCALE = {
+    "split_train_dev_gate": f"""SELECT doc_id, CASE WHEN place = 1 OR place % 10 < 7 THEN 'train' WHEN place % 10 < 8 THEN 'dev' ELSE 'gate' END AS split
+        FROM {placed("SELECT doc_id, source, SHA(concat('split', CAST(doc_id AS STRING))) AS h FROM {documents}", "source", "h", "place")} y""",
+    "router_split": f"""SELECT d.doc_id, CASE WHEN l.label IS NOT NULL THEN 'labelled' WHEN d.doc_id > f.first THEN 'duplicate' WHEN half % 2 = 0 THEN 'cal' ELSE 'test' END AS part
+        FROM {placed("SELECT doc_id, source, SHA(text) AS h, SHA(CAST(doc_id AS STRING)) AS seeded FROM {documents}", "source", "seeded", "half")} d
+        JOIN (SELECT SHA(text) AS h, min(doc_id) AS first FROM {{documents}} GROUP BY SHA(text)) f ON f.h = d.h LEFT JOIN (SELECT doc_id AS label FROM {{labels}}) l ON l.label = d.doc_id""",
+}
+
+
+def with_percentiles(base: DataFrame, rows: DataFrame, group: str, column: str, shares: dict[str, float]) -> DataFrame:
+    """base, a row for each group, with the nearest-rank percentiles of a column of rows."""
+    found = ranks.percentiles(rows, group, column, list(shares.values())).toDF("_g", *shares)
+    return base.join(found, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+
+
+def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return with_percentiles(rows.select("event_type").distinct(), rows, "event_type", "value", {"p50": 0.5, "p95": 0.95})
+
+
+def telemetry_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = run_sql(spark, sf_dir, f"SELECT route, count(*) AS n, count_if(NOT ok) AS failed, round(avg(latency_ms), 4) AS mean_ms FROM {CALLS} c GROUP BY route")
+    return with_percentiles(base, run_sql(spark, sf_dir, f"SELECT route, latency_ms FROM {CALLS} c"), "route", "latency_ms", {"p95_ms": 0.95})
+
+
+def throughput_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = run_sql(spark, sf_dir, "SELECT user_id % 8 AS level, count(*) AS n, count_if(event_type = 'error') AS errors FROM {events} GROUP BY user_id % 8")
+    return with_percentiles(base, run_sql(spark, sf_dir, "SELECT user_id % 8 AS level, value FROM {events}"), "level", "value", {"p50": 0.5, "p95": 0.95})
+
+
 #: Vectors of a block; two blocks are held at once.
 BLOCK = 1024
 
@@ -153,9 +196,22 @@ def nn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.mapInArrow(best, "vec_id bigint, nn_sim double").groupBy("vec_id").agg(F.round(F.max("nn_sim"), 5).alias("nn_sim"))
 
 
+def nn_index_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index, kept in the shared folder under the name of the vectors' content."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    centres = vector_index.centres_of(vectors)
+    if not len(centres):
+        return spark.createDataFrame([], "vec_id bigint, nn_sim double")
+    index = vector_index.build(vectors, f"{shared_dir(spark)}/lodestar/index-{vector_index.key_of(vectors, centres)}", centres)
+    found = vector_index.search(vectors.where("vec_id % 20 = 0"), index, centres)
+    return found.where("nn_sim IS NOT NULL").select("vec_id", F.round("nn_sim", 5).alias("nn_sim"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, sql=sql, params=params: run_sql(spark, sf_dir, sql, params) for name, (sql, params) in W.items()} | {"nn_similarity": nn_similarity}
+    plain = {name: lambda spark, sf_dir, sql=AT_SCALE.get(name, sql), params=params: run_sql(spark, sf_dir, sql, params) for name, (sql, params) in W.items()}
+    return plain | {f.__name__: f for f in (nn_similarity, nn_index_similarity, nearest_rank_percentiles, telemetry_by_route, throughput_levels)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(sql, params) for name, (sql, params) in W.items()}
+    found = {name: oracle(sql, params) for name, (sql, params) in W.items()}
+    return found | {"nn_index_similarity": found["nn_similarity"]}

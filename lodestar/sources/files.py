@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import normal_question
@@ -67,16 +67,43 @@ def tally(tasks: DataFrame, log: DataFrame) -> DataFrame:
     return joined.agg(*[F.count_if(F.col("decision") == d).alias(d) for d in ("confirmed", "rejected", "skipped")], F.count_if(F.col("decision").isNull()).alias("undecided"))
 
 
+PRICE = "map<string, struct<input:double, output:double, input_per_mtok:double, output_per_mtok:double, source:string, date:string>>"
+
+
 def prices(spark: SparkSession, path: str) -> DataFrame:
-    """(model, input_per_mtok, output_per_mtok) of one JSON object {"models": {name: {"input", "output"}}}."""
+    """(model, input_per_mtok, output_per_mtok) of one JSON object {"models": {name: {"input", "output"}}}, or of one with a model for each name."""
+    return priced(spark, path).select("model", "input_per_mtok", "output_per_mtok")
+
+
+def priced(spark: SparkSession, path: str) -> DataFrame:
+    """The same with where each price is from: (model, input_per_mtok, output_per_mtok, source, date). Entries without prices, such as notes, are left out."""
     text = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", "models map<string, struct<input:double, output:double>>", {"mode": "FAILFAST"})
-    return text.select(F.explode(parsed["models"]).alias("model", "p")).select("model", F.col("p.input").alias("input_per_mtok"), F.col("p.output").alias("output_per_mtok"))
+    held = F.from_json("value", f"models {PRICE}", {"mode": "FAILFAST"})["models"]
+    entries = F.when(F.get_json_object("value", "$.models").isNotNull(), held).otherwise(F.from_json(only_objects(F.col("value")), PRICE, {"mode": "FAILFAST"}))
+    each = text.select(F.explode(entries).alias("model", "p"))
+    out = each.select("model", F.coalesce("p.input", "p.input_per_mtok").alias("input_per_mtok"), F.coalesce("p.output", "p.output_per_mtok").alias("output_per_mtok"), "p.source", "p.date")
+    return out.where("input_per_mtok IS NOT NULL OR output_per_mtok IS NOT NULL")
+
+
+def only_objects(text: Column) -> Column:
+    """A JSON object without the fields that aren't objects themselves."""
+    fields = F.from_json(text, "map<string,string>")
+    entries = F.filter(F.map_entries(fields), lambda e: F.ltrim(e["value"]).startswith("{"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"])), ","), F.lit("}"))
+
+
+def with_prices(usage: DataFrame, prices: DataFrame, strict: bool = True) -> DataFrame:
+    """usage(model, input_tokens, output_tokens, ...) with usd; a model without a price is an error, or has no usd where strict is off."""
+    named = usage.join(prices.select("model", "input_per_mtok", "output_per_mtok"), "model", "left")
+    usd = (F.col("input_tokens") * F.col("input_per_mtok") + F.col("output_tokens") * F.col("output_per_mtok")) / 1e6
+    if strict:
+        usd = F.when(F.col("input_per_mtok").isNull(), F.raise_error(F.concat(F.lit("no price for "), F.coalesce("model", F.lit("null")))).cast("double")).otherwise(usd)
+    return named.withColumn("usd", usd).drop("input_per_mtok", "output_per_mtok")
 
 
 def ledger_seed(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, run_id, usd, note, expires_at) of {"spend": [...], "reservations": [...]}; kind is spend or reservation."""
-    row = "array<struct<run_id:string, usd:double, note:string, expires_at:string>>"
+    """(kind, run_id, usd, note, expires_at, source_root, evidence, id, holder) of {"spend": [...], "reservations": [...]}; kind is spend or reservation."""
+    row = "array<struct<run_id:string, usd:double, note:string, expires_at:string, source_root:string, evidence:string, id:string, holder:string>>"
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"spend {row}, reservations {row}", {"mode": "FAILFAST"}).alias("s"))
     part = lambda field, kind: text.select(F.explode(f"s.{field}").alias("r")).select(F.lit(kind).alias("kind"), "r.*")
     return part("spend", "spend").unionByName(part("reservations", "reservation"))
@@ -209,6 +236,14 @@ def embedding_key(model: str, dims: int, texts: DataFrame) -> str:
 
 
 def bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The parts of a replay bundle: report, run and tree as whole JSON texts, events as JSON lines by id."""
-    parts = {name: spark.read.text(f"{folder}/{name}.json", wholetext=True).select(F.try_parse_json("value").alias(name)) for name in ("report", "run", "tree")}
-    return parts | {"events": json_lines(spark, f"{folder}/events.jsonl", "id long, event string, data string").orderBy("id")}
+    """The parts of a replay bundle that are there, of report, run and tree, as VARIANT; and events (id, event, data) by id, of a JSON list
+    (events.json, data being an object) or JSON lines (events.jsonl)."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    there = lambda name: (at := hadoop(f"{folder}/{name}")).getFileSystem(conf).exists(at)
+    parts = {name: spark.read.text(f"{folder}/{name}.json", wholetext=True).select(F.try_parse_json("value").alias(name)) for name in ("report", "run", "tree") if there(f"{name}.json")}
+    if there("events.jsonl"):
+        events = json_lines(spark, f"{folder}/events.jsonl", "id long, event string, data string")
+    else:
+        listed = F.from_json("value", "array<struct<id:long, event:string, data:string>>", {"mode": "FAILFAST"})
+        events = spark.read.text(f"{folder}/events.json", wholetext=True).select(F.explode(listed).alias("e")).select("e.*")
+    return parts | {"events": events.orderBy("id")}

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.operators import compare, evaluate, sqltext
-from lodestar.operators.database import Database, Outcome, decoded, encoded, preview
+from lodestar.operators.database import Batches, Database, Outcome, decoded, encoded, preview
 
 
 @pytest.fixture(scope="module")
@@ -105,13 +105,38 @@ def test_order_audit_and_shuffled_columns(db: Database) -> None:
     found = compare.order_audit(db, asked)
     assert found[asked[0]] == [] and "limit_without_order" in found[asked[1]] and found[asked[2]] == []
     rows = db.spark.range(500).select("id", (F.col("id") * 2).alias("a"), F.concat(F.lit("v"), "id").alias("b"))
-    mixed = compare.shuffled_columns(rows, ["id"], 3, blocks=5)
+    mixed = compare.shuffled_columns(rows, ["id"], 3, block=60)
     assert mixed.columns == rows.columns and mixed.count() == 500
     for c in rows.columns:
         assert mixed.select(c).exceptAll(rows.select(c)).isEmpty()
     assert mixed.where("a = id * 2").count() < 60 and mixed.where("b = concat('v', id)").count() < 60
 
 
+def test_right_by_chance(db: Database) -> None:
+    """A wrong column that happens to hold the same values is found out once columns are permuted apart."""
+    spark = db.spark.newSession()
+    rows = spark.range(200).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 7).alias("b"))
+    mine = Database(spark, {"s": rows})
+    found = compare.by_chance(mine, {"s": ["id"]}, [("SELECT b FROM s WHERE id < 50", "SELECT a FROM s WHERE id < 50"), ("SELECT a FROM s", "SELECT a FROM s"), ("SELECT 1", "SELECT 2")])
+    assert [(r["right"], r["by_chance"]) for r in found] == [(True, True), (True, False), (False, False)]
+    numbered = compare.numbered(rows, F.xxhash64("a"), "n", block=9).orderBy("n").select("n", "a").collect()
+    assert [r["n"] for r in numbered] == list(range(200)) and len({r["a"] for r in numbered[:28]}) <= 2
+
+
+def test_chunks_of_queries(db: Database) -> None:
+    """One outcome a text in input order, with one poisoned text in 200; equal to runs one by one."""
+    texts = [f"SELECT x + {i}, y FROM t ORDER BY x DESC" for i in range(196)]
+    texts[77:77] = ["SELECT x / 0 FROM t", "SELECT array(1) AS a", "DROP TABLE t", "SELECT CAST(1.50 AS DECIMAL(5,2)) AS d, DATE '2024-02-29' AS e, X'00FF' AS f, true AS g, CAST('NaN' AS DOUBLE) AS h, NULL AS i"]
+    found = Batches(db).run([*texts, texts[0]])
+    assert len(found) == 201 and found[200] == found[0]
+    assert [o.status for o in found[77:81]] == ["runtime", "ok", "forbidden", "ok"] and all(o.ok for k, o in enumerate(found) if k not in (77, 79))
+    for k in (0, 5, 76, 78, 81, 199):
+        assert (found[k].columns, found[k].rows) == ((o := db.run(texts[k])).columns, o.rows)
+    assert str(found[80].rows) == str(db.run(texts[80]).rows)
+    small = Database(db.spark, db.tables, max_rows=1)
+    assert [o.status for o in Batches(small, chunk=2).run(["SELECT x FROM t", "SELECT count(*) FROM t"])] == ["row_cap", "ok"]
+
+
 def test_scoring(db: Database) -> None:
     spark = db.spark
     tasks = spark.createDataFrame([("a", "f1", "SELECT x FROM t ORDER BY x"), ("b", "f2", "SELECT count(*) FROM t")], "task_id string, family string, gold_sql string")
