@@ -35,7 +35,6 @@ def test_quality_verdicts(spark: SparkSession) -> None:
     buckets = 1 << 10
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     label = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
-    held = lambda d: signed(xxhash.xxh64_intdigest(struct.pack("<i", 1), long_hash(d))) % 5 == 0
 
     def grams(text: str | None) -> list[int]:
         h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in brute.WORD.findall(text or "")]
@@ -45,16 +44,22 @@ def test_quality_verdicts(spark: SparkSession) -> None:
     raw, target = Counter(), Counter()
     for d, t in texts.items():
         raw.update(grams(t))
-        if label.get(d) == (1, 0) and not held(d):
+        if label.get(d) == (1, 0):
             target.update(grams(t))
     ratio = [math.log((target[b] + 1) / (target.total() + buckets)) - math.log((raw[b] + 1) / (raw.total() + buckets)) for b in range(buckets)]
     score = {d: sum(ratio[b] for b in grams(t)) / max(len(grams(t)), 1) for d, t in texts.items()}
     failed = {d: brute.quality(t)[-1] for d, t in texts.items()}
-    good = [d for d in texts if label.get(d) == (1, 0) and held(d) and not failed[d]]
+    good = [d for d in texts if label.get(d) == (1, 0) and not failed[d]]
     bad = [d for d in texts if label.get(d, (1, 0))[0] == 0 and not failed[d]]
-    steps = sorted({math.floor(round(score[d], 6) * 100) for d in good + bad})
-    keeps = lambda at, ids: sum(math.floor(round(score[d], 6) * 100) >= at for d in ids)
-    threshold = min((keeps(at, bad), at) for at in steps if 100 * keeps(at, good) >= 98 * len(good))[1] / 100
+    left_out = {d: score[d] for d in bad}
+    for d in good:
+        own = Counter(grams(texts[d]))
+        up = target.total() / (target.total() - own.total())
+        new = {b: math.log(((target[b] - k) * up + 1) / (target.total() + buckets)) - math.log((raw[b] + 1) / (raw.total() + buckets)) for b, k in own.items()}
+        left_out[d] = sum(new[b] * k for b, k in own.items()) / own.total()
+    steps = sorted({round(left_out[d], 6) for d in good + bad})
+    keeps = lambda at, ids: sum(round(left_out[d], 6) >= at for d in ids)
+    threshold = min((keeps(at, bad), at) for at in steps if 100 * keeps(at, good) >= 98 * len(good))[1]
     got = quality.judge(docs, labels, buckets=buckets).collect()
     assert max(abs(r["score"] - score[r["doc_id"]]) for r in got) < 2e-6
     sure = [r for r in got if abs(score[r["doc_id"]] - threshold) > 2e-6]
