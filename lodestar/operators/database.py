@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 from decimal import Decimal
+from functools import cache
 
 from py4j.java_gateway import JavaObject
 from py4j.protocol import Py4JError, Py4JJavaError
@@ -27,8 +28,13 @@ NODES = {
     "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedSubqueryColumnAliases",
     "UnresolvedRelation", "UnresolvedHaving", "UnresolvedWith", "WithWindowDefinition", "OneRowRelation", "UnresolvedInlineTable", "LocalRelation", "LateralJoin", "Generate", "Pivot", "Unpivot", "UnresolvedOrderedSet",
 }
-#: Functions that reach out of the query.
-FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user", "user", "current_catalog", "current_database", "current_schema", "version", "raise_error", "assert_true"}
+#: Groups of the engine's own functions that a query may call: they work on their arguments alone. Those of other groups, and functions that aren't the engine's, are refused.
+GROUPS = {
+    "agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "csv_funcs", "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs",
+    "operator_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "url_funcs", "variant_funcs", "window_funcs", "xml_funcs",
+}
+#: Of the rest, those that do too; and those of the groups that don't: they fail at will, or tell of the session.
+MORE, FEWER = {"typeof", "equal_null"}, {"raise_error", "assert_true", "current_timezone", "now"}
 #: What a Spark failure says that isn't the query's fault.
 INFRASTRUCTURE = ("ExecutorLostFailure", "FetchFailed", "Connection refused", "SparkContext was shut down", "No space left", "OutOfMemoryError")
 
@@ -55,31 +61,46 @@ def _simple(node: JavaObject) -> str:
     return node.getClass().getSimpleName()
 
 
-def _walk(plan: JavaObject, names: frozenset[str]) -> None:
-    """Raise PermissionError for anything in a parsed plan but a query over the named relations."""
+@cache
+def _functions(spark: SparkSession) -> frozenset[str]:
+    """The names of functions that a query may call, of the engine's own catalogue."""
+    own = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    of_group = {name.funcName().lower() for name in _listed(own.listFunction()) if own.lookupFunction(name).get().getGroup() in GROUPS}
+    return frozenset((of_group | MORE) - FEWER)
+
+
+def _listed(seq: JavaObject) -> Iterator[JavaObject]:
+    """A Scala sequence that may be a linked list, in one pass."""
+    each = seq.iterator()
+    while each.hasNext():
+        yield each.next()
+
+
+def _walk(plan: JavaObject, names: frozenset[str], functions: frozenset[str]) -> None:
+    """Raise PermissionError for anything in a parsed plan but a query over the named relations, by the given functions."""
     kind = _simple(plan)
     if kind not in NODES:
         raise PermissionError(f"{kind} isn't allowed")
     if kind == "UnresolvedWith":
         for pair in _each(plan.cteRelations()):
             name = pair._1().lower()
-            _walk(pair._2(), names | {name} if plan.allowRecursion() else names)
+            _walk(pair._2(), names | {name} if plan.allowRecursion() else names, functions)
             names |= {name}
     if kind == "UnresolvedRelation":
         parts = list(_each(plan.multipartIdentifier()))
         if len(parts) != 1 or parts[0].lower() not in names:
             raise PermissionError(f"no table {'.'.join(parts)}")
     for child in _each(plan.children()):
-        _walk(child, names)
+        _walk(child, names, functions)
     todo = list(_each(plan.expressions()))
     while todo:
         e = todo.pop()
         if _simple(e) == "UnresolvedFunction":
             called = list(_each(e.nameParts()))
-            if len(called) != 1 or called[0].lower() in FUNCTIONS:
+            if len(called) != 1 or called[0].lower() not in functions:
                 raise PermissionError(f"function {'.'.join(called)} isn't allowed")
         if _simple(e) in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"):
-            _walk(e.plan(), names)
+            _walk(e.plan(), names, functions)
         todo.extend(_each(e.children()))
 
 
@@ -99,7 +120,7 @@ class Database:
         if why := refused(sql):
             return Outcome(why, error=why)
         try:
-            _walk(self.spark._jsparkSession.sessionState().sqlParser().parsePlan(bare(sql)), frozenset(n.lower() for n in self.tables))
+            _walk(self.spark._jsparkSession.sessionState().sqlParser().parsePlan(bare(sql)), frozenset(n.lower() for n in self.tables), _functions(self.spark))
         except PermissionError as e:
             return Outcome("forbidden", error=str(e))
         except (PySparkException, Py4JJavaError, Py4JError) as e:
