@@ -12,7 +12,6 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,9 +136,9 @@ def replay(calls: DataFrame, entities: DataFrame) -> DataFrame:
     calls: task long, step long, tool string, args string. entities: kind string, id string (a user's is its e-mail), fields
     string; kind and id are unique. Nulls: a call without tool or args is invalid; tasks are told apart by id, null being one.
     """
-    kinds = F.create_map(*[F.lit(x) for t, spec in TOOLS.items() for x in (t, spec.kind)])
+    kind_of = F.create_map(*[F.lit(x) for t, spec in TOOLS.items() for x in (t, spec.kind)])
     path = lambda n: F.get_json_object("args", f"$.{n}")
-    named = calls.select("task", "step", "tool", "args").withColumn("kind", kinds[F.col("tool")])
+    named = calls.select("task", "step", "tool", "args").withColumn("kind", kind_of[F.col("tool")])
     named = named.withColumn("key", F.when(F.col("kind") == "user", path("email")).otherwise(F.coalesce(*[F.when(F.col("kind") == k, path(f"{k}_id")) for k in ("account", "invoice", "ticket")])))
     state = entities.select("kind", F.col("id").alias("key"), "fields")
     mails = entities.where("kind = 'user'").select(F.col("id").alias("email"), F.lit(True).alias("taken")).distinct()
@@ -151,22 +150,24 @@ def replay(calls: DataFrame, entities: DataFrame) -> DataFrame:
     users = found.where(asks).withColumn("email", path("email")).join(mails, "email", "left").select(*kept, F.coalesce("taken", F.lit(False)).alias("taken"))
     rows = users.unionByName(found.where(~asks).withColumn("taken", F.lit(False)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, task = [c.split()[0] for c in RESULT.split(", ")], None
-        frame = lambda out: pd.DataFrame(out, columns=names).astype({"failed_step": "Int64", "task": "Int64"})
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in RESULT.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = None
+        frame = lambda out: pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
         for batch in batches:
             out = []
-            for t, step, tool, args, kind, key, fields, taken in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
-                t = None if t is None else int(t)
+            for t, step, tool, args, kind, key, fields, taken in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if task is None or t != task.task:
                     out += [task.row()] if task else []
                     task = Task(t)
-                task.apply(int(step), tool, args, kind, key, fields, bool(taken))
+                task.apply(step, tool, args, kind, key, fields, taken)
             yield frame(out)
         if task:
             yield frame([task.row()])
 
-    return rows.repartition("task").sortWithinPartitions("task", "step").mapInPandas(run, RESULT)
+    return rows.repartition("task").sortWithinPartitions("task", "step").mapInArrow(run, RESULT)
 
 
 def same_state(a: DataFrame, b: DataFrame) -> DataFrame:
