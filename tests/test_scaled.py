@@ -7,16 +7,12 @@ import random
 from fractions import Fraction
 from pathlib import Path
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
 from lodestar.functions import ranks, stats
 from lodestar.operators import vector_index
-from lodestar.plans import decisions, registry
-
-SF = "/root/testdata/sf0.001"
 
 
 def exact_cdf(k: int, n: int, p: Fraction) -> Fraction:
@@ -79,22 +75,3 @@ def test_index_gives_the_greatest_cosine(spark: SparkSession, tmp_path: Path, cl
     one = vectors.where("vec_id = 3")
     c = vector_index.centres_of(one)
     assert [r["nn_sim"] for r in vector_index.search(one, vector_index.build(one, str(tmp_path / "one"), c), c).collect()] == [None]
-
-
-NAMES = (
-    "nearest_rank_percentiles", "telemetry_by_route", "throughput_levels", "split_train_dev_gate", "router_split", "nn_index_similarity", "prompt_parity", *decisions.queries(),
-)
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_queries_against_the_oracle(spark: SparkSession, name: str) -> None:
-    con = duckdb.connect()
-    for t in ("documents", "labels", "events", "conversations", "benchmark", "embeddings"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    cur = con.execute(registry.oracle_sql()[name])
-    columns = [d[0] for d in cur.description]
-    cell = lambda v: v if v is None or isinstance(v, (str, bool)) else f"{float(v):.9g}"
-    want = sorted(([cell(v) for v in r] for r in cur.fetchall()), key=str)
-    got = registry.queries()[name](spark, SF)
-    assert sorted(got.columns) == sorted(columns)
-    assert sorted(([cell(v) for v in r] for r in got.select(*columns).collect()), key=str) == want and want
