@@ -22,10 +22,11 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.sources.files import exists
+
 MAX_CLUSTERS, BLOCK = 1024, 2048
 #: What rounding may add to a chord.
 SLACK = 1e-9
@@ -73,12 +74,10 @@ def key_of(vectors: DataFrame, centres: np.ndarray) -> str:
 
 
 def build(vectors: DataFrame, path: str, centres: np.ndarray) -> DataFrame:
-    """The index of vectors(vec_id, embedding) at path; if it is there already, it is read."""
+    """The index of vectors(vec_id, embedding) at path; if it is there already, it is read. A build that didn't end is built again."""
     spark = vectors.sparkSession
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        pass
+    if exists(spark, path):
+        return spark.read.schema(INDEX).parquet(path)
 
     def run(batches: Batches) -> Batches:
         held: dict[int, list[tuple]] = {}
@@ -103,8 +102,8 @@ def build(vectors: DataFrame, path: str, centres: np.ndarray) -> DataFrame:
         for c in list(held):
             yield block(c)
 
-    _named(vectors).mapInArrow(run, INDEX).write.parquet(path)
-    return spark.read.parquet(path)
+    _named(vectors).mapInArrow(run, INDEX).write.mode("overwrite").parquet(path)
+    return spark.read.schema(INDEX).parquet(path)
 
 
 def _blocks(queries: DataFrame, centres: np.ndarray, limits: np.ndarray | None, schema: str) -> DataFrame:
