@@ -59,6 +59,7 @@ def generate(draws: DataFrame, n: int, template_cap: int, family_cap: int, skele
     """draws with pos and verdict: accepted, a reason for dropping, or retired (not offered any more)."""
     known = draws.where("template IS NOT NULL AND round IS NOT NULL AND place IS NOT NULL AND sql IS NOT NULL AND question IS NOT NULL")
     known = known.withColumns({"family": F.coalesce("family", F.lit("")), "skeleton": F.coalesce("skeleton", F.lit("")), "_good": F.coalesce(F.col("ok") & (F.col("n_rows") > 0), F.lit(False))})
+    known = written(known, "offers")  # read several times
     width = (known.agg(F.max("place")).first()[0] or 0) + 1
     again = Window.partitionBy("round", "place").orderBy("sql", "question")
     known = known.withColumn("_copy", F.row_number().over(again) - 1)

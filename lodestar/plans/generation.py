@@ -24,10 +24,19 @@ from lodestar.storage import written
 ATTEMPTS, N, TEMPLATE_CAP, FAMILY_CAP, SKELETON_CAP, EXHAUSTED, WORN_OUT = 40, 90, 16, 24, 9, 6, 5
 
 G: list[tuple[str, str, str]] = []
+#: The same draws for Spark: each template's first ATTEMPTS rows are taken by every task, so no task puts a whole table in order.
+FIRST: list[str] = []
 
 
-def g(family: str, template: str, source: str, question: str, sql: str, rows: str, ok: str = "TRUE") -> None:
-    """A template: a source of rows as s with a key, and its question, SQL, number of result rows and success as SQL expressions over s."""
+def g(family: str, template: str, source: str, question: str, sql: str, rows: str, ok: str = "TRUE", counts: str = "") -> None:
+    """A template: a source of rows as s with a key, and its question, SQL, number of result rows and success as SQL expressions over s.
+
+    `counts` names the source's join side that has a row for each parameter only, such as a date: it goes to all tasks, and no table is shuffled for it.
+    """
+    drawn = source.replace("SELECT", f"SELECT /*+ BROADCAST({counts}) */", 1) if counts else source
+    cells = f"{question} AS question, {sql} AS sql, {ok} AS ok, CAST({rows} AS BIGINT) AS n_rows, SHA(concat('seed-1|{template}|', CAST(key AS STRING))) AS seeded, key"
+    first = f"SELECT {cells} FROM ({drawn}) s ORDER BY seeded, key, question, sql LIMIT {ATTEMPTS}"
+    FIRST.append(f"SELECT '{family}' AS family, '{template}' AS template, {len(FIRST)} AS place, row_number() OVER (ORDER BY seeded, key, question, sql) - 1 AS round, question, sql, ok, n_rows FROM ({first}) f")
     turn = f"row_number() OVER (ORDER BY SHA(concat('seed-1|{template}|', CAST(key AS STRING))), key, {question}, {sql}) - 1"
     G.append((family, template, f"SELECT '{family}' AS family, '{template}' AS template, {turn} AS round, {question} AS question, {sql} AS sql, {ok} AS ok, CAST({rows} AS BIGINT) AS n_rows FROM ({source}) s"))
 
@@ -40,30 +49,30 @@ def worded(*ways: str) -> str:
 QUOTE = "chr(39)"
 ORDERS_OF = "SELECT o_orderkey AS key, o.o_orderstatus AS a, o.o_orderpriority AS b, n FROM {orders} o JOIN (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {orders} GROUP BY o_orderstatus, o_orderpriority) c ON c.o_orderstatus = o.o_orderstatus AND c.o_orderpriority = o.o_orderpriority"
 g("filters", "orders_status_priority", ORDERS_OF, worded(f"concat('Which orders are ', {QUOTE}, a, {QUOTE}, ' with priority ', {QUOTE}, b, {QUOTE}, '?')", f"concat('List orders of priority ', {QUOTE}, b, {QUOTE}, ' that are ', {QUOTE}, a, {QUOTE}, '.')"),
-  f"concat('SELECT o_orderkey FROM orders WHERE o_orderstatus = ', {QUOTE}, a, {QUOTE}, ' AND o_orderpriority = ', {QUOTE}, b, {QUOTE})", "n")
+  f"concat('SELECT o_orderkey FROM orders WHERE o_orderstatus = ', {QUOTE}, a, {QUOTE}, ' AND o_orderpriority = ', {QUOTE}, b, {QUOTE})", "n", counts="c")
 g("filters", "orders_priority_status", ORDERS_OF, worded(f"concat('Which orders are ', {QUOTE}, a, {QUOTE}, ' with priority ', {QUOTE}, b, {QUOTE}, '?')", f"concat('Orders by ', {QUOTE}, b, {QUOTE}, ' and ', {QUOTE}, a, {QUOTE}, '?')"),
-  f"concat('SELECT o_orderkey FROM orders WHERE o_orderpriority = ', {QUOTE}, b, {QUOTE}, ' AND o_orderstatus = ', {QUOTE}, a, {QUOTE})", "n")
+  f"concat('SELECT o_orderkey FROM orders WHERE o_orderpriority = ', {QUOTE}, b, {QUOTE}, ' AND o_orderstatus = ', {QUOTE}, a, {QUOTE})", "n", counts="c")
 g("aggregates", "lines_per_flag", "SELECT l_orderkey * 8 + l_linenumber AS key, l_returnflag AS a, l_linestatus AS b FROM {lineitem}", f"concat('How many lines have flag ', {QUOTE}, a, {QUOTE}, ' and status ', {QUOTE}, b, {QUOTE}, '?')",
   f"concat('SELECT count(*) FROM lineitem WHERE l_returnflag = ', {QUOTE}, a, {QUOTE}, ' AND l_linestatus = ', {QUOTE}, b, {QUOTE})", "1")
 g("dates", "orders_in_month", "SELECT o_orderkey AS key, substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7) AS a FROM {orders}", worded("concat('How many orders came in ', a, '?')", "concat('Count the orders of ', a, '.')", "concat('Orders placed during ', a, ': how many?')"),
   f"concat('SELECT count(*) FROM orders WHERE strftime(', {QUOTE}, '%Y-%m', {QUOTE}, ', o_orderdate) = ', {QUOTE}, a, {QUOTE})", "1")
 g("dates", "lines_shipped_on", "SELECT l.l_orderkey * 8 + l.l_linenumber AS key, CAST(CAST(l.l_shipdate AS DATE) AS STRING) AS a, l.l_returnflag AS b, coalesce(n, 0) AS n FROM {lineitem} l LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS d, count(*) AS n FROM {lineitem} WHERE l_quantity > 45 GROUP BY CAST(l_shipdate AS DATE)) c ON c.d = CAST(l.l_shipdate AS DATE)",
-  "concat('Which lines of over 45 pieces were shipped on ', a, '?')", f"concat('SELECT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_shipdate = ', {QUOTE}, a, {QUOTE})", "n")
+  "concat('Which lines of over 45 pieces were shipped on ', a, '?')", f"concat('SELECT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_shipdate = ', {QUOTE}, a, {QUOTE})", "n", counts="c")
 g("joins", "customers_nation_segment", "SELECT u.c_custkey AS key, n.n_name AS a, u.c_mktsegment AS b, m AS n FROM {customer} u JOIN {nation} n ON n.n_nationkey = u.c_nationkey JOIN (SELECT c_nationkey, c_mktsegment, count(*) AS m FROM {customer} GROUP BY c_nationkey, c_mktsegment) c ON c.c_nationkey = u.c_nationkey AND c.c_mktsegment = u.c_mktsegment",
   worded(f"concat('Customers of segment ', {QUOTE}, b, {QUOTE}, ' in ', {QUOTE}, a, {QUOTE}, '?')", f"concat('Who in ', {QUOTE}, a, {QUOTE}, ' buys for ', {QUOTE}, b, {QUOTE}, '?')"),
-  f"concat('SELECT c_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = ', {QUOTE}, a, {QUOTE}, ' AND c_mktsegment = ', {QUOTE}, b, {QUOTE})", "n")
+  f"concat('SELECT c_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = ', {QUOTE}, a, {QUOTE}, ' AND c_mktsegment = ', {QUOTE}, b, {QUOTE})", "n", counts="c")
 g("anti_joins", "customers_without_orders", "SELECT u.c_custkey AS key, u.c_nationkey AS a, coalesce(m, 0) AS n FROM {customer} u LEFT JOIN (SELECT c_nationkey, count(*) AS m FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey) GROUP BY c_nationkey) w ON w.c_nationkey = u.c_nationkey",
-  "concat('Which customers of nation ', a, ' never ordered?')", "concat('SELECT c_custkey FROM customer WHERE c_nationkey = ', a, ' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)')", "n")
+  "concat('Which customers of nation ', a, ' never ordered?')", "concat('SELECT c_custkey FROM customer WHERE c_nationkey = ', a, ' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)')", "n", counts="w")
 g("arithmetic", "value_ratio", "SELECT event_id AS key, user_id AS a, FIELD_K(props) % 4 AS b FROM {events}", worded("concat('Values of user ', a, ' divided by ', b, '?')", "concat('What is a ', b, 'th of the values of user ', a, '?')"),
   "concat('SELECT value / ', b, ' FROM events WHERE user_id = ', a)", "1", ok="b <> 0")
 g("filters", "parts_brand_size", "SELECT p.p_partkey AS key, p.p_brand AS a, p.p_size AS b, coalesce(m, 0) AS n FROM {part} p LEFT JOIN (SELECT p_brand, p_size, count(*) AS m FROM {part} WHERE p_retailprice > 1500 GROUP BY p_brand, p_size) c ON c.p_brand = p.p_brand AND c.p_size = p.p_size",
-  f"concat('Parts of ', {QUOTE}, a, {QUOTE}, ' in size ', b, ' over 1500?')", f"concat('SELECT p_partkey FROM part WHERE p_retailprice > 1500 AND p_brand = ', {QUOTE}, a, {QUOTE}, ' AND p_size = ', b)", "n")
+  f"concat('Parts of ', {QUOTE}, a, {QUOTE}, ' in size ', b, ' over 1500?')", f"concat('SELECT p_partkey FROM part WHERE p_retailprice > 1500 AND p_brand = ', {QUOTE}, a, {QUOTE}, ' AND p_size = ', b)", "n", counts="c")
 
 DRAWS = " UNION ALL ".join(f"SELECT family, template, {i} AS place, round, question, sql, ok, n_rows FROM ({sql}) d{i} WHERE round < {ATTEMPTS}" for i, (_, _, sql) in enumerate(G))
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_sql(spark, sf_dir, DRAWS).withColumns({"round": F.col("round").cast("long"), "skeleton": skeleton(F.col("question"))})
+    return run_sql(spark, sf_dir, " UNION ALL ".join(FIRST)).withColumns({"round": F.col("round").cast("long"), "skeleton": skeleton(F.col("question"))})
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:

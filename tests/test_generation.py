@@ -90,3 +90,13 @@ def test_toolcall_tasks(spark: SparkSession) -> None:
     want = Counter((d["template"], v) for d, v in zip(draws, verdicts, strict=True) if v != "retired")
     assert {(r["template"], r["verdict"]): r["n"] for r in generation.toolcall_tasks(spark, sf).collect()} == want
     assert len({d["template"] for d in draws}) > 30 and {v for _, v in want} >= {"accepted"}
+
+
+def test_draws_put_no_table_in_order(spark: SparkSession) -> None:
+    sf = "/root/testdata/sf0.01"
+    mine = generation.draws(spark, sf)
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == len(generation.G)  # a task hands on as many rows as there are draws
+    want = generation.run_sql(spark, sf, generation.DRAWS).selectExpr("place", "CAST(round AS BIGINT) AS round", "question", "sql", "ok", "n_rows")
+    got = mine.select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 300
