@@ -92,18 +92,28 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 CALL = "struct<args:string, tool:string>"
 
 
-def task_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(task, template, step, tool, args) of all templates. task is a hash of template and key; the rows of a bulk template's group are its steps,
+def task_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(template, task) of all templates, once each; no calls are written for it."""
+    return run_sql(spark, sf_dir, " UNION ALL ".join(f"SELECT '{name}' AS template, xxhash64('{name}', task_key) AS task FROM ({sql}) t" for name, sql in toolcalls.T.items())).distinct()
+
+
+def task_calls(spark: SparkSession, sf_dir: str, some: DataFrame | None = None) -> DataFrame:
+    """(task, template, step, tool, args, last) of all templates, last being the task's last step. task is a hash of template and key; the rows of a bulk template's group are its steps,
     in order of their text. A task without calls has one row, of step -1 without tool.
 
-    Templates are put together before their calls are read, so that one plan step does it for all.
+    Templates are put together before their calls are read, so that one plan step does it for all. `some` (task), which goes to all tasks, are the only ones wanted.
     """
     one = lambda name, column: f"SELECT xxhash64('{name}', task_key) AS task, '{name}' AS template, {column} FROM ({toolcalls.T[name]}) t"
-    every = lambda names, column: run_sql(spark, sf_dir, " UNION ALL ".join(one(n, column) for n in names))
+
+    def every(names: list[str], column: str) -> DataFrame:
+        rows = run_sql(spark, sf_dir, " UNION ALL ".join(one(n, column) for n in names))
+        return rows if some is None else rows.join(F.broadcast(some), "task", "left_semi")
+
     bulk = [n for n, sql in toolcalls.T.items() if " AS call FROM " in sql]
-    listed = every([n for n in toolcalls.T if n not in bulk], "calls").select("task", "template", F.posexplode_outer(F.from_json("calls", f"array<{CALL}>")).alias("step", "c"))
-    single = every(bulk, "call").select("task", "template", (F.row_number().over(Window.partitionBy("task").orderBy("call")) - 1).alias("step"), F.from_json("call", CALL).alias("c"))
-    return listed.unionByName(single).select("task", "template", F.coalesce(F.col("step").cast("long"), F.lit(-1).cast("long")).alias("step"), "c.tool", "c.args")
+    listed = every([n for n in toolcalls.T if n not in bulk], "calls").select("task", "template", F.from_json("calls", f"array<{CALL}>").alias("all"))
+    listed = listed.select("task", "template", (F.size("all") - 1).cast("long").alias("last"), F.posexplode_outer("all").alias("step", "c"))
+    single = every(bulk, "call").select("task", "template", (F.count("*").over(Window.partitionBy("task")) - 1).alias("last"), (F.row_number().over(Window.partitionBy("task").orderBy("call")) - 1).alias("step"), F.from_json("call", CALL).alias("c"))
+    return listed.unionByName(single).select("task", "template", F.coalesce(F.col("step").cast("long"), F.lit(-1).cast("long")).alias("step"), "c.tool", "c.args", "last")
 
 
 def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +127,10 @@ def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each kind of fault, how many wrong answers the comparison of states tells from the right one, and how many leave the state as it was.
 
-    Calls, state and wrong answers are written once, so that their plans aren't part of those that read them; right and wrong answers are
-    replayed in one pass.
+    Calls and state are written once, so that their plans aren't part of those that read them; right and wrong answers are replayed in one pass.
     """
     calls = written(task_calls(spark, sf_dir).where("step >= 0"), "calls")
-    wrong = replay.corrupt(calls).withColumn("asked", F.xxhash64("fault", "task"))
-    right = calls.select(F.lit("").alias("fault"), "task", "step", "tool", "args", F.xxhash64(F.lit(""), "task").alias("asked"))
-    asked = written(right.unionByName(wrong), "asked")
-    got = replay.replay(asked.select(F.col("asked").alias("task"), "step", "tool", "args"), written(entities(spark, sf_dir), "state"))
-    names = asked.select("fault", F.col("task").alias("gold"), F.col("asked").alias("task")).distinct()
-    judged = written(names.join(got, "task").select("fault", "gold", F.struct("ok", "changed").alias("did")), "judged")
-    both = judged.where("fault <> ''").join(judged.where("fault = ''").select("gold", F.col("did").alias("want")), "gold")
-    same = F.col("did").eqNullSafe(F.col("want"))
-    return both.groupBy("fault").agg(F.count("*").alias("n"), F.count_if(~same).alias("told"), F.count_if(same).alias("same"))
+    return replay.told_faults(calls, written(entities(spark, sf_dir), "state"))
 
 
 def extracted_sql(spark: SparkSession, sf_dir: str) -> DataFrame:

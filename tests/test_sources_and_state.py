@@ -289,3 +289,21 @@ def test_signal_columns(spark: SparkSession) -> None:
         one.select(text.unit(F.array(F.lit(0.0)), 2)).collect()
     assert one.select(text.canonical_json(F.lit('{"b": 1, "a": [1, {"d": 2, "c": null}]}'))).first()[0] == '{"a":[1,{"c":null,"d":2}],"b":1}'
     assert one.select(text.frames(F.lit(3), F.lit("log"), F.lit("x\ny"))).first()[0] == "id: 3\nevent: log\ndata: x\ndata: y\n\n"
+
+
+def test_faults_in_one_pass(spark: SparkSession) -> None:
+    """As wrong answers that are written out, replayed one by one and joined with the right ones."""
+    from lodestar.plans import stateful
+
+    sf = "/root/testdata/sf0.001"
+    calls = stateful.written(stateful.task_calls(spark, sf).where("step >= 0"), "calls")
+    state = stateful.written(stateful.entities(spark, sf), "state")
+    want = {}
+    done = replay.replay(calls, state).select("task", F.struct("ok", "changed").alias("want"))
+    for fault in replay.FAULTS:
+        got = replay.replay(replay.corrupt(calls).where(F.col("fault") == fault), state).select("task", F.struct("ok", "changed").alias("did")).join(done, "task")
+        want[fault] = tuple(got.agg(F.count("*"), F.count_if(F.col("did") != F.col("want")), F.count_if(F.col("did") == F.col("want"))).first())
+    assert {r["fault"]: (r["n"], r["told"], r["same"]) for r in replay.told_faults(calls.drop("last"), state).collect()} == want
+    found = replay.told_faults(calls, state)
+    assert {r["fault"]: (r["n"], r["told"], r["same"]) for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1 and all(n for n, _, _ in want.values())
