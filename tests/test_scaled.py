@@ -78,3 +78,14 @@ def test_index_gives_the_greatest_cosine(spark: SparkSession, tmp_path: Path, cl
     one = vectors.where("vec_id = 3")
     c = vector_index.centres_of(one)
     assert [r["nn_sim"] for r in vector_index.search(one, vector_index.build(one, str(tmp_path / "one"), c), c).collect()] == [None]
+
+
+def test_toolcall_generation_without_order(spark) -> None:  # noqa: ANN001
+    from lodestar.plans import reports
+    from lodestar.plans.analytics import run_sql
+
+    sf = "/root/testdata/sf0.01"
+    mine = reports.queries()["toolcall_generation"](spark, sf)
+    assert "Window" not in mine._jdf.queryExecution().optimizedPlan().toString()
+    want = run_sql(spark, sf, *reports.R["toolcall_generation"])
+    assert mine.schema == want.schema and sorted(mine.collect()) == sorted(want.collect())
