@@ -17,7 +17,7 @@ from lodestar.operators import replay
 from lodestar.operators.generate import generate
 from lodestar.plans import toolcalls
 from lodestar.plans.analytics import oracle, run_sql
-from lodestar.plans.stateful import entities, task_calls
+from lodestar.plans.stateful import entities, task_calls, task_names
 from lodestar.storage import written
 
 #: Draws of a template at most, tasks wanted, caps and streaks.
@@ -97,15 +97,18 @@ GUARDS = ("eg", "cd", "dc", "ce", "bk")
 def toolcall_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws of all tool-call templates: of each its first ATTEMPTS tasks in hashed order, with what a replay of their calls gives.
 
+    Tasks are drawn by their names; calls are written for the drawn ones alone, and of the state what these calls name.
     An answer is named by the digest of its calls, as those of a bulk template are never gathered. A draw is ok if its calls run through, and gives
     something if they change the state, or if there are none and its family has such tasks.
     """
-    calls = written(task_calls(spark, sf_dir), "calls")
-    tasks = calls.groupBy("template", "task").agg(F.count_if(F.col("step") >= 0).alias("n"), F.sum(F.xxhash64("step", "tool", "args").cast("decimal(38,0)")).alias("answer"))
     turn = F.row_number().over(Window.partitionBy("template").orderBy(F.xxhash64(F.lit("seed-1"), "task"), "task"))
-    drawn = written(tasks.withColumn("turn", turn).where(F.col("turn") <= ATTEMPTS), "tasks")
-    asked = calls.where("step >= 0").join(drawn.select("task"), "task", "left_semi")
-    done = replay.replay(asked, written(entities(spark, sf_dir), "state")).select("task", "ok", (F.col("changed") != "{}").alias("changes"))
+    drawn = written(task_names(spark, sf_dir).withColumn("turn", turn).where(F.col("turn") <= ATTEMPTS), "tasks")
+    calls = written(task_calls(spark, sf_dir, drawn.select("task")), "calls")
+    tasks = calls.groupBy("template", "task").agg(F.count_if(F.col("step") >= 0).alias("n"), F.sum(F.xxhash64("step", "tool", "args").cast("decimal(38,0)")).alias("answer"))
+    drawn = drawn.join(tasks, ["template", "task"])
+    asked = calls.where("step >= 0")
+    state = entities(spark, sf_dir).join(F.broadcast(replay.named_by(asked)), ["kind", "id"], "left_semi")
+    done = replay.replay(asked, written(state, "state")).select("task", "ok", (F.col("changed") != "{}").alias("changes"))
     place = F.create_map(*[F.lit(x) for i, t in enumerate(toolcalls.T) for x in (t, i)])
     family = F.substring_index("template", "_", 1)
     gives = F.coalesce("changes", family.isin(*GUARDS))

@@ -100,3 +100,18 @@ def test_draws_put_no_table_in_order(spark: SparkSession) -> None:
     want = generation.run_sql(spark, sf, generation.DRAWS).selectExpr("place", "CAST(round AS BIGINT) AS round", "question", "sql", "ok", "n_rows")
     got = mine.select(*want.columns)
     assert got.exceptAll(want).isEmpty() and got.count() == want.count() > 300
+
+
+def test_toolcall_draws_are_those_of_all_tasks(spark: SparkSession) -> None:
+    """Drawing by name gives what gathering all calls first gave; the calls of other tasks aren't written."""
+    from lodestar.plans import stateful
+
+    sf = "/root/testdata/sf0.001"
+    calls = stateful.task_calls(spark, sf)
+    turn = F.row_number().over(generation.Window.partitionBy("template").orderBy(F.xxhash64(F.lit("seed-1"), "task"), "task"))
+    tasks = calls.groupBy("template", "task").agg(F.count_if(F.col("step") >= 0).alias("n"), F.sum(F.xxhash64("step", "tool", "args").cast("decimal(38,0)")).alias("answer")).withColumn("turn", turn).where(F.col("turn") <= generation.ATTEMPTS)
+    want = {(r["template"], r["turn"] - 1, f"{r['n']}:{r['answer']}") for r in tasks.collect()}
+    got = generation.toolcall_draws(spark, sf).collect()
+    assert {(r["template"], r["round"], r["sql"]) for r in got} == want and len(got) == len(want)
+    some = stateful.task_names(spark, sf).where("template = 'bk_close'").select("task").limit(1)
+    assert stateful.task_calls(spark, sf, some).select("template", "task").distinct().count() == 1
