@@ -162,3 +162,10 @@ def test_clashing_columns(spark: SparkSession, operator: str) -> None:
     assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in CLASHING)
     if operator == "quality":
         assert quality.keep(docs, labels).columns == docs.columns
+
+
+def test_all_labels_count(spark: SparkSession) -> None:
+    """Model and threshold come from every label: no number of them is cut off."""
+    labels = spark.range(0, 120_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == 60_000
+    assert [tuple(r) for r in quality.labelled_ids(labels).groupBy("good").count().orderBy("good").collect()] == [(0, 60_000), (1, 60_000)]
