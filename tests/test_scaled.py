@@ -89,3 +89,11 @@ def test_toolcall_generation_without_order(spark) -> None:  # noqa: ANN001
     assert "Window" not in mine._jdf.queryExecution().optimizedPlan().toString()
     want = run_sql(spark, sf, *reports.R["toolcall_generation"])
     assert mine.schema == want.schema and sorted(mine.collect()) == sorted(want.collect())
+
+
+def test_nn_similarity_runs_one_python_worker_a_task(spark) -> None:  # noqa: ANN001
+    from lodestar.plans import workloads
+
+    found = workloads.nn_similarity(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.count() == found.select("vec_id").distinct().count() > 0
