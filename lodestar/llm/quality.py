@@ -32,6 +32,8 @@ from lodestar.llm.shared import BITMAP_BITS, fresh, materialize
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: Runs, as patterns go over a run in one loop where `translate` makes a string of every character.
+SPACES, NO_SYMBOLS = r"[\x20\x09-\x0D]+", f"[^{SYMBOLS}]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,14 +41,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def hashes_of(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE)), " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+
+
+def joined(hashes: Column, k: int) -> Column:
+    """The hash of every entry with that k places on. Entries are paired by position, which is cheaper than to look each up."""
+    n = F.greatest(F.size(hashes) - k, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))
 
 
-def _windows(hashes: Column) -> Column:
-    """The hash of every window of WINDOW words, by position."""
-    at = lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, WINDOW)])
-    return F.when(F.size(hashes) >= WINDOW, F.slice(F.transform(hashes, at), F.lit(1), F.size(hashes) - WINDOW + 1))
+def _windows(pairs: Column) -> Column:
+    """The hash of every window of WINDOW (5) words, by position, from the hashes of all pairs: of pairs two places apart are 4 words, of two of these 5."""
+    return let(joined(pairs, 2), lambda fours: joined(fours, 1))
 
 
 def _covered(windows: Column) -> Column:
@@ -62,29 +73,29 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(let(by_hash, twice), start, step, lambda acc: acc["n"].cast("long"))
 
 
-def base_measures(docs: DataFrame, hashes: str, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """docs with a column `hashes` (word hashes), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+def base_measures(docs: DataFrame, hashes: str, pairs: str, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
+    """docs with columns `hashes` and `pairs` (hashes of words and of pairs of them), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     out = docs.withColumns(
         {
-            hashes: F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)),
-            "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            hashes: hashes_of(F.col("text")),
+            "word_chars": F.length(F.regexp_replace(text, SPACES, "")).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(text, NO_SYMBOLS, "")).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         }
     )
-    repeats = let(_windows(F.col(hashes)), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _covered(w)))
-    out = out.withColumns({"n_words": F.size(hashes).cast("long"), "n_repeat_words": F.coalesce(repeats, F.lit(0).cast("long"))})
+    (windows,) = fresh(out, "windows")
+    out = out.withColumns({"n_words": F.size(hashes).cast("long"), pairs: joined(F.col(hashes), 1)}).withColumn(windows, _windows(F.col(pairs)))
+    repeats = F.when(F.size(F.array_distinct(windows)) < F.size(windows), _covered(F.col(windows)))
+    out = out.withColumn("n_repeat_words", F.coalesce(repeats, F.lit(0).cast("long"))).drop(windows)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
-def ngram_buckets(hashes: Column, buckets: int) -> Column:
-    """The buckets of a text's unigrams and bigrams."""
-    fold = lambda h: F.pmod(h, F.lit(buckets)).cast("int")
-    pairs = F.transform(hashes, lambda h, i: fold(F.xxhash64(h, F.get(hashes, i + 1))))  # the last word has no next one
-    return F.concat(F.transform(hashes, fold), F.slice(pairs, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))))
+def fold(hash_: Column, buckets: int) -> Column:
+    """The bucket of a hash."""
+    return hash_.bitwiseAND(F.lit(buckets - 1).cast("long")) if buckets & (buckets - 1) == 0 else F.pmod(hash_, F.lit(buckets))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -111,8 +122,8 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFram
     marked = with_mark(docs.select("doc_id", "text"), trusted, "_m")
     others = marked.where("NOT _m").select(F.lit(None).cast("int").alias("_t"), "text")
     known = marked.where("_m").drop("_m").join(trusted.select("doc_id", F.lit(1).alias("_t")), "doc_id", "left").select("_t", "text")
-    grams = others.unionByName(known).select("_t", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("_h"))
-    counts = grams.select("_t", F.explode(ngram_buckets(F.col("_h"), buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
+    grams = others.unionByName(known).select("_t", let(hashes_of(F.col("text")), lambda h: F.concat(h, joined(h, 1))).alias("_h"))
+    counts = grams.select("_t", F.explode("_h").alias("_h")).groupBy(fold(F.col("_h"), buckets).cast("int").alias("b")).agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
     return docs.sparkSession.range(0, buckets, 1, 8).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0, ["raw", "target"])
 
 
@@ -130,33 +141,42 @@ def fit_ratios(counts: DataFrame, buckets: int, alpha: float = 1.0) -> DataFrame
     return table.select(ratios.alias("ratios"), F.transform("all", lambda x: x["target"]).alias("target"), F.transform("all", log_raw).alias("log_raw"), "n_raw", "n_target")
 
 
-def _left_out(at: str, model: Column, buckets: int, alpha: float = 1.0) -> Column:
+def _left_out(at: Column, model: Column, buckets: int, alpha: float = 1.0) -> Column:
     """The score of a text by the target counts less its own, scaled up to the whole. Equal buckets are neighbours once they are sorted: each is added up at its first place."""
     n = F.size(at)
     left = model["n_target"] - n
     total = model["n_target"] + F.lit(alpha * buckets)
     firsts = lambda s: F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(s, i) != F.coalesce(F.get(s, i - 1), F.lit(-1)))
 
-    def summed(s: Column, starts: Column, up: Column) -> Column:
+    def summed(s: Column, starts: Column, up: Column, target: Column, log_raw: Column) -> Column:
         runs = F.transform(starts, lambda p, j: F.struct(F.get(s, p).alias("b"), (F.coalesce(F.get(starts, j + 1), n) - p).alias("k")))
-        mine = lambda x: F.greatest(F.get(model["target"], x["b"]) - x["k"], F.lit(0)) * up + F.lit(alpha)
-        return F.aggregate(runs, F.lit(0.0), lambda acc, x: acc + x["k"] * (F.log(mine(x)) - F.get(model["log_raw"], x["b"])))
+        mine = lambda x: F.greatest(F.get(target, x["b"]) - x["k"], F.lit(0)) * up + F.lit(alpha)
+        return F.aggregate(runs, F.lit(0.0), lambda acc, x: acc + x["k"] * (F.log(mine(x)) - F.get(log_raw, x["b"])))
 
-    # What is the same for all buckets of a text is worked out once: the factor, and the divisor, whose logarithm is taken off at the end.
-    found = let(model["n_target"] / F.greatest(left, F.lit(1)), lambda up: let(F.sort_array(at), lambda s: let(firsts(s), lambda starts: summed(s, starts, up))))
-    return F.when((left > 0) & (model["n_raw"] > 0), F.round(found / n - F.log(total), 6)).otherwise(F.lit(0.0))
+    # What is the same for all buckets of a text is worked out once: the factor, the tables, and the divisor, whose logarithm is taken off at the end.
+    by_table = lambda s, starts, up: let(model["target"], lambda target: let(model["log_raw"], lambda log_raw: summed(s, starts, up, target, log_raw)))
+    found = let(model["n_target"] / F.greatest(left, F.lit(1)), lambda up: let(F.sort_array(at), lambda s: let(firsts(s), lambda starts: by_table(s, starts, up))))
+    return F.when((n > 0) & (left > 0) & (model["n_raw"] > 0), F.round(found / n - F.log(total), 6)).otherwise(F.lit(0.0))
 
 
 def score(docs: DataFrame, model: DataFrame, buckets: int, mark: str | None = None) -> DataFrame:
     """docs with the base measures and `score`; with `mark`, a boolean column, also `left_out` of texts that have it and pass the base rules."""
-    hashes, at, of, all_of = fresh(docs, "hashes", "buckets", "ratios", "model")
-    named = base_measures(docs, hashes).withColumns({at: ngram_buckets(F.col(hashes), buckets), of: model.select("ratios").scalar()})
-    total = F.aggregate(at, F.lit(0.0), lambda acc, b: acc + F.get(of, b))
-    out = named.withColumn("score", F.round(total / F.greatest(F.size(at), F.lit(1)), 6))
-    if mark:
-        out = out.withColumn(all_of, model.select(F.struct("target", "log_raw", "n_raw", "n_target")).scalar())
-        out = out.withColumn("left_out", F.when(F.col(mark) & ~F.col("base_failed"), _left_out(at, F.col(all_of), buckets)))
-    return out.drop(hashes, at, of, all_of)
+    hashes, pairs, of, both = fresh(docs, "hashes", "pairs", "model", "scores")
+    tables = ["ratios", *(["target", "log_raw", "n_raw", "n_target"] if mark else [])]
+    named = base_measures(docs, hashes, pairs).withColumn(of, model.select(F.struct(*tables)).scalar())
+
+    def scores(m: Column) -> Column:
+        summed = lambda grams, start, ratios: F.aggregate(grams, start, lambda acc, h: acc + F.get(ratios, fold(h, buckets)))
+        total = let(m["ratios"], lambda ratios: summed(pairs, summed(hashes, F.lit(0.0), ratios), ratios))
+        mine = F.round(total / F.greatest(F.size(hashes) + F.size(pairs), F.lit(1)), 6)
+        at = F.transform(F.concat(hashes, pairs), lambda h: fold(h, buckets))
+        left_out = F.when(F.col(mark), let(at, lambda x: _left_out(x, m, buckets))) if mark else F.lit(None).cast("double")
+        return F.struct(mine.alias("score"), left_out.alias("left_out"))
+
+    # The model is named once, in one expression with all that reads it: so Spark puts it there, and its 1.5 MB are not copied into each row.
+    out = named.withColumn(both, let(F.col(of), scores)).drop(of, hashes, pairs)
+    found = {"score": F.col(both)["score"]} | ({"left_out": F.when(F.col(mark) & ~F.col("base_failed"), F.col(both)["left_out"])} if mark else {})
+    return out.withColumns(found).drop(both)
 
 
 def labelled_ids(labels: DataFrame) -> DataFrame:
