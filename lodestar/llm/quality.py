@@ -123,7 +123,9 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFram
     others = marked.where("NOT _m").select(F.lit(None).cast("int").alias("_t"), "text")
     known = marked.where("_m").drop("_m").join(trusted.select("doc_id", F.lit(1).alias("_t")), "doc_id", "left").select("_t", "text")
     grams = others.unionByName(known).select("_t", let(hashes_of(F.col("text")), lambda h: F.concat(h, joined(h, 1))).alias("_h"))
-    counts = grams.select("_t", F.explode("_h").alias("_h")).groupBy(fold(F.col("_h"), buckets).cast("int").alias("b")).agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
+    # Were the column itself exploded, Spark would first filter rows by its size, and so hash each text twice.
+    each = F.explode(F.coalesce("_h", F.array().cast("array<bigint>")))
+    counts = grams.select("_t", each.alias("_h")).groupBy(fold(F.col("_h"), buckets).cast("int").alias("b")).agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
     return docs.sparkSession.range(0, buckets, 1, 8).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0, ["raw", "target"])
 
 

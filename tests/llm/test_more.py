@@ -200,3 +200,12 @@ def test_quality_windows_of_pairs(spark: SparkSession) -> None:
         rows = spark.createDataFrame([(text,)], "text string").select(quality.hashes_of(F.col("text")).alias("h")).select(quality.joined(F.col("h"), 1).alias("p")).select(quality._windows(F.col("p"))).first()[0]
         want = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
         assert [[x == y for y in rows] for x in rows] == [[x == y for y in want] for x in want]
+
+
+def test_quality_counts_hash_each_text_once(spark: SparkSession) -> None:
+    """Spark infers no filter by the number of n-grams, for which every text would be hashed a second time."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "a")], "doc_id long, text string")
+    counts = quality.bucket_counts(docs, spark.createDataFrame([(1,)], "doc_id long"), 64)
+    filters = [line for line in counts._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in line]
+    assert not [line for line in filters if "split(" in line]
+    assert counts.agg(F.sum("raw"), F.sum("target")).first()[:] == (6, 5)
