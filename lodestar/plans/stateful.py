@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import ranks, stats
@@ -89,7 +89,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-CALL = "struct<args:string, tool:string>"
+def _call(text: Column) -> Column:
+    """A call as `toolcalls.call` writes it; no value in it has quotes."""
+    return F.struct(F.substring_index(F.substr(text, F.lit(9)), ',"tool":"', 1).alias("args"), F.substring_index(F.substring_index(text, '"tool":"', -1), '"', 1).alias("tool"))
 
 
 def task_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,18 +112,15 @@ def task_calls(spark: SparkSession, sf_dir: str, some: DataFrame | None = None)
         return rows if some is None else rows.join(F.broadcast(some), "task", "left_semi")
 
     bulk = [n for n, sql in toolcalls.T.items() if " AS call FROM " in sql]
-    listed = every([n for n in toolcalls.T if n not in bulk], "calls").select("task", "template", F.from_json("calls", f"array<{CALL}>").alias("all"))
-    listed = listed.select("task", "template", (F.size("all") - 1).cast("long").alias("last"), F.posexplode_outer("all").alias("step", "c"))
-    single = every(bulk, "call").select("task", "template", (F.count("*").over(Window.partitionBy("task")) - 1).alias("last"), (F.row_number().over(Window.partitionBy("task").orderBy("call")) - 1).alias("step"), F.from_json("call", CALL).alias("c"))
-    return listed.unionByName(single).select("task", "template", F.coalesce(F.col("step").cast("long"), F.lit(-1).cast("long")).alias("step"), "c.tool", "c.args", "last")
+    listed = every([n for n in toolcalls.T if n not in bulk], "calls").select("task", "template", F.coalesce(F.when(F.col("calls") != "[]", F.split(F.expr("substring(calls, 2, length(calls) - 2)"), r',(?=\{"args":)')), F.array().cast("array<string>")).alias("all"))
+    listed = listed.select("task", "template", (F.size("all") - 1).cast("long").alias("last"), F.posexplode_outer("all").alias("step", "text"))
+    single = every(bulk, "call").select("task", "template", (F.count("*").over(Window.partitionBy("task")) - 1).alias("last"), (F.row_number().over(Window.partitionBy("task").orderBy("call")) - 1).alias("step"), F.col("call").alias("text"))
+    return listed.unionByName(single).withColumn("c", _call(F.col("text"))).select("task", "template", F.coalesce(F.col("step").cast("long"), F.lit(-1).cast("long")).alias("step"), "c.tool", "c.args", "last")
 
 
 def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks without calls run through and change nothing."""
-    calls = written(task_calls(spark, sf_dir), "calls")
-    done = replay.replay(calls.where("step >= 0"), written(entities(spark, sf_dir), "state"))
-    idle = calls.where("step < 0").select("task", F.lit(True).alias("ok"), F.lit(0).cast("long").alias("n_applied"), F.lit(None).cast("long").alias("failed_step"), F.lit(None).cast("string").alias("error"), F.lit("{}").alias("changed"))
-    return done.unionByName(idle)
+    return replay.replay(task_calls(spark, sf_dir), entities(spark, sf_dir))
 
 
 def replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
