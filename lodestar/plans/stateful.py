@@ -126,10 +126,9 @@ def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each kind of fault, how many wrong answers the comparison of states tells from the right one, and how many leave the state as it was.
 
-    Calls and state are written once, so that their plans aren't part of those that read them; right and wrong answers are replayed in one pass.
+    The state is written once, so that its plan isn't part of those that read it, as calls are by `told_faults`; right and wrong answers are replayed in one pass.
     """
-    calls = written(task_calls(spark, sf_dir).where("step >= 0"), "calls")
-    return replay.told_faults(calls, written(entities(spark, sf_dir), "state"))
+    return replay.told_faults(task_calls(spark, sf_dir).where("step >= 0"), written(entities(spark, sf_dir), "state"))
 
 
 def extracted_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
