@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as texts
 from lodestar.operators import compare, sqltext, tree
-from lodestar.operators.database import Outcome
+from lodestar.operators.database import Database, Outcome
 from lodestar.plans import generation
 from lodestar.plans.analytics import oracle, run_sql
 from lodestar.plans.workloads import placed
@@ -64,16 +65,40 @@ def variants(queries: DataFrame, seed: int = 0) -> DataFrame:
     return queries.lateralJoin(made(F.col("sql").outer(), F.lit(seed)))
 
 
+#: The tables that the drawn queries read.
+READ_BY = ("customer", "nation", "orders", "lineitem", "part", "events")
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session for views of its own, set as the given one is."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def mutation_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each kind of change, how many gold texts it changes, how many of these the guard lets through, and how many keep the masked text."""
+    """Of each kind of change, how many gold texts it changes, how many of these the guard lets through, how many changed texts there are, how many changes keep the masked text, how many run over
+    the tables, as their gold text does, and how many of these the verdict rejects: those that serve as wrong answers.
+
+    A gold text that is drawn to fail has no changes that run.
+    """
 
     @F.pandas_udf("boolean")
     def allowed(sqls: pd.Series) -> pd.Series:
         return sqls.map(lambda s: sqltext.refused(s) is None)
 
-    gold = generation.draws(spark, sf_dir).select("sql").distinct()
-    made = variants(gold).withColumn("allowed", allowed("mutated"))
-    return made.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"), F.countDistinct("mutated").alias("n_distinct"))
+    gold = generation.draws(spark, sf_dir).groupBy("sql").agg(F.bool_and("ok").alias("ok"))
+    same = texts.masked_sql(F.col("mutated")) == texts.masked_sql(F.col("sql"))
+    made = written(variants(gold).withColumns({"allowed": allowed("mutated"), "masked": same}), "variants")
+    asked = [tuple(r) for r in made.where("ok AND allowed").select("sql", "kind", "mutated").distinct().collect()]  # as many as there are draws of a template, whatever the tables' size
+    own = own_session(spark)
+    db = Database(own, {name: own.read.parquet(f"{sf_dir}/{name}.parquet") for name in READ_BY})
+    results = [(sql, kind, *told) for (sql, kind, _), told in zip(asked, compare.rejected(db, asked), strict=True)]
+    made = made.join(F.broadcast(spark.createDataFrame(results, "sql string, kind string, runs boolean, rejected boolean")), ["sql", "kind"], "left")
+    counts = {"n_masked": "masked", "n_run": "runs", "n_rejected": "rejected"}
+    return made.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"), F.countDistinct("mutated").alias("n_distinct"), *[F.count_if(c).alias(name) for name, c in counts.items()])
 
 
 # Verdicts over results that are rows of the tables: each user's events as a result set, and changed ones.
